@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tokens
+from ..session import spread
 
 # The published BM25 parameters.
 K1 = 1.2
@@ -27,7 +28,7 @@ def token_rows(docs: DataFrame, text: str = "content", keys: tuple[str, ...] = (
 def postings(docs: DataFrame, text: str = "content", keys: tuple[str, ...] = ("id", "stream")) -> DataFrame:
     """(keys, dl, token, tf). All tokens of a row sit in one task, so the
     map-side combine already leaves one row per (document, token)."""
-    d = docs.select(*keys, tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks"))
+    d = spread(docs.select(*keys, text)).select(*keys, tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks"))
     return (
         d.select(*keys, "dl", F.explode("toks").alias("token"))
         .groupBy(*keys, "dl", "token").agg(F.count("*").alias("tf"))
@@ -61,7 +62,7 @@ def bm25(terms: DataFrame, docs: DataFrame, text: str = "content", by_stream: bo
     wanted = terms.select("token").distinct()
 
     def hits(d: DataFrame) -> DataFrame:
-        x = d.select("id", "stream", tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks"))
+        x = spread(d.select("id", "stream", text)).select("id", "stream", tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks"))
         return (x.select("id", "stream", "dl", F.explode("toks").alias("token"))
                 .join(wanted, "token", "left_semi")
                 .groupBy("token", "id", "stream", "dl").agg(F.count("*").alias("tf")))

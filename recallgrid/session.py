@@ -50,3 +50,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     root = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores.
+
+    A no-op wherever the scan already has that many splits, as on large tables.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
