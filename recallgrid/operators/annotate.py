@@ -13,7 +13,7 @@ from .textjobs import _trim, _words
 
 
 def _any(text: Column, phrases: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
+    return text.rlike("|".join(re.escape(p) for p in phrases))
 
 
 def _found(text: Column, alternatives: list[str], tail: list[str] = ()) -> Column:
@@ -41,10 +41,8 @@ def annotate_queries(queries: DataFrame, text: str = "text") -> DataFrame:
         n_words.between(5, 15), "medium").otherwise("simple"))
     q = q.withColumn("counting", ~_any(low, lx.PREFERENCE_PHRASES) & _any(low, lx.COUNTING_PHRASES))
     for i, channel in enumerate(lx.CHANNELS):
-        w = F.lit(None).cast("double")
-        for kind, row in lx.CHANNEL_WEIGHTS.items():
-            w = F.when(F.col("query_type") == kind, F.lit(row[i] / sum(row))).otherwise(w)
-        q = q.withColumn(f"w_{channel}", F.round(w, 6))
+        table = F.create_map(*[F.lit(v) for kind, row in lx.CHANNEL_WEIGHTS.items() for v in (kind, row[i] / sum(row))])
+        q = q.withColumn(f"w_{channel}", F.round(F.element_at(table, F.col("query_type")), 6))
     return q
 
 

@@ -87,10 +87,10 @@ def graph_additions(pool: DataFrame, graph_scores: DataFrame, chunks: DataFrame,
     """Boosts pool rows the graph reaches; adds up to `most` rows it alone reaches."""
     g = graph_scores.select("query_id", "id", "graph")
     boosted = pool.join(g, ["query_id", "id"], "left").withColumn(
-        "score", F.round(F.col("score") * (1 + F.coalesce("graph", F.lit(0.0)) * factor), 6)).drop("graph")
+        "score", F.round(F.col("score") * (1 + F.coalesce("graph", F.lit(0.0)) * factor), 12)).drop("graph")
     alone = enrich(g.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti"), chunks).where(~F.col("dormant"))
     best = ranking.top_n(alone, ["query_id"], [F.desc("graph"), F.col("id")], most).drop("rank")
-    extra = (best.withColumn("score", F.round(F.col("graph") * factor, 6)).drop("graph")
+    extra = (best.withColumn("score", F.round(F.col("graph") * factor, 12)).drop("graph")
              .withColumn("lexical", F.lit(0.0)).withColumn("dense", F.lit(0.0)).withColumn("decay", F.lit(1.0))
              .withColumn("lexical_raw", F.lit(0.0)).withColumn("dense_raw", F.lit(0.0)))
     return boosted.unionByName(extra, allowMissingColumns=True)
@@ -101,10 +101,10 @@ def adjusted(pool: DataFrame, access_weight: float = 0.0, counting: bool | Colum
     s = F.col("score") * scoring.level_boost(F.col("level"), counting)
     s = scoring.chunk_adjusted(s, F.get_json_object("metadata", "$.tier"), F.col("decay"), F.col("importance"),
                                F.col("access_count"), F.col("meta.fact_type"), access_weight)
-    return pool.withColumn("score", F.round(s, 6))
+    return pool.withColumn("score", F.round(s, 12))
 
 
-def ranked(pool: DataFrame, newest_first: bool = False) -> DataFrame:
+def ranked(pool: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("id"))
     return pool.withColumn("rank", F.row_number().over(w))
 
@@ -114,11 +114,12 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
                   valid_at: int | None = None, include_superseded: bool = False, fact_type: str | None = None,
                   subject: str | None = None, min_confidence: float | None = None, agent: str | None = None,
                   exclude_agents: Sequence[str] = (), enumerate_subjects: bool = False, prefix_dedup: bool = True,
-                  access_weight: float = 0.0, floor: float = 0.0) -> DataFrame:
+                  access_weight: float = 0.0, floor: float = 0.0, most: int | None = None) -> DataFrame:
     """Lexical and vector channels, fused, adjusted, filtered and cut to `k`.
 
     Filters run in this order: validity, head of chain, facts, prefix twins,
     subjects, agents. `lane(query_id, id)` marks rows kept beyond the pool.
+    `most` is the result length where it is not `k`.
     """
     lex = lexical_search(queries, chunks, 2 * k)
     vec = vector_search(query_vectors, vectors, chunks, 2 * k)
@@ -145,7 +146,7 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
     if enumerate_subjects:
         pool = ranking.one_per_subject(pool.withColumn("subject", F.col("meta.subject"))).drop("subject")
     pool = filters.by_agent(pool, agent, exclude_agents)
-    return ranking.top_n(pool.drop("rank"), ["query_id"], [F.desc("score"), F.col("id")], k)
+    return ranking.top_n(pool.drop("rank"), ["query_id"], [F.desc("score"), F.col("id")], most or k)
 
 
 def lexical_only(queries: DataFrame, chunks: DataFrame, now: int, k: int = 10) -> DataFrame:
