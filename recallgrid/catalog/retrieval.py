@@ -209,10 +209,10 @@ def i8(t):
 
 
 CONF = """nb as (select a.query_id, a.id, count(*) as nn from rrf a join rrf b on b.query_id = a.query_id and b.id <> a.id and abs(round(b.dense_raw * 1000000) - round(a.dense_raw * 1000000)) < 150000 group by all),
-ag as (select a.*, coalesce(nn, 0) as near from rrf a left join nb using (query_id, id)),
-cf as (select *, case when near = 0 then 0e0 when near = 1 then 0.5e0 else 1e0 end as agreement from ag),
-cc as (select *, round(least(1, greatest(0, 0.5e0 * rrf / max(rrf) over (partition by query_id) + 0.2e0 * case level when 0 then 1e0 when 1 then 0.7e0 else 0.4e0 end
-  + 0.15e0 * least(1, recency) + 0.15e0 * agreement)), 6) as confidence from cf)"""
+ag as (select a.*, coalesce(nn, 0) as n_close from rrf a left join nb using (query_id, id)),
+cf as (select *, least(n_close, 2) / 2e0 as agreement from ag),
+cc as (select *, round(0.5e0 * rrf / max(rrf) over (partition by query_id) + 0.2e0 * case level when 0 then 1e0 when 1 then 0.7e0 else 0.4e0 end
+  + 0.15e0 * recency + 0.15e0 * agreement, 6) as confidence from cf)"""
 
 
 @query("I9_confidence_tier", "rrf", f"""
