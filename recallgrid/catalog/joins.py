@@ -118,6 +118,10 @@ reach as (select query_id, entity_id, 1.0e0 as w from st union all select query_
 rel as (select query_id, chunk_id as id, max(w) as graph from reach join ec using (entity_id) group by all)"""
 
 
+# the default reach: the entity itself and one hop
+RELATED1 = RELATED.replace(" union all select query_id, neighbour, 0.25e0 from h2x", "")
+
+
 @query("C10_related_chunks", "edge_evidence edges qs", f"with {RELATED} select * from rel")
 def c10(t):
     return graph.related_chunks(starts(t), t.edges, graph.evidence_table(t.edge_evidence))

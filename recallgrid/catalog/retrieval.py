@@ -13,7 +13,7 @@ from ..sources.chunk_store import live
 from ..sources.views import T0
 from .base import query
 from .filters import B7_RANGE
-from .joins import RELATED, anchors, fused, incoming, starts
+from .joins import RELATED, RELATED1, anchors, fused, incoming, starts
 from .oracle_views import TOK, VIEWS
 from .texts import H1_CTE, FIRST_SQL, THIRD_SQL, TRIM, WORDS, lit, tx
 from .windows import LATENTS, OSC, SUMMARY, adjustments, fused_ranked, latents, rrf_pool, signal_pool, summary
@@ -178,13 +178,13 @@ def i5(t):
 
 
 @query("I6_graph_boost", "fused edge_evidence edges qs chunks", f"""
-with {RELATED}, p as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from fused) where rank <= 30),
+with {RELATED1}, p as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from fused) where rank <= 30),
 x as (select query_id, r.id, graph, row_number() over (partition by query_id order by graph desc, r.id) as k from rel r join chunks c on c.id = r.id
   where deleted_at is null and not dormant and (query_id, r.id) not in (select query_id, id from p))
 select p.query_id, p.id, round(p.score * (1 + coalesce(graph, 0) * 0.3e0), 12) as score from p left join rel on rel.query_id = p.query_id and rel.id = p.id
 union all select query_id, id, round(graph * 0.3e0, 12) from x where k <= 3""")
 def i6(t):
-    g = graph.related_chunks(starts(t), t.edges, graph.evidence_table(t.edge_evidence))
+    g = graph.related_chunks(starts(t), t.edges, graph.evidence_table(t.edge_evidence), hops=1)
     return hybrid.graph_additions(fused_ranked(t).where("rank <= 30").drop("rank"), g, t.chunks).select("query_id", "id", "score")
 
 
@@ -208,11 +208,9 @@ def i8(t):
     return signal_pool(t).select("query_id", "id", "dense", "lexical", "entity", F.round("recency", 6).alias("recency"))
 
 
-CONF = """nb as (select a.query_id, a.id, count(*) as nn from rrf a join rrf b on b.query_id = a.query_id and b.id <> a.id and abs(round(b.dense_raw * 1000000) - round(a.dense_raw * 1000000)) < 150000 group by all),
-ag as (select a.*, coalesce(nn, 0) as n_close from rrf a left join nb using (query_id, id)),
-cf as (select *, least(n_close, 2) / 2e0 as agreement from ag),
-cc as (select *, round(0.5e0 * rrf / max(rrf) over (partition by query_id) + 0.2e0 * case level when 0 then 1e0 when 1 then 0.7e0 else 0.4e0 end
-  + 0.15e0 * recency + 0.15e0 * agreement, 6) as confidence from cf)"""
+CONF = """nb as (select a.query_id, a.id, count(*) - 1 as n_close from rrf a join rrf b on b.query_id = a.query_id and abs(round(b.dense_raw * 1000000) - round(a.dense_raw * 1000000)) < 150000 group by all),
+cf as (select rrf.* exclude (confidence), max(rrf.rrf) over (partition by rrf.query_id) as top, least(n_close, 2) / 2e0 as agreement from rrf join nb using (query_id, id)),
+cc as (select *, round(0.5e0 * cf.rrf / top + 0.2e0 * case level when 0 then 1e0 when 1 then 0.7e0 else 0.4e0 end + 0.15e0 * recency + 0.15e0 * agreement, 6) as confidence from cf)"""
 
 
 @query("I9_confidence_tier", "rrf", f"""
@@ -339,7 +337,7 @@ def j3(t):
 
 
 @query("J3_hybrid_with_graph_and_lane", "fused chunks edge_evidence edges qs " + LEXBASE + " doc_df", f"""
-with {RELATED}, {LANE},
+with {RELATED1}, {LANE},
 fr as (select *, row_number() over (partition by query_id order by score desc, id) as rk from fused),
 pl as (select * from fr where rk <= 30 or (query_id, id) in (select query_id, id from lane)),
 b as (select pl.* exclude (score, decay, rk), pl.decay, round(pl.score * (1 + coalesce(graph, 0) * 0.3e0), 12) as score from pl left join rel on rel.query_id = pl.query_id and rel.id = pl.id),
@@ -353,7 +351,7 @@ su as (select *, row_number() over (partition by query_id, lower(subject) order
 {top_cte('o', '(select query_id, id, score from su where sn = 1 or subject is null)', 30)} select * from o""")
 def j3g(t):
     """An enumeration query: graph rows and rare-term rows join, one row per subject, 30 hits."""
-    g = graph.related_chunks(starts(t), t.edges, graph.evidence_table(t.edge_evidence))
+    g = graph.related_chunks(starts(t), t.edges, graph.evidence_table(t.edge_evidence), hops=1)
     lane = hybrid.rare_term_lane(t.queries, t.chunks)
     h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, graph_scores=g, lane=lane, include_superseded=True,
                              enumerate_subjects=True, prefix_dedup=False, most=30)

@@ -81,6 +81,7 @@ def weak_tie_walks(seeds: DataFrame, edges: DataFrame, hops: int = 3, walks: int
     """
     sym = symmetric(edges).groupBy("node", "other").agg(F.min("evidence").alias("evidence")).withColumn(
         "weight", F.lit(1.0) / F.greatest(F.lit(1), F.col("evidence")))
+    sym = cut_lineage(sym)  # read once per hop
     cur = seeds.select("query_id", F.col("entity_id").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
     cur = cur.withColumn("at", F.col("seed")).withColumn("path", F.array("seed")).withColumn("done", F.lit(0))
     for hop in range(1, hops + 1):

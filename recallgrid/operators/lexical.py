@@ -63,8 +63,10 @@ def bm25(terms: DataFrame, docs: DataFrame, text: str = "content", by_stream: bo
 
     def hits(d: DataFrame) -> DataFrame:
         x = spread(d.select("id", "stream", text)).select("id", "stream", tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks"))
+        # by document: counting words and summing scores per (query, document)
+        # both find their rows in one partition, so this is the only large shuffle
         return (x.select("id", "stream", "dl", F.explode("toks").alias("token"))
-                .join(wanted, "token", "left_semi")
+                .join(wanted, "token", "left_semi").repartition("id")
                 .groupBy("token", "id", "stream", "dl").agg(F.count("*").alias("tf")))
 
     tf = hits(docs)

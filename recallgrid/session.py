@@ -57,5 +57,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     A no-op wherever the scan already has that many splits, as on large tables.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

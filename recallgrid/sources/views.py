@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
 from ..operators.entities import extract_entities
+from ..session import spread
 from .dictionary import first_alias_wins
 
 T0 = 1706659200
@@ -31,7 +32,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.raw("documents")
+        return spread(self.raw("documents"))
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -141,7 +142,7 @@ class Tables:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.raw("pages")
+        return spread(self.raw("pages"))
 
     @cached_property
     def graph_entities(self) -> DataFrame:
