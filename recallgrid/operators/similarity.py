@@ -70,7 +70,13 @@ def _best(left_ids, right_ids, sims, ok, n, min_sim):
         out_l.extend([left_ids[i]] * cand.size)
         out_r.extend(right_ids[cand])
         out_s.extend(sims[i, cand])
-    return pd.DataFrame({"left_id": out_l, "right_id": out_r, "sim": np.asarray(out_s, dtype=float)})
+    return _pairs(out_l, out_r, out_s)
+
+
+def _pairs(left_ids=(), right_ids=(), sims=()) -> pd.DataFrame:
+    """Object columns, so that an empty block still has the key types."""
+    return pd.DataFrame({"left_id": pd.Series(list(left_ids), dtype=object), "right_id": pd.Series(list(right_ids), dtype=object),
+                         "sim": np.asarray(sims, dtype=float)})
 
 
 def nearest(left: DataFrame, right: DataFrame, n: int, *, left_key: str = "query_id", right_key: str = "id",
@@ -86,7 +92,8 @@ def nearest(left: DataFrame, right: DataFrame, n: int, *, left_key: str = "query
     lt = left.schema[left_key].dataType
     rt = right.schema[right_key].dataType
     lf = left.select(F.col(left_key).alias("left_id"), *extra, "embedding")
-    rf = right.select(F.col(right_key).alias("right_id"), *extra, "embedding")
+    # aliased, so that a table can be compared with itself
+    rf = right.select(F.col(right_key).alias("right_id"), *[F.col(c).alias(c) for c in [*extra, "embedding"]])
     if on:
         lf, rf = lf.dropna(subset=list(on)), rf.dropna(subset=list(on))
     schema = T.StructType([T.StructField("left_id", lt), T.StructField("right_id", rt),
@@ -144,7 +151,7 @@ def _by_blocks(lf, rf, n, on, loose, min_sim, exclude_self, schema, block_rows)
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"left_id": [], "right_id": [], "sim": []})
+            return _pairs()
         left, right = left.reset_index(drop=True), right.reset_index(drop=True)
         lv, ld = _unit(left["embedding"].tolist())
         rv, rd = _unit(right["embedding"].tolist())
