@@ -130,15 +130,17 @@ def d9(t):
     return stats.freshness(t.chunks, T0)
 
 
-@query("D10_utilisation", "chunks", f"""
-with {UTIL}, h as (select stream, id, row_number() over (partition by stream order by access_count desc, id) as rn, access_count,
-  count(*) over (partition by stream) as n from chunks where deleted_at is null)
-select stream, u.n, recall_ratio, dead_share, coalesce(string_agg(id, ',' order by rn), '') as hot from u left join (
-  select * from h where rn <= greatest(1, ceil(n * 0.1)) and access_count > 0) using (stream) group by all""")
+@query("D10_utilisation", "chunks", f"with {UTIL} select * from u")
 def d10(t):
-    hot = stats.hot_rows(t.chunks).groupBy("stream").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "id"))), lambda s: s["id"]), ",").alias("hot"))
-    return stats.utilisation(t.chunks, T0).join(hot, "stream", "left").fillna("", ["hot"])
+    return stats.utilisation(t.chunks, T0)
+
+
+@query("D10_hot_rows", "chunks", """
+with h as (select stream, id, row_number() over (partition by stream order by access_count desc, id) as rn, access_count,
+  count(*) over (partition by stream) as n from chunks where deleted_at is null)
+select stream, id, rn from h where rn <= greatest(1, ceil(n * 0.1)) and access_count > 0""")
+def d10h(t):
+    return stats.hot_rows(t.chunks).select("stream", "id", "rn")
 
 
 @query("D11_mean_reciprocal_rank", "event_log", f"with {FEEDBACK}, {MRR} select * from r")

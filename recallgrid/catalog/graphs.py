@@ -73,12 +73,10 @@ def k4(t):
 @query("K5_entity_cards", "graph_entities edge_evidence edges", """
 with ec as (select source as entity_id, chunk_id from edge_evidence union select target, chunk_id from edge_evidence),
 n as (select entity_id, count(*) as chunks from ec group by all),
-l as (select entity_id, string_agg(link, ',' order by link) as links from (select source as entity_id, 'out:' || relation || ':' || target as link from edges
-  union select target, 'in:' || relation || ':' || source from edges) group by entity_id)
-select entity_id, name, entity_type, coalesce(chunks, 0) as chunks, coalesce(links, '') as links from graph_entities left join n using (entity_id) left join l using (entity_id)""")
+l as (select source as entity_id, 'out:' || relation || ':' || target as link from edges union select target, 'in:' || relation || ':' || source from edges)
+select entity_id, name, entity_type, coalesce(chunks, 0) as chunks, link from graph_entities left join n using (entity_id) left join l using (entity_id)""")
 def k5(t):
-    c = resolution.entity_cards(t.graph_entities, graph.evidence_table(t.edge_evidence), t.edges)
-    return c.withColumn("links", F.array_join("links", ","))
+    return resolution.entity_cards(t.graph_entities, graph.evidence_table(t.edge_evidence), t.edges)
 
 
 @query("K6_chunk_removal", "edge_evidence chunks", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexical
+from ..operators.entities import dictionary_relations
 from ..session import scratch_path
 from ..sources import bench_history, chunk_store, dictionary, event_log
 from ..sources.views import T0
@@ -191,3 +192,17 @@ def a16(t):
     ix["postings"].write.parquet(folder)
     p = t.spark.read.parquet(folder)
     return p.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("A17_entity_and_relation_tags", "chunk_entity dict_rel", """
+select 'entity' as kind, id, name as a, entity_type as b, '' as c from chunk_entity
+union all select distinct 'relation', id, subject, relation, object from chunk_entity join dict_rel on name = subject or name = object""")
+def a17(t):
+    """Names and triples of every row, stored as two tables and read back."""
+    folder = scratch_path(t.spark, "tags")
+    t.chunk_entity.write.parquet(folder + "/entity")
+    names = t.spark.read.parquet(folder + "/entity")
+    dictionary_relations(names, t.dict_relation).write.parquet(folder + "/relation")
+    rel = t.spark.read.parquet(folder + "/relation")
+    return names.selectExpr("'entity' as kind", "id", "name as a", "entity_type as b", "'' as c").unionByName(
+        rel.selectExpr("'relation' as kind", "id", "subject as a", "relation as b", "object as c"))

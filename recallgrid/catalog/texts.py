@@ -208,16 +208,19 @@ def g6c(t):
 @query("G7_token_accounting", "chunks", f"""
 select stream, timestamp // 86400 as day, cast(sum(strlen(content) // 4 + 1) as bigint) as byte_tokens,
   cast(sum(cast(floor(len({WORDS.format('content')}) * 1.3e0) as bigint)) as bigint) as word_tokens,
-  count(*) filter (where len({WORDS.format('content')}) > 76) as cut,
-  md5(string_agg(md5(case when len({WORDS.format('content')}) <= 76 then content else array_to_string(({WORDS.format('content')})[1:76], ' ') || '...' end), '' order by id)) as cut_md5
+  count(*) filter (where len({WORDS.format('content')}) > 76) as cut
 from chunks group by all""")
 def g7(t):
     c = F.col("content")
-    n = F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: F.length(w) > 0))
-    x = t.chunks.select("id", "stream", F.expr("timestamp div 86400").alias("day"), tx.byte_tokens(c).alias("b"), tx.word_tokens(c).alias("w"),
-                        (n > 76).alias("long"), F.md5(tx.cut_to_tokens(c, 100)).alias("m"))
-    return x.groupBy("stream", "day").agg(F.sum("b").alias("byte_tokens"), F.sum("w").alias("word_tokens"), F.count_if("long").alias("cut"),
-                                          F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda s: s["m"]), "")).alias("cut_md5"))
+    x = t.chunks.select("stream", F.expr("timestamp div 86400").alias("day"), tx.byte_tokens(c).alias("b"), tx.word_tokens(c).alias("w"),
+                        (tx.cut_to_tokens(c, 100) != c).alias("long"))
+    return x.groupBy("stream", "day").agg(F.sum("b").alias("byte_tokens"), F.sum("w").alias("word_tokens"), F.count_if("long").alias("cut"))
+
+
+@query("G7_budget_cut", "chunks", f"""
+select id, md5(case when len({WORDS.format('content')}) <= 76 then content else array_to_string(({WORDS.format('content')})[1:76], ' ') || '...' end) as cut_md5 from chunks""")
+def g7c(t):
+    return t.chunks.select("id", F.md5(tx.cut_to_tokens(F.col("content"), 100)).alias("cut_md5"))
 
 
 @query("G8_transcript_parts", "", """

@@ -221,16 +221,16 @@ def n1(t):
 
 
 def rare_feedback(t):
-    return t.events.where("type = 'feedback' and value > 130").select("stream")
+    return t.events.where("type = 'feedback' and value > 230").select("stream")
 
 
 IGNORED = """ign as (select stream, count(*) as n from event_log where type = 'search' and top1 > 0.1 and result_count > 0
-  and stream not in (select stream from event_log where type = 'feedback' and value > 130) group by stream having count(*) > 3)"""
+  and stream not in (select stream from event_log where type = 'feedback' and value > 230) group by stream having count(*) > 3)"""
 
 
 @query("N2_ignored_searches", "event_log", f"with {IGNORED} select * from ign")
 def n2(t):
-    """Only feedback worth more than 130 counts here."""
+    """Only feedback worth more than 230 counts here."""
     return adv.ignored_searches(t.events, rare_feedback(t), score=0.1)
 
 

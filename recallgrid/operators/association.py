@@ -9,16 +9,15 @@ from ..session import cut_lineage
 from .filters import associable
 from .graph import symmetric
 from .ranking import top_n
+from .similarity import nearest
 
 
 def query_cluster(query_vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """(query_id, qcluster): the cluster whose centroid is nearest, smallest number on ties.
     With a `stream` on both sides only that stream's clusters are looked at."""
     on = ["stream"] if "stream" in query_vectors.columns and "stream" in centroids.columns else []
-    q = query_vectors.select("query_id", *on, "embedding")
-    pairs = q.join(centroids, on) if on else q.join(F.broadcast(centroids))
-    s = pairs.select("query_id", "cluster", cosine(F.col("embedding"), F.col("centroid")).alias("s"))
-    return s.groupBy("query_id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("qcluster"))
+    best = nearest(query_vectors, centroids.withColumnRenamed("centroid", "embedding"), 1, right_key="cluster", on=on)
+    return best.select("query_id", F.col("cluster").alias("qcluster"))
 
 
 def centroid_distances(pairs: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -60,9 +59,10 @@ def adjacent_possible(query_vectors: DataFrame, context: DataFrame, chunks: Data
     """
     mean = context_centroid(context)
     qc = query_cluster(query_vectors.drop("stream"), centroids)
-    pairs = mean.join(F.broadcast(centroids.select("cluster", F.col("centroid").alias("cc")))).join(qc, "query_id").where("cluster <> qcluster")
-    pairs = pairs.withColumn("s", cosine(F.col("centroid"), F.col("cc"))).where(F.col("s") > cluster_min)
-    close = top_n(pairs.select("query_id", "cluster", "s"), ["query_id"], [F.desc("s"), F.col("cluster")], near).select("query_id", "cluster")
+    # one more than needed, as the query's own cluster is left out
+    around = nearest(mean.withColumnRenamed("centroid", "embedding"), centroids.withColumnRenamed("centroid", "embedding"), near + 1, right_key="cluster")
+    around = around.join(qc, "query_id").where((F.col("cluster") != F.col("qcluster")) & (F.col("sim") > cluster_min))
+    close = top_n(around.select("query_id", "cluster", "sim"), ["query_id"], [F.desc("sim"), F.col("cluster")], near).select("query_id", "cluster")
     rows = chunks.where(associable()).select("id", "stream").join(clusters.select("id", "cluster"), "id").join(vectors.select("id", "embedding"), "id")
     q = query_vectors.select("query_id", "stream", F.col("embedding").alias("qv")).join(close, "query_id").join(mean, "query_id")
     c = q.join(rows, ["stream", "cluster"]).withColumn("relevance", cosine(F.col("embedding"), F.col("centroid"))).withColumn(

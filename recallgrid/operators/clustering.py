@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import dot
 from ..session import cut_lineage
+from .ranking import spread_rank
 
 # Centroids up to this many numbers are sent to every task (64 MB of doubles).
 MAX_BROADCAST_NUMBERS = 8 << 20
@@ -20,8 +21,7 @@ def _seeds(rows: DataFrame, k_max: int) -> DataFrame:
     n = rows.groupBy("stream").agg(F.count("*").alias("n")).where("n >= 3")
     k = F.least(F.col("n"), F.greatest(F.lit(2), F.least(F.lit(k_max), F.ceil(F.sqrt(F.col("n") / 2))))).cast("int")
     n = n.withColumn("k", k).withColumn("step", F.expr("greatest(1, n div k)"))
-    w = Window.partitionBy("stream").orderBy("id")
-    pos = rows.select("stream", "id").withColumn("pos", F.row_number().over(w) - 1).join(n, "stream")
+    pos = spread_rank(rows.select("stream", "id"), "stream", [F.col("id")]).withColumn("pos", F.col("pos") - 1).join(n, "stream")
     picked = pos.where((F.col("pos") % F.col("step") == 0) & (F.expr("pos div step") < F.col("k"))).select(
         "stream", "id", F.expr("cast(pos div step as int)").alias("cluster"))
     return rows.join(picked, ["stream", "id"]).select("stream", "cluster", F.col("embedding").cast("array<double>").alias("centroid"))

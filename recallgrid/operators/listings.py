@@ -42,9 +42,8 @@ def top_contents(chunks: DataFrame, n: int) -> DataFrame:
 def page(chunks: DataFrame, number: int, per_page: int) -> DataFrame:
     """One page per stream: undated rows first, then by event date, newest first."""
     per_page = max(1, min(200, per_page))
-    w = Window.partitionBy("stream")
-    order = w.orderBy(F.desc_nulls_first("meta.event_date"), F.desc("timestamp"), "id")
+    order = [F.desc_nulls_first("meta.event_date"), F.desc("timestamp"), F.col("id")]
     c = chunks.where("deleted_at is null").select("id", "stream", "timestamp", "meta")
     lo = (max(1, number) - 1) * per_page
-    return (c.withColumn("pos", F.row_number().over(order)).withColumn("total", F.count("*").over(w))
-            .where((F.col("pos") > lo) & (F.col("pos") <= lo + per_page)).select("stream", "id", "pos", "total"))
+    total = c.groupBy("stream").agg(F.count("*").alias("total"))
+    return top_n(c, ["stream"], order, lo + per_page, "pos").where(F.col("pos") > lo).join(total, "stream").select("stream", "id", "pos", "total")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 RRF_K = 60
 
 
@@ -16,6 +18,23 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
+def spread_rank(df: DataFrame, key: str, order: Sequence[Column], rank: str = "pos") -> DataFrame:
+    """Exact 1-based rank within `key` for groups too large for one task.
+
+    Rows are cut into ranges of (key, order); a row's rank is its place in its
+    range plus the rows of the key in the ranges before. The cut is checkpointed,
+    so both uses see the same ranges.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    cut = cut_lineage(df.repartitionByRange(n, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = cut.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    w = Window.partitionBy(key, "_part").orderBy(*order)
+    return cut.withColumn("_at", F.row_number().over(w)).join(before, [key, "_part"]).withColumn(
+        rank, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 def channel_rank(score: str, key: str = "query_id", id_col: str = "id") -> Column:
     """1-based rank by score, null for scores of zero or below."""
     w = Window.partitionBy(key).orderBy(F.desc(score), F.col(id_col))

@@ -69,13 +69,14 @@ def edge_table(evidence: DataFrame) -> DataFrame:
 
 
 def entity_cards(entities: DataFrame, entity_chunk: DataFrame, edges: DataFrame) -> DataFrame:
-    """Entity, evidence count, and its neighbours as `direction:relation:id`."""
+    """One row per entity and neighbour: evidence count and `direction:relation:id`
+    (null where there is none). Rows, not a list, so a hub stays spread."""
     n = entity_chunk.groupBy("entity_id").agg(F.count("*").alias("chunks"))
     out = edges.select(F.col("source").alias("entity_id"), F.concat_ws(":", F.lit("out"), "relation", "target").alias("link"))
     back = edges.select(F.col("target").alias("entity_id"), F.concat_ws(":", F.lit("in"), "relation", "source").alias("link"))
-    links = out.unionByName(back).groupBy("entity_id").agg(F.sort_array(F.collect_set("link")).alias("links"))
+    links = out.unionByName(back).distinct()
     return entities.join(n, "entity_id", "left").join(links, "entity_id", "left").select(
-        "entity_id", "name", "entity_type", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+        "entity_id", "name", "entity_type", F.coalesce("chunks", F.lit(0)).alias("chunks"), "link")
 
 
 def without_chunks(evidence: DataFrame, entity_chunk: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:

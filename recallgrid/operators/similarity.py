@@ -59,7 +59,7 @@ def _best(left_ids, right_ids, sims, ok, n, min_sim):
     if min_sim is not None:
         ok = ok & (sims >= min_sim)
     out_l, out_r, out_s = [], [], []
-    order_ids = np.argsort(right_ids.astype(str), kind="stable")
+    order_ids = np.argsort(right_ids, kind="stable")
     for i in range(len(left_ids)):
         cand = order_ids[ok[i, order_ids]]
         if cand.size > n:

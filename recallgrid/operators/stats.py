@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranking import spread_rank
+
 DAY = 86400
 METRICS = ["search_count", "store_count", "mean_top1_score", "zero_result_rate", "hit_rate",
            "consolidation_count", "consolidation_cost_usd"]
@@ -138,10 +140,9 @@ def utilisation(chunks: DataFrame, now: int) -> DataFrame:
 
 def hot_rows(chunks: DataFrame) -> DataFrame:
     """The most accessed tenth of each stream, at least one row, never unread ones."""
-    w = Window.partitionBy("stream")
     c = chunks.where("deleted_at is null").select("stream", "id", "access_count")
-    c = c.withColumn("n", F.count("*").over(w)).withColumn(
-        "rn", F.row_number().over(w.orderBy(F.desc("access_count"), "id")))
+    n = c.groupBy("stream").agg(F.count("*").alias("n"))
+    c = spread_rank(c.where("access_count > 0"), "stream", [F.desc("access_count"), F.col("id")], "rn").join(n, "stream")
     return c.where((F.col("rn") <= F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * 0.1))) & (F.col("access_count") > 0))
 
 

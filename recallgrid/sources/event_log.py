@@ -40,13 +40,9 @@ def append_daily(events: DataFrame, folder: str, sec: str = "timestamp") -> None
 
 def newest_first(log: DataFrame, key: str, limit: int, ts: str = "ts", tie: str = "seq") -> DataFrame:
     """Newest `limit` records per key, with how many older ones are not shown."""
-    w = Window.partitionBy(key)
-    order = w.orderBy(F.desc(ts), F.desc(tie))
-    return (
-        log.withColumn("rn", F.row_number().over(order))
-        .withColumn("not_shown", F.greatest(F.lit(0), F.count("*").over(w) - limit))
-        .where(F.col("rn") <= limit)
-    )
+    w = Window.partitionBy(key).orderBy(F.desc(ts), F.desc(tie))
+    total = log.groupBy(key).agg(F.greatest(F.lit(0), F.count("*") - limit).alias("not_shown"))
+    return log.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).join(total, key)
 
 
 def chain(batch: DataFrame, heads: DataFrame | None = None) -> DataFrame:
