@@ -94,9 +94,9 @@ def strip_html(text: Column) -> tuple[Column, Column]:
     return F.when(marked, out).otherwise(text), marked & (F.length(stripped) != F.length(text))
 
 
-def injection_flags(text: Column) -> Column:
-    """Array of the injection findings in `text`."""
-    low = F.lower(text)
+def injection_flags(text: Column, low: Column) -> Column:
+    """Array of the injection findings in `text`; `low` is its lower case, as a
+    column of its own so that it is made once and not once per phrase."""
     named = F.array(*[F.when(low.contains(p), F.lit(f"{kind}: '{p}'")) for p, kind in lx.INJECTION_PATTERNS])
     odd = F.length(text) - F.length(F.regexp_replace(text, r"[\x00-\x1f\x{200b}-\x{200f}\x{feff}]", ""))
     strange = F.when(odd > 5, F.concat(F.lit("suspicious control characters: "), odd.cast("string"), F.lit(" found")))
@@ -106,7 +106,10 @@ def injection_flags(text: Column) -> Column:
 def screen(table: DataFrame, key: str, text: str) -> DataFrame:
     """(key, finding, source): findings in the raw text, in the cleaned one, or both."""
     clean, _ = strip_html(F.col(text))
-    t = table.select(key, injection_flags(F.col(text)).alias("raw"), injection_flags(clean).alias("stripped"))
+    t = table.select(key, F.col(text).alias("_raw"), clean.alias("_clean"))
+    t = t.select(key, "_raw", "_clean", F.lower("_raw").alias("_low_raw"), F.lower("_clean").alias("_low_clean"))
+    t = t.select(key, injection_flags(F.col("_raw"), F.col("_low_raw")).alias("raw"),
+                 injection_flags(F.col("_clean"), F.col("_low_clean")).alias("stripped"))
     both = t.select(key, "raw", "stripped", F.explode(F.array_union("raw", "stripped")).alias("finding"))
     return both.select(key, "finding", F.when(F.array_contains("raw", F.col("finding")) & F.array_contains("stripped", F.col("finding")), "both")
                        .when(F.array_contains("raw", F.col("finding")), "raw").otherwise("stripped").alias("source"))

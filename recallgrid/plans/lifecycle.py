@@ -32,14 +32,14 @@ def prepare(incoming: DataFrame, now: int, blocklist: list[str] | None = None) -
     `incoming` has id, content, metadata, stream, agent.
     """
     clean, _ = textjobs.strip_html(F.col("content"))
-    body = textjobs.redact(clean, blocklist)
     agent = F.coalesce("agent", F.lit("api"))
-    return incoming.select(
-        "id", body.alias("content"), textjobs.redact(F.col("metadata"), blocklist).alias("metadata"), "stream",
+    made = incoming.withColumn("_body", textjobs.redact(clean, blocklist)).withColumn("_low", F.lower("content"))
+    return made.select(
+        "id", F.col("_body").alias("content"), textjobs.redact(F.col("metadata"), blocklist).alias("metadata"), "stream",
         F.lit(0).alias("level"), F.lit(1.0).alias("score"), F.lit(now).cast("long").alias("timestamp"),
         F.lit(now).cast("long").alias("valid_from"), F.lit(True).alias("is_latest"), F.lit(1).cast("long").alias("version"),
-        F.size(textjobs.injection_flags(F.col("content"))).alias("injection_findings"),
-        annotate.fact_type(body).alias("fact_type"), annotate.trust_level(agent).alias("trust_level"), agent.alias("agent"))
+        F.size(textjobs.injection_flags(F.col("content"), F.col("_low"))).alias("injection_findings"),
+        annotate.fact_type(F.col("_body")).alias("fact_type"), annotate.trust_level(agent).alias("trust_level"), agent.alias("agent"))
 
 
 def ingest(incoming: DataFrame, new_vectors: DataFrame, known_vectors: DataFrame, now: int, blocklist: list[str] | None = None,
