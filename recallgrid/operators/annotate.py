@@ -125,29 +125,30 @@ def resolve_dates(table: DataFrame, raw: str, anchor: str) -> DataFrame:
             out = F.when(name.isin([e, *p]), i).otherwise(out)
         return out
 
-    def ago(rx: str, days: int) -> Column:
-        return F.date_sub(a, (F.try_to_number(part(rx, 1), F.lit("999999")).cast("int") * days))
-
-    branches = [
-        ("iso", iso, _date(part(iso, 1), part(iso, 2), part(iso, 3))),
-        ("dotted", dotted, _date(part(dotted, 3), part(dotted, 2), part(dotted, 1))),
-        ("slashed", slashed, _date(part(slashed, 1), part(slashed, 2), part(slashed, 3))),
-        ("polish_month", pl, month_day(_month(part(pl, 2), polish_months), part(pl, 1), part(pl, 3))),
-        ("english_month", en, month_day(_month(part(en, 1), [lx.ENGLISH_MONTHS]), part(en, 2), part(en, 3))),
-        ("today", r"^(today|dziś|dzisiaj|dzis)$", a),
-        ("yesterday", r"^(yesterday|wczoraj)$", F.date_sub(a, 1)),
-        ("day_before", r"^(day before yesterday|przedwczoraj)$", F.date_sub(a, 2)),
-        ("tomorrow", r"^(tomorrow|jutro)$", F.date_add(a, 1)),
-        ("last_week", r"^(last week|w zesz[łl]ym tygodniu)$", weekday(F.lit(0))),
-        ("last_month", r"^(last month|w zeszłym miesiącu|w zeszlym miesiacu)$", F.add_months(F.trunc(a, "month"), -1)),
-        ("days_ago", ago_d, ago(ago_d, 1)), ("weeks_ago", ago_w, ago(ago_w, 7)),
-        ("months_ago", ago_m, F.add_months(a, -part(ago_m, 1).try_cast("int"))),
-        ("last_weekday", wd_en, weekday(weekday_number(part(wd_en, 1)))),
-        ("last_weekday_pl", wd_pl, weekday(weekday_number(part(wd_pl, 1)))),
-    ]
-    branch = F.coalesce(*[F.when(F.col("_s").rlike(rx), F.lit(name)) for name, rx, _ in branches], F.lit("none"))
-    value = F.coalesce(*[F.when(F.col("branch") == name, day) for name, _, day in branches])
-    return table.withColumn("_s", s).withColumn("branch", branch).withColumn("resolved", value).drop("_s")
+    # branch -> (pattern, group of year, month, day) or (pattern, group of the number or weekday)
+    dated = {"iso": (iso, 1, 2, 3), "dotted": (dotted, 3, 2, 1), "slashed": (slashed, 1, 2, 3), "polish_month": (pl, 3, 2, 1), "english_month": (en, 3, 1, 2)}
+    counted = {"days_ago": ago_d, "weeks_ago": ago_w, "months_ago": ago_m}
+    weekdays = {"last_weekday": wd_en, "last_weekday_pl": wd_pl}
+    words = {"today": r"^(today|dziś|dzisiaj|dzis)$", "yesterday": r"^(yesterday|wczoraj)$", "day_before": r"^(day before yesterday|przedwczoraj)$",
+             "tomorrow": r"^(tomorrow|jutro)$", "last_week": r"^(last week|w zesz[łl]ym tygodniu)$",
+             "last_month": r"^(last month|w zeszłym miesiącu|w zeszlym miesiacu)$"}
+    patterns = {**{k: v[0] for k, v in dated.items()}, **words, **counted, **weekdays}
+    branch = F.coalesce(*[F.when(F.col("_s").rlike(rx), F.lit(k)) for k, rx in patterns.items()], F.lit("none"))
+    is_ = lambda *names: F.col("branch").isin(*names)
+    pick = lambda table, group: F.coalesce(*[F.when(is_(k), part(rx, g)) for k, (rx, g) in ((k, group(v)) for k, v in table.items())])
+    t = table.withColumn("_s", s).withColumn("branch", branch)
+    # the parts first, so that each date rule is written once
+    t = t.withColumn("_y", pick(dated, lambda v: (v[0], v[1]))).withColumn("_mm", pick(dated, lambda v: (v[0], v[2]))).withColumn(
+        "_d", pick(dated, lambda v: (v[0], v[3]))).withColumn("_n", pick(counted, lambda v: (v, 1)).try_cast("int")).withColumn(
+        "_wd", weekday_number(pick(weekdays, lambda v: (v, 1))))
+    t = t.withColumn("_m", F.when(is_("polish_month", "english_month"), _month(F.col("_mm"), [*polish_months, lx.ENGLISH_MONTHS])).otherwise(F.col("_mm")))
+    shift = F.when(is_("today"), 0).when(is_("yesterday"), -1).when(is_("day_before"), -2).when(is_("tomorrow"), 1).when(
+        is_("days_ago"), -F.col("_n")).when(is_("weeks_ago"), -F.col("_n") * 7)
+    value = F.coalesce(
+        F.when(is_(*dated), month_day(F.col("_m"), F.col("_d"), F.col("_y"))), F.date_add(a, shift),
+        F.when(is_("last_month"), F.add_months(F.trunc(a, "month"), -1)), F.when(is_("months_ago"), F.add_months(a, -F.col("_n"))),
+        weekday(F.when(is_("last_week"), 0).otherwise(F.col("_wd"))))
+    return t.withColumn("resolved", value).drop("_s", "_y", "_mm", "_m", "_d", "_n", "_wd")
 
 
 def event_seconds(iso: Column) -> Column:
