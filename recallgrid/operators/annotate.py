@@ -159,32 +159,34 @@ def event_seconds(iso: Column) -> Column:
 
 def query_time_range(queries: DataFrame, now: int, text: str = "text") -> DataFrame:
     """Adds `clean`, `start_ts`, `end_ts`: a day or range taken out of the question."""
-    low = F.lower(F.col(text))
     today = now - now % 86400
-    iso, dotted = r"(\d{4})-(\d{2})-(\d{2})", r"(\d{1,2})\.(\d{2})\.(\d{4})"
-    pl = rf"(\d{{1,2}})\s+({'|'.join(lx.POLISH_MONTHS)})(?:\s+(\d{{4}}))?"
-    ex = lambda rx, i: F.regexp_extract(low, rx, i)
-    day = lambda d: F.unix_date(d).cast("long") * 86400
-    this_year = F.year(F.timestamp_seconds(F.lit(now))).cast("string")
-    d_iso = _date(ex(iso, 1), ex(iso, 2), ex(iso, 3))
-    d_dot = _date(ex(dotted, 3), ex(dotted, 2), ex(dotted, 1))
-    d_pl = _date(F.when(ex(pl, 3) == "", this_year).otherwise(ex(pl, 3)), _month(ex(pl, 2), [lx.POLISH_MONTHS]), ex(pl, 1))
-    once = lambda rx: _trim(F.concat(F.regexp_extract(low, "(?s)^(.*?)" + rx, 1), F.regexp_extract(
-        low, "(?s)^.*?" + rx + "(.*)$", re.compile(rx).groups + 1)))
-    gone = lambda *words: _trim(reduce(lambda c, w: F.replace(c, F.lit(w), F.lit("")), words, low))
-    rules = [
-        (low.contains("dzisiaj") | low.contains("dziś"), gone("dzisiaj", "dziś"), F.lit(today), F.lit(today + 86399)),
-        (low.contains("wczoraj"), gone("wczoraj"), F.lit(today - 86400), F.lit(today - 1)),
-        (low.contains("ostatni tydzie"), gone("ostatni tydzień", "ostatni tydzie"), F.lit(now - 7 * 86400), F.lit(now)),
-        (low.contains("ostatni miesią"), gone("ostatni miesiąc", "ostatni miesią"), F.lit(now - 30 * 86400), F.lit(now)),
-        (d_iso.isNotNull(), once(iso), day(d_iso), day(d_iso) + 86399),
-        (d_dot.isNotNull(), once(dotted), day(d_dot), day(d_dot) + 86399),
-        (d_pl.isNotNull(), once(pl), day(d_pl), day(d_pl) + 86399),
-    ]
-    clean, lo, hi = F.col(text), F.lit(None).cast("long"), F.lit(None).cast("long")
-    for cond, c, a, b in reversed(rules):
-        clean, lo, hi = F.when(cond, c).otherwise(clean), F.when(cond, a.cast("long")).otherwise(lo), F.when(cond, b.cast("long")).otherwise(hi)
-    return queries.withColumn("clean", clean).withColumn("start_ts", lo).withColumn("end_ts", hi)
+    patterns = {"iso": r"(\d{4})-(\d{2})-(\d{2})", "dotted": r"(\d{1,2})\.(\d{2})\.(\d{4})",
+                "month": rf"(\d{{1,2}})\s+({'|'.join(lx.POLISH_MONTHS)})(?:\s+(\d{{4}}))?"}
+    low = F.col("_low")
+    ex = lambda kind, i: F.regexp_extract(low, patterns[kind], i)
+    year = F.when(ex("month", 3) == "", F.year(F.timestamp_seconds(F.lit(now))).cast("string")).otherwise(ex("month", 3))
+    q = queries.withColumn("_low", F.lower(F.col(text)))
+    q = q.withColumn("_iso", _date(ex("iso", 1), ex("iso", 2), ex("iso", 3))).withColumn("_dotted", _date(ex("dotted", 3), ex("dotted", 2), ex("dotted", 1)))
+    q = q.withColumn("_month", _date(year, _month(ex("month", 2), [lx.POLISH_MONTHS]), ex("month", 1)))
+    # words first, then dates, first match wins; each word rule with what it removes and its range
+    words = {"today": (["dzisiaj", "dziś"], today, today + 86399), "yesterday": (["wczoraj"], today - 86400, today - 1),
+             "week": (["ostatni tydzień", "ostatni tydzie"], now - 7 * 86400, now), "last_month": (["ostatni miesiąc", "ostatni miesią"], now - 30 * 86400, now)}
+    rule = F.coalesce(*[F.when(low.rlike("|".join(gone)), F.lit(k)) for k, (gone, _, _) in words.items()],
+                      *[F.when(F.col(f"_{k}").isNotNull(), F.lit(k)) for k in patterns], F.lit("none"))
+    q = q.withColumn("_rule", rule)
+    is_ = lambda k: F.col("_rule") == k
+
+    def without_first(rx: str) -> Column:
+        rest = F.regexp_extract(low, f"(?s)^.*?{rx}(.*)$", re.compile(rx).groups + 1)
+        return F.concat(F.regexp_extract(low, f"(?s)^(.*?){rx}", 1), rest)
+
+    clean = F.coalesce(*[F.when(is_(k), F.regexp_replace(low, "|".join(gone), "")) for k, (gone, _, _) in words.items()],
+                       *[F.when(is_(k), without_first(rx)) for k, rx in patterns.items()])
+    day = F.unix_date(F.coalesce(*[F.when(is_(k), F.col(f"_{k}")) for k in patterns])).cast("long") * 86400
+    lo = F.coalesce(*[F.when(is_(k), F.lit(a)) for k, (_, a, _) in words.items()], day)
+    hi = F.coalesce(*[F.when(is_(k), F.lit(z)) for k, (_, _, z) in words.items()], day + 86399)
+    return q.withColumn("clean", F.coalesce(_trim(clean), F.col(text))).withColumn("start_ts", lo).withColumn("end_ts", hi).drop(
+        "_low", "_iso", "_dotted", "_month", "_rule")
 
 
 def rows_in_range(ranges: DataFrame, rows: DataFrame, ts: str = "event_ts") -> DataFrame:
