@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,26 +32,38 @@ def build_session(app: str = "recallgrid", master: str | None = None, shuffle_pa
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of `df`.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where
-    none is named (tests on one machine) a temporary folder is set.
+    Only a session on one machine (`local[...]`) that names none gets a folder
+    of its own; anywhere else executors would not see each other's files there.
     """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    if sc.applicationId not in _OWN:
+        _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN[sc.applicationId]
+
+
+#: Folders of sessions on one machine, by application.
+_OWN: dict[str, str] = {}
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of `df` in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one the cluster names, for written tables."""
-    import uuid
-
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared one, for written tables."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
