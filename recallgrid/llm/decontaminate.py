@@ -52,10 +52,10 @@ def _with_fingerprints(table: DataFrame, k: int, w: int, words: str = "words") -
     least = ranked.withColumn("least", F.when(n > 0, F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_min(F.slice("ranked", i, w))))).otherwise(F.array().cast("array<bigint>")))
 
-    def one(v: Column) -> Column:
+    def one(v: Column) -> Column:  # nothing here may refer to a column that is dear to compute: it would be computed for each v
         at = v.bitwiseAND(PLACE).cast("int")
         start = F.greatest(at - around, F.lit(1))
-        return F.struct(at.alias("at"), F.element_at("gram", at).alias("gram"), F.slice(words, start, at - start).alias("before"),
+        return F.struct(at.alias("at"), F.xxhash64(F.slice(words, at, F.lit(k))).alias("gram"), F.slice(words, start, at - start).alias("before"),
                         F.slice(words, at, F.lit(k)).alias("own"), F.slice(words, at + k, F.lit(around)).alias("after"))
 
     return least.withColumn("print", F.transform("least", one)).drop("gram", "ranked", "least")
@@ -73,11 +73,15 @@ def _agree(a: str, b: str, backwards: bool, most: int) -> Column:
     return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
 
 
+def _opened(table: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """A row for each fingerprint. `explode` would make Spark test the array's size first, and compute it twice for that."""
+    return table.select(*keep, F.explode_outer("print").alias(name)).where(F.col(name).isNotNull()).select(*keep, F.col(f"{name}.gram").alias("gram"), name)
+
+
 def _hits(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
     """(a, b, start, end, item) of shared spans of k + w - 1 words or more; docs (a, b, words), items (item, words)."""
-    mine = _with_fingerprints(docs, k, w).select("a", "b", F.explode("print").alias("d")).select("a", "b", F.col("d.gram").alias("gram"), "d")
-    theirs = _with_fingerprints(items, k, w).select("item", F.explode("print").alias("q")).select("item", F.col("q.gram").alias("gram"), "q")
-    theirs = cut_lineage(theirs)
+    mine = _opened(_with_fingerprints(docs, k, w), ["a", "b"], "d")
+    theirs = cut_lineage(_opened(_with_fingerprints(items, k, w), ["item"], "q"))
     small = theirs.count() <= BROADCAST_ROWS
     met = mine.join(F.broadcast(theirs) if small else theirs, "gram").where("d.own = q.own")
     ends = met.withColumn("left", _agree("d.before", "q.before", True, w - 1)).withColumn("right", _agree("d.after", "q.after", False, w - 1))

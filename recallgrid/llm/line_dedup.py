@@ -36,8 +36,11 @@ def _key(value: Column) -> list[Column]:
 
 
 def _hashed(docs: DataFrame, text: str, *more: Column) -> DataFrame:
-    """One row of (a, b, more) for each different line with a word of each row."""
-    line = docs.select(F.explode(F.array_distinct(lines_of(F.col(text)))).alias("line"), *more).where(F.col("line").rlike(WORD))
+    """One row of (a, b, more) for each different line with a word of each row.
+
+    `explode` would make Spark test the array's size first, and compute it twice for that.
+    """
+    line = docs.select(F.explode_outer(F.array_distinct(lines_of(F.col(text)))).alias("line"), *more).where(F.col("line").rlike(WORD))
     a, b = _key(F.col("line"))
     return line.withColumn("a", a).withColumn("b", b).drop("line")
 

@@ -122,7 +122,7 @@ def communication_matrix(sizes: DataFrame, shard_sizes: list[int], n_partitions:
             F.struct((F.col("node") * 2 + 1).alias("node"), F.expr("slice(parts, half + 1, size(parts) - half)").alias("parts"),
                      F.zip_with("row", "drawn", lambda a, b: a - b).alias("row")))
         one = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("parts"), F.col("row")))
-        nodes = split.select(F.inline(F.when(F.size("parts") > 1, two).otherwise(one)))
+        nodes = split.select(F.inline_outer(F.when(F.size("parts") > 1, two).otherwise(one)))
         if level % 3 == 2:
             nodes = cut_lineage(nodes.repartition(min(2 ** (level + 1), 64), "node"))
     return nodes.select(F.col("parts")[0]["p"].alias("p"), "row")
