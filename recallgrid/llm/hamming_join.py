@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """The rows of `docs`, all columns, whose key names their component."""
+    """The rows of `docs`, all columns, whose key names their component. Rows without a key stay: no decision can name them."""
     (own,) = fresh(docs, "kept_key")
     names = near_duplicates(docs, key, text, k, share).groupBy(F.col(key).alias(own)).agg(F.bool_or("kept").alias("kept")).where("not kept").select(own)
-    return docs.join(names, docs[key].eqNullSafe(F.col(own)), "left_anti").select(*(docs[c] for c in docs.columns))
+    return docs.join(names, docs[key] == F.col(own), "left_anti").select(*(docs[c] for c in docs.columns))

@@ -1,0 +1,155 @@
+"""Operators that look at one text at a time: quality, personal data, pieces, language."""
+
+import base64
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from recallgrid.llm import language_id, pieces, pii, quality
+from recallgrid.llm.queries import QUERIES
+from tests.conftest import SMALL
+
+from . import plain
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(plain.odd_rows(), plain.SCHEMA)
+
+
+def texts_of(rows):
+    return [(r[0], r[1]) for r in rows]
+
+
+def test_quality_counts(spark, odd):
+    got = quality.quality_metrics(odd).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got))) == sorted(
+        map(str, ((i, *plain.quality(t)) for i, t in texts_of(plain.odd_rows()))))
+    assert quality.quality_metrics(odd.where("false")).count() == 0
+
+
+@given(st.text(alphabet="ab #\n\t%", max_size=120))
+@settings(max_examples=60, deadline=None)
+def test_quality_counts_any_text(text):
+    import zstandard
+
+    assert quality.measure(text, zstandard.ZstdCompressor(level=3))[:6] == plain.quality(text)
+
+
+def test_compression_bands(spark):
+    rng = random.Random(3)
+    noise = base64.b64encode(rng.randbytes(6000)).decode()
+    noise = " ".join(noise[i : i + 60] for i in range(0, len(noise), 60))
+    counter = " ".join(f"entry{i:07d}" for i in range(2000))
+    good = plain.prose(rng, 900)
+    half = good + " " + " ".join(f"entry{i:07d}" for i in range(500))
+    got = {r.doc_id: r for r in quality.quality_metrics(spark.createDataFrame([(1, noise), (2, counter), (3, good), (4, half)], "doc_id long, text string")).collect()}
+    assert [got[i].base_failed for i in (1, 2, 3, 4)] == [False] * 4
+    assert (got[1].reason, got[2].reason, got[3].reason, got[4].kept) == ("incompressible", "repetitive", None, False)
+    kept = quality.keep_good(spark.createDataFrame([(1, noise, "x"), (3, good, "y")], "doc_id long, text string, ratio string"))
+    assert [tuple(r) for r in kept.collect()] == [(3, good, "y")]
+
+
+def test_pii_table(spark, odd):
+    got = pii.pii_spans(odd)
+    assert got.columns == ["doc_id", "spans"] and got.count() == len(plain.odd_rows())
+    assert pii.pii_spans(odd.where("false")).count() == 0
+
+
+@given(st.text(alphabet="ab.@+-_ 0123456789()", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_pii_base_as_given(text):
+    assert [s[:3] for s in pii.find_spans(text) if s[0] in pii.BASE] == plain.base_spans(text)
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ("mail a.b+c@d-e.co now", ["email"]), ("a@b.c+d@e.f", ["email", "email"]), ("at 10.0.0.1 or 300.1.1.1", ["ip"]),
+    ("card 4111 1111 1111 1111.", ["card"]), ("card 4111 1111 1111 1112.", []), ("call +49 (30) 1234-567", ["phone"]),
+    ("IBAN DE89 3704 0044 0532 0130 00", ["account"]), ("IBAN DE89 3704 0044 0532 0130 01", []), ("card 378282246310005", ["short_card"]),
+    ("number 378282246310005", []), ("tel 030 555 1234", ["local_phone"]), ("rows 030 555 1234", []), ("ssn 078-05-1120", ["national_id"]),
+    ("version ssn 078-05-1120", []), ("", []), (None, [])])
+def test_pii_kinds(text, kinds):
+    assert [s[0] for s in pii.find_spans(text)] == kinds
+
+
+def test_pii_is_linear():
+    for text in ("a" * 300_000, "1" * 300_000, "+1" * 100_000, "a@" * 100_000, "1." * 100_000):
+        pii.find_spans(text)
+
+
+def test_pieces_parity(spark, odd):
+    import sentencepiece
+
+    exact = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = pieces.encode_table(docs).collect()
+    assert len(got) == len(text) and all(r.ids == exact.encode(text[r.doc_id]) and r.round_trip and r.parity is not False for r in got)
+    rows = pieces.encode_table(odd)
+    want = sorted((str(i), str(None if t is None else exact.encode(t))) for i, t in texts_of(plain.odd_rows()))
+    assert sorted((str(r.doc_id), str(r.ids)) for r in rows.collect()) == want
+    back = pieces.decode_table(rows).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in back) == sorted((str(i), str(t)) for i, t in texts_of(plain.odd_rows()))
+    assert pieces.encode_table(odd.where("false")).count() == 0
+
+
+@given(st.text(alphabet="aé ▁\n日🙂<0x>", max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_pieces_any_text(text):
+    coder = pieces.codec(pieces.default_model())
+    ids = coder.encode([text])[0]
+    assert ids.tolist() == coder.exact.encode(text) and coder.decode([ids.tolist()])[0] == coder.exact.decode(ids.tolist()) and coder.gives_back(text, ids)
+
+
+def test_parts_change_nothing():
+    coder, rng = pieces.codec(pieces.default_model()), random.Random(1)
+    text = "".join(rng.choice(["word", "  ", " ", "é", "\n", "   x"]) for _ in range(6000))
+    assert len(coder.parts(text)) > 5 and coder.encode([text])[0].tolist() == coder.exact.encode(text)
+
+
+def test_gradients():
+    rng = np.random.default_rng(0)
+    p = {k: v.astype(np.float64) for k, v in language_id.new_weights(3, 4).items()}
+    x = rng.integers(0, 256, (9, 5))
+    real = (np.arange(9)[:, None] < np.array([9, 7, 9, 3, 1])).astype(np.float64)
+    y = np.array([0, 1, 2, 1, 0])
+    _, grad = language_id.gradients(p, x, real, real, y)
+    for name in ("ufz", "ubr", "ufc", "w", "b", "xbc"):
+        spots = [np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)]
+        for at in spots:
+            old, values = p[name][at], []
+            for step in (1e-3, -1e-3):
+                p[name][at] = old + step
+                values.append(language_id.gradients(p, x, real, real, y)[0])
+            p[name][at] = old
+            assert abs((values[0] - values[1]) / 2e-3 - grad[name][at]) < 2e-3 + 0.05 * abs(grad[name][at])
+
+
+def test_windows_pool_like_one_by_one():
+    p = language_id.new_weights(3)
+    texts = [b"abc", b"x" * 200, "äöü".encode() * 40, b"Hello world " * 30]
+    together = language_id.pooled(p, texts)
+    assert np.allclose(together, [language_id.pooled(p, [t])[0] for t in texts], atol=1e-5)
+    assert np.allclose(together.sum(1), 1, atol=1e-4)
+
+
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op2_language_id"](spark, sf).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(docs) and 150 < len(held) < 250
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_odd(spark, odd):
+    nothing = language_id.learn(odd)
+    assert nothing[1] == [] and {r.lang_pred for r in language_id.predict(odd, nothing).collect()} == {"und"}
+    some = language_id.learn(spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "fr"), ("x", None)], "text string, lang string"))
+    assert some[1] == ["de", "en"]
+    got = {(r.doc_id, r.lang_pred == "und") for r in language_id.predict(odd, some).collect()}
+    assert {(1, True), (2, True), (3, True), (4, False), (7, False)} <= got
+    assert language_id.predict(odd.where("false"), some).count() == 0
