@@ -23,7 +23,7 @@ def c1(t):
 select query_id, id, sim, rank from (select *, row_number() over (partition by query_id order by sim desc, id) as rank from (
   select q.query_id, v.id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as sim from qvec q, vectors v)) where rank <= 20""")
 def c2(t):
-    return nearest(t.query_vectors, t.vectors, 20).withColumn("rank", F.col("rank").cast("long"))
+    return nearest(t.query_vectors, t.vectors, 20, small_left=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 FUSED = """
@@ -248,7 +248,7 @@ select query_id, count(*) filter (where c.id is null) as leaked from (
     select q.query_id, v.id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as sim from qvec q, vectors v)) h
 left join chunks c on c.id = h.id and c.deleted_at is null where rank <= 20 group by query_id""")
 def c21(t):
-    top = nearest(t.query_vectors, t.vectors, 20)
+    top = nearest(t.query_vectors, t.vectors, 20, small_left=True)
     alive = chunk_store.live(t.chunks).select("id", F.lit(1).alias("ok"))
     return top.join(alive, "id", "left").groupBy("query_id").agg(F.count(F.when(F.col("ok").isNull(), 1)).alias("leaked"))
 

@@ -103,7 +103,7 @@ def lc4(t):
 @query("LC5_topic_groups")
 def lc5(t):
     """Order-dependent leader grouping; checked against a plain loop on a fixture."""
-    return lc.topic_groups(chunk_store.consolidation_eligible(t.chunks, T0), t.vectors)
+    return lc.topic_groups(chunk_store.in_batches(chunk_store.consolidation_eligible(t.chunks, T0)), t.vectors)
 
 
 @query("LC6_consolidation")

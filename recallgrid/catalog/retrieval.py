@@ -322,16 +322,42 @@ def twins_sql(src: str) -> str:
 J3_AT = T0 - 12 * 86400
 
 
-@query("J3_hybrid_search", "fused chunks", f"""
-with recursive pl as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rk from fused) where rk <= 30),
+def scoped_views(tag: str, lexical: str, vector: str) -> None:
+    """The views from channels to `fused`, over narrowed hits."""
+    swap = lambda body: body.replace("from lex_top", f"from lex_top_{tag}").replace("join vec_top", f"join vec_top_{tag}").replace("from channels", f"from channels_{tag}").replace("from pool", f"from pool_{tag}")
+    VIEWS[f"lex_top_{tag}"] = ("lex lex_stream chunks", lexical)
+    VIEWS[f"vec_top_{tag}"] = ("vec_hits qs chunks", vector)
+    VIEWS[f"channels_{tag}"] = (f"lex_top_{tag} vec_top_{tag}", swap(VIEWS["channels"][1]))
+    VIEWS[f"pool_{tag}"] = (f"channels_{tag} chunks", swap(VIEWS["pool"][1]))
+    VIEWS[f"fused_{tag}"] = (f"pool_{tag}", swap(VIEWS["fused"][1]))
+
+
+TOP20 = "select * exclude (rk) from (select query_id, id, {v}, row_number() over (partition by query_id order by {v} desc, id) as rk from {src}) where rk <= 20"
+scoped_views("agent", TOP20.format(v="score", src="(select lex.* from lex join chunks c using (id) where coalesce(agent, 'unknown') <> 'raw-transcript')"),
+             TOP20.format(v="sim", src="vec_hits join chunks c using (id) where coalesce(agent, 'unknown') <> 'raw-transcript'"))
+scoped_views("stream", TOP20.format(v="score", src="lex_stream"), TOP20.format(v="sim", src="(select v.* from vec_hits v join qs using (query_id) join chunks c on c.id = v.id and c.stream = qs.stream)"))
+
+
+@query("J3_hybrid_by_stream", "fused_stream chunks", f"""
+with pl as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rk from fused_stream) where rk <= 30),
+aj as (select * exclude (score), {adjust_sql(access=0.0)} as score from pl), fl as (select * from aj where is_latest),
+{top_cte('o', '(select query_id, id, score from fl)', 10)} select * from o""")
+def j3s(t):
+    """Every question sees its own stream only, in both channels."""
+    h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, prefix_dedup=False, by_stream=True)
+    return h.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("J3_hybrid_search", "fused_agent chunks", f"""
+with recursive pl as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rk from fused_agent) where rk <= 30),
 aj as (select * exclude (score), {adjust_sql(access=0.0)} as score from pl),
 fl as (select * from aj where (valid_from is null or valid_from <= {J3_AT}) and (valid_until is null or valid_until >= {J3_AT}) and is_latest),
 rk as (select f.query_id, f.id, f.score, f.agent, lower(left(content, 150)) as pr, row_number() over (partition by f.query_id order by f.score desc, f.id) as rank from fl f join chunks c on c.id = f.id),
 {twins_sql('rk')},
-kp as (select rk.* from rk join w on w.query_id = rk.query_id and w.id = rk.id and w.ok where coalesce(rk.agent, 'unknown') <> 'raw-transcript'),
+kp as (select rk.* from rk join w on w.query_id = rk.query_id and w.id = rk.id and w.ok),
 {top_cte('o', '(select query_id, id, score from kp)', 10)} select * from o""")
 def j3(t):
-    """Both channels, fused, adjusted, as of a day, latest only, twins dropped, agents filtered."""
+    """Both channels of all agents but one, fused, adjusted, as of a day, latest only, twins dropped."""
     h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, valid_at=J3_AT, exclude_agents=["raw-transcript"])
     return h.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 

@@ -28,7 +28,7 @@ def a2(t):
 select id, stream, rn from (
   select id, stream, row_number() over (partition by stream order by timestamp, id) as rn from chunks
   where level = 0 and not consolidated and not in_progress and not dormant and deleted_at is null
-    and {T0} - timestamp >= 60) where rn <= 200""")
+    and {T0} - timestamp >= 60)""")
 def a3(t):
     return chunk_store.consolidation_eligible(t.chunks, T0).select("id", "stream", F.col("rn").cast("long").alias("rn"))
 

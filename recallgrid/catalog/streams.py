@@ -161,11 +161,11 @@ select query_id, id, sim from (select *, row_number() over (partition by query_i
   select q.query_id, v.id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as sim from qvec q, vectors v)) where rank <= 10""")
 def o4(t):
     """The block path, as for a query side too large to send to every task."""
-    return nearest(t.query_vectors, t.vectors, 10, max_broadcast_rows=0, block_rows=64).select("query_id", "id", "sim")
+    return nearest(t.query_vectors, t.vectors, 10, block_rows=64).select("query_id", "id", "sim")
 
 
 @query("O5_grouped_sequential")
 def o5(t):
     """Topic groups and how large they are."""
-    g = lc.topic_groups(chunk_store.consolidation_eligible(live(t.chunks), T0), t.vectors, 0.3)
-    return g.groupBy("stream", "grp").agg(F.count("*").alias("n"))
+    g = lc.topic_groups(chunk_store.in_batches(chunk_store.consolidation_eligible(live(t.chunks), T0)), t.vectors, 0.3)
+    return g.groupBy("stream", "batch", "grp").agg(F.count("*").alias("n"))

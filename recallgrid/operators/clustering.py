@@ -28,11 +28,16 @@ def _seeds(rows: DataFrame, k_max: int) -> DataFrame:
 
 
 def _assign_broadcast(rows: DataFrame, cents: pd.DataFrame) -> DataFrame:
+    def unit(values) -> np.ndarray:
+        m = np.vstack(values).astype(np.float64)
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    # stream → its cluster numbers and, by vector length, which of them have it and their unit centroids
     table = {}
     for stream, part in cents.sort_values("cluster").groupby("stream"):
-        m = np.vstack(part["centroid"].to_numpy())
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        table[stream] = (part["cluster"].to_numpy(), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0))
+        dims = part["centroid"].map(len).to_numpy()
+        table[stream] = (part["cluster"].to_numpy(), {d: (np.flatnonzero(dims == d), unit(part["centroid"].to_numpy()[dims == d])) for d in np.unique(dims)})
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,11 +46,15 @@ def _assign_broadcast(rows: DataFrame, cents: pd.DataFrame) -> DataFrame:
             for stream, ix in pdf.groupby("stream").indices.items():
                 if stream not in shared.value:
                     continue
-                ids, m = shared.value[stream]
-                x = np.vstack(pdf["embedding"].to_numpy()[ix]).astype(np.float64)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-                out[ix] = ids[np.argmax(np.round(x @ m.T, 9), axis=1)]
+                ids, by_length = shared.value[stream]
+                rows_ = pdf["embedding"].to_numpy()[ix]
+                dims = np.array([len(v) for v in rows_])
+                for d in np.unique(dims):
+                    sims = np.zeros((int((dims == d).sum()), len(ids)))
+                    if d in by_length:
+                        at, m = by_length[d]
+                        sims[:, at] = np.round(unit(rows_[dims == d]) @ m.T, 9)
+                    out[ix[dims == d]] = ids[np.argmax(sims, axis=1)]
             keep = out >= 0
             yield pd.DataFrame({"stream": pdf["stream"][keep], "id": pdf["id"][keep], "cluster": out[keep]})
 
@@ -58,7 +67,10 @@ def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     if size <= MAX_BROADCAST_NUMBERS:
         return _assign_broadcast(rows, centroids.toPandas())
     c = centroids.withColumn("cn", F.sqrt(dot(F.col("centroid"), F.col("centroid"))))
-    s = rows.join(c, "stream").withColumn("s", F.round(F.when(F.col("cn") > 0, dot(F.col("embedding"), F.col("centroid")) / F.col("cn")).otherwise(0.0), 9))
+    both = F.col("cn") * F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    # the cosine, to 9 places, as in the other path; rows and centroids of another length are as far as can be
+    cosine = F.when((both > 0) & (F.size("embedding") == F.size("centroid")), dot(F.col("embedding"), F.col("centroid")) / both).otherwise(0.0)
+    s = rows.join(c, "stream").withColumn("s", F.round(cosine, 9))
     return s.groupBy("stream", "id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.vectors import cosine
 from ..session import cut_lineage
 from ..sources.chunk_store import live
+from .components import components
 from .filters import associable
-from .ranking import top_n
+from .ranking import spread_rank, top_n
 from .similarity import nearest
 
 
@@ -178,7 +179,7 @@ def person_aliases(entities: DataFrame) -> DataFrame:
     return best.where("o.entity_id <> entity_id").select("stream", "entity_id", F.col("o.entity_id").alias("alias_of"))
 
 
-def version_roots(chunks: DataFrame, max_rounds: int = 32) -> DataFrame:
+def version_roots(chunks: DataFrame) -> DataFrame:
     """(id, root_id, steps, cyclic): the start of every version chain.
 
     Pointers are doubled each round, so a chain of length L takes log2(L) joins.
@@ -193,7 +194,7 @@ def version_roots(chunks: DataFrame, max_rounds: int = 32) -> DataFrame:
                                  F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"),
                                  F.col("up").isNotNull().alias("moving")))
     n = max(1, cur.count())
-    for _ in range(min(max_rounds, n.bit_length() + 1)):
+    for _ in range(n.bit_length() + 1):
         if cur.where("moving").isEmpty():
             break
         nxt = cur.select(F.col("id").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("s2"),
@@ -206,14 +207,22 @@ def version_roots(chunks: DataFrame, max_rounds: int = 32) -> DataFrame:
                       F.when(~F.col("moving"), F.col("steps")).alias("steps"), F.col("moving").alias("cyclic"))
 
 
-def version_chain(starts: DataFrame, chunks: DataFrame, limit: int = 50) -> DataFrame:
-    """All rows of each start's chain from its root on, oldest first."""
-    roots = version_roots(chunks)
-    s = starts.select(F.col("id").alias("start_id")).join(roots, F.col("start_id") == F.col("id")).select("start_id", "root_id")
-    members = roots.select("root_id", "id", "steps")
-    w = Window.partitionBy("start_id").orderBy("steps", "id")
-    return (s.join(members, "root_id").withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
-            .select("start_id", "id", "pos"))
+def version_chain(starts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(start_id, id, pos): all rows of each start's chain from its root on, oldest first.
+
+    Rows on a cycle, or leading into one, have no root: their chain is every row
+    tied to the cycle, once, from its smallest id on. A position is counted once
+    per chain, before chains meet their starts.
+    """
+    roots = cut_lineage(version_roots(chunks))
+    loops = roots.where("cyclic").select("id")
+    ties = chunks.select("id", F.col("supersedes_id").alias("up")).join(loops, "id").select(F.col("id").alias("a"), F.col("up").alias("b"))
+    named = components(ties, loops.select(F.col("id").alias("node")))
+    placed = roots.where("not cyclic").select("id", "root_id", "steps").unionByName(
+        named.select(F.col("node").alias("id"), F.concat(F.lit("cycle:"), "root").alias("root_id"), F.lit(0).cast("long").alias("steps")))
+    members = cut_lineage(spread_rank(placed, "root_id", [F.col("steps"), F.col("id")]))
+    s = starts.select(F.col("id").alias("start_id")).join(members.select(F.col("id").alias("start_id"), "root_id"), "start_id")
+    return s.join(members.select("root_id", "id", "pos"), "root_id").select("start_id", "id", "pos")
 
 
 def outcomes_by_type(outcomes: DataFrame, advisories: DataFrame) -> DataFrame:

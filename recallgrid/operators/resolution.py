@@ -6,29 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .annotate import relation_label
+from .components import components
 from .links import person_aliases
 
 
-def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root): smallest node id each node is connected to.
-
-    Every round a node takes the smallest root among itself and its neighbours,
-    then the root of its root, so long chains collapse quickly. Roots only get
-    smaller, so the rounds end; they go on until no root changes.
-    """
-    e = cut_lineage(pairs.selectExpr("a", "b").union(pairs.selectExpr("b as a", "a as b")).distinct())
-    cur = cut_lineage(nodes.select("node", F.col("node").alias("root")))
-    while True:
-        seen = e.join(cur.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        step = cur.join(seen, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("r", "root")).alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("rr"))
-        nxt = cut_lineage(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("rr", "root")).alias("root")))
-        done = nxt.where("was <> root").isEmpty()
-        cur = nxt.select("node", "root")
-        if done:
-            return cur
-
-
 def resolve(mentions: DataFrame) -> DataFrame:
     """(mention_id, entity_id) of `mentions(mention_id, stream, entity_type, name, created_at, chunk_id)`.
 

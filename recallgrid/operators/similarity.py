@@ -1,9 +1,9 @@
 """Exact nearest neighbours by cosine, without an all-pairs result.
 
 For every left row the `n` most similar right rows are kept. Only those leave a
-task. A left side proven small is sent to every task and the right side is read
-once with no shuffle. A larger one is cut, like the right side, into blocks of
-bounded size per scope; each block pair is one small matrix product, so a scope
+task. A left side that the caller states to be small is sent to every task and
+the right side is read once with no shuffle. Any other is cut, like the right
+side, into blocks of bounded size per scope; each block pair is one small matrix product, so a scope
 holding a third of all rows spreads over many tasks.
 """
 
@@ -81,12 +81,13 @@ def _pairs(left_ids=(), right_ids=(), sims=()) -> pd.DataFrame:
 
 def nearest(left: DataFrame, right: DataFrame, n: int, *, left_key: str = "query_id", right_key: str = "id",
             on: Sequence[str] = (), loose: Sequence[str] = (), min_sim: float | None = None,
-            exclude_self: bool = False, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            exclude_self: bool = False, small_left: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(left_key, right_key, sim, rank): top `n` per left row, ties by right id.
 
     `on` columns must be equal (null never matches), `loose` columns must be
     equal or null on either side. Both inputs carry an `embedding` array.
+    `small_left` states that the left side has MAX_BROADCAST_ROWS rows at most,
+    as a batch of questions has; a larger one is then refused.
     """
     extra = [*on, *loose]
     lt = left.schema[left_key].dataType
@@ -98,8 +99,10 @@ def nearest(left: DataFrame, right: DataFrame, n: int, *, left_key: str = "query
         lf, rf = lf.dropna(subset=list(on)), rf.dropna(subset=list(on))
     schema = T.StructType([T.StructField("left_id", lt), T.StructField("right_id", rt),
                            T.StructField("sim", T.DoubleType())])
-    head = lf.limit(max_broadcast_rows + 1).toPandas()
-    if len(head) <= max_broadcast_rows:
+    if small_left:
+        head = lf.limit(MAX_BROADCAST_ROWS + 1).toPandas()
+        if len(head) > MAX_BROADCAST_ROWS:
+            raise ValueError(f"the left side has more than {MAX_BROADCAST_ROWS} rows; leave small_left out")
         parts = _against_small(head, rf, n, on, loose, min_sim, exclude_self, schema)
     else:
         parts = _by_blocks(lf, rf, n, on, loose, min_sim, exclude_self, schema, block_rows)

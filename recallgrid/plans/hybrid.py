@@ -45,12 +45,17 @@ def entity_search(queries: DataFrame, chunks: DataFrame, chunk_entity: DataFrame
 
 
 def vector_search(query_vectors: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int, *,
-                  agent: str | None = None, by_stream: bool = False) -> DataFrame:
-    """Top `k` by cosine among vectors of live rows, narrowed before scoring."""
-    alive = filters.by_agent(live(chunks), agent)
+                  agent: str | None = None, exclude_agents: Sequence[str] = (), by_stream: bool = False,
+                  few_queries: bool = True) -> DataFrame:
+    """Top `k` by cosine among vectors of live rows, narrowed before scoring.
+
+    `few_queries` states that the batch of questions is small enough to send to
+    every task (see `nearest`, which refuses a larger one).
+    """
+    alive = filters.by_agent(live(chunks), agent, exclude_agents)
     if by_stream:
-        return nearest(query_vectors, vectors.join(alive.select("id", "stream"), "id"), k, on=["stream"])
-    return nearest(query_vectors, vectors.join(alive.select("id"), "id", "left_semi"), k)
+        return nearest(query_vectors, vectors.join(alive.select("id", "stream"), "id"), k, on=["stream"], small_left=few_queries)
+    return nearest(query_vectors, vectors.join(alive.select("id"), "id", "left_semi"), k, small_left=few_queries)
 
 
 def fuse_channels(lexical_hits: DataFrame, vector_hits: DataFrame, floor: float = 0.0) -> DataFrame:
@@ -83,12 +88,19 @@ def weighted_fusion(hits: DataFrame, now: int, w_dense: float = 0.6, w_lexical:
     return out.withColumn("score", F.round(score, 6))
 
 
-def graph_additions(pool: DataFrame, graph_scores: DataFrame, chunks: DataFrame, factor: float = 0.3, most: int = 3) -> DataFrame:
-    """Boosts pool rows the graph reaches; adds up to `most` rows it alone reaches."""
+def graph_additions(pool: DataFrame, graph_scores: DataFrame, chunks: DataFrame, factor: float = 0.3, most: int = 3,
+                    scope: DataFrame | None = None) -> DataFrame:
+    """Boosts pool rows the graph reaches; adds up to `most` rows it alone reaches.
+
+    `chunks` holds the rows that may be added; with `scope(query_id, stream)`
+    only those of the query's own stream are.
+    """
     g = graph_scores.select("query_id", "id", "graph")
     boosted = pool.join(g, ["query_id", "id"], "left").withColumn(
         "score", F.round(F.col("score") * (1 + F.coalesce("graph", F.lit(0.0)) * factor), 12)).drop("graph")
     alone = enrich(g.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti"), chunks).where(~F.col("dormant"))
+    if scope is not None:
+        alone = alone.join(scope, ["query_id", "stream"], "left_semi")
     best = ranking.top_n(alone, ["query_id"], [F.desc("graph"), F.col("id")], most).drop("rank")
     extra = (best.withColumn("score", F.round(F.col("graph") * factor, 12)).drop("graph")
              .withColumn("lexical", F.lit(0.0)).withColumn("dense", F.lit(0.0)).withColumn("decay", F.lit(1.0))
@@ -114,15 +126,22 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
                   valid_at: int | None = None, include_superseded: bool = False, fact_type: str | None = None,
                   subject: str | None = None, min_confidence: float | None = None, agent: str | None = None,
                   exclude_agents: Sequence[str] = (), enumerate_subjects: bool = False, prefix_dedup: bool = True,
-                  access_weight: float = 0.0, floor: float = 0.0, most: int | None = None) -> DataFrame:
+                  access_weight: float = 0.0, floor: float = 0.0, most: int | None = None, by_stream: bool = False,
+                  few_queries: bool = True) -> DataFrame:
     """Lexical and vector channels, fused, adjusted, filtered and cut to `k`.
 
-    Filters run in this order: validity, head of chain, facts, prefix twins,
-    subjects, agents. `lane(query_id, id)` marks rows kept beyond the pool.
-    `most` is the result length where it is not `k`.
+    Agents, and with `by_stream` each query's own stream, narrow every channel,
+    the lane and the graph's additions before anything is ranked, so hits of
+    others never take a place. After the pool: validity, head of chain, facts,
+    prefix twins, subjects. `lane(query_id, id)` marks rows kept beyond the
+    pool. `most` is the result length where it is not `k`.
     """
-    lex = lexical_search(queries, chunks, 2 * k)
-    vec = vector_search(query_vectors, vectors, chunks, 2 * k)
+    scope = queries.select("query_id", "stream") if by_stream else None
+    if by_stream and "stream" not in query_vectors.columns:
+        query_vectors = query_vectors.join(scope, "query_id")
+    lex = lexical_search(queries, chunks, 2 * k, by_stream=by_stream, agent=agent, exclude_agents=exclude_agents)
+    vec = vector_search(query_vectors, vectors, chunks, 2 * k, agent=agent, exclude_agents=exclude_agents, by_stream=by_stream,
+                        few_queries=few_queries)
     fused = ranked(weighted_fusion(enrich(fuse_channels(lex, vec, floor), chunks), now))
     if lane is None:
         pool = fused.where(F.col("rank") <= 3 * k)
@@ -131,7 +150,7 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
         pool = ranking.pool_with_guarantee(fused, 3 * k).drop("guaranteed")
     pool = pool.drop("rank")
     if graph_scores is not None:
-        pool = graph_additions(pool, graph_scores, chunks)
+        pool = graph_additions(pool, graph_scores, filters.by_agent(chunks, agent, exclude_agents), scope=scope)
     pool = adjusted(pool, access_weight)
     if valid_at is not None:
         pool = pool.where(filters.valid_at(F.lit(valid_at)))
@@ -145,7 +164,6 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
         pool = ranking.drop_prefix_twins(pool.join(texts, "id"), order="rank").drop("content")
     if enumerate_subjects:
         pool = ranking.one_per_subject(pool.withColumn("subject", F.col("meta.subject"))).drop("subject")
-    pool = filters.by_agent(pool, agent, exclude_agents)
     return ranking.top_n(pool.drop("rank"), ["query_id"], [F.desc("score"), F.col("id")], most or k)
 
 

@@ -10,7 +10,8 @@ from ..functions import scoring
 from ..operators import annotate, filters, merging, textjobs
 from ..operators.ranking import top_n
 from ..operators.similarity import nearest
-from ..sources.chunk_store import consolidation_eligible, live
+from ..session import cut_lineage
+from ..sources.chunk_store import consolidation_eligible, in_batches, live
 
 DAY = 86400
 MAX_CONTENT_BYTES = 102400
@@ -93,13 +94,13 @@ def first_actionable(candidates: DataFrame, labels: DataFrame) -> DataFrame:
 # ---- consolidation -------------------------------------------------------
 
 def topic_groups(batch: DataFrame, vectors: DataFrame, threshold: float = 0.20) -> DataFrame:
-    """(stream, id, grp): rows of a stream joined to the most similar running centroid.
+    """(stream, batch, id, grp): rows of a batch joined to the most similar running centroid.
 
-    Each row depends on the ones before, so a stream's batch is one task. The
-    batch is cut per stream before (`consolidation_eligible`), which bounds it.
+    Each row depends on the ones before, so a batch is one task. Batches hold a
+    fixed number of rows (`in_batches`); all batches of all streams run at once.
     Rows without a vector form group -1.
     """
-    rows = batch.select("stream", "id", "timestamp").join(vectors.select("id", "embedding"), "id", "left")
+    rows = batch.select("stream", "batch", "id", "timestamp").join(vectors.select("id", "embedding"), "id", "left")
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["timestamp", "id"])
@@ -119,9 +120,9 @@ def topic_groups(batch: DataFrame, vectors: DataFrame, threshold: float = 0.20)
                 cents.append(v)
                 sizes.append(1)
             out.append(g)
-        return pd.DataFrame({"stream": pdf["stream"], "id": pdf["id"], "grp": np.asarray(out, dtype=np.int32)})
+        return pd.DataFrame({"stream": pdf["stream"], "batch": pdf["batch"], "id": pdf["id"], "grp": np.asarray(out, dtype=np.int32)})
 
-    return rows.groupBy("stream").applyInPandas(lead, "stream string, id string, grp int")
+    return rows.groupBy("stream", "batch").applyInPandas(lead, "stream string, batch long, id string, grp int")
 
 
 def consolidate(chunks: DataFrame, vectors: DataFrame, now: int, *, min_rows: int = 3, batch: int = 200, threshold: float = 0.20,
@@ -131,13 +132,12 @@ def consolidate(chunks: DataFrame, vectors: DataFrame, now: int, *, min_rows: in
     `compressor` turns a text column into its summary; by default the first
     three sentences and the last.
     """
-    ready = consolidation_eligible(chunks, now, limit=batch)
-    groups = topic_groups(ready, vectors, threshold)
-    sized = groups.withColumn("n", F.count("*").over(Window.partitionBy("stream", "grp")))
+    groups = cut_lineage(topic_groups(in_batches(consolidation_eligible(chunks, now), batch), vectors, threshold))
+    sized = groups.withColumn("n", F.count("*").over(Window.partitionBy("stream", "batch", "grp")))
     used = sized.where(F.col("n") >= min_rows)
     text = used.join(chunks.select("id", "timestamp", "content"), "id")
     s = F.sort_array(F.collect_list(F.struct("timestamp", "id", "content")))
-    g = text.groupBy("stream", "grp").agg(s.alias("s"), F.min("timestamp").alias("valid_from"), F.max("timestamp").alias("valid_until"))
+    g = text.groupBy("stream", "batch", "grp").agg(s.alias("s"), F.min("timestamp").alias("valid_from"), F.max("timestamp").alias("valid_until"))
     ids = F.transform("s", lambda x: x["id"])
     joined = F.array_join(F.transform("s", lambda x: x["content"]), "\n")
     body = textjobs.redact(joined)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.ranking import spread_rank
+
 
 def live(chunks: DataFrame) -> DataFrame:
     """Both levels, without tombstones."""
@@ -15,13 +17,17 @@ def of_level(chunks: DataFrame, level: int) -> DataFrame:
     return chunks.where(F.col("level") == level)
 
 
-def consolidation_eligible(chunks: DataFrame, now: int, min_age: int = 60, limit: int = 200) -> DataFrame:
-    """Oldest `limit` raw rows per stream that no job has taken yet."""
+def consolidation_eligible(chunks: DataFrame, now: int, min_age: int = 60) -> DataFrame:
+    """Raw rows that no job has taken yet, with `rn`, their place in the stream from the oldest on."""
     ready = chunks.where(
         (F.col("level") == 0) & ~F.col("consolidated") & ~F.col("in_progress") & ~F.col("dormant")
         & F.col("deleted_at").isNull() & (F.lit(now) - F.col("timestamp") >= min_age))
-    w = Window.partitionBy("stream").orderBy("timestamp", "id")
-    return ready.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+    return spread_rank(ready, "stream", [F.col("timestamp"), F.col("id")], "rn")
+
+
+def in_batches(ready: DataFrame, size: int = 200) -> DataFrame:
+    """`ready` with `batch`: every `size` rows of a stream, oldest first, make one."""
+    return ready.withColumn("batch", F.expr(f"(rn - 1) div {size}"))
 
 
 def vector_dimensions(vectors: DataFrame, expected: int | None = None) -> DataFrame:

@@ -44,9 +44,9 @@ def test_both_paths_equal_brute_force(spark):
     df = spark.createDataFrame(rows, DDL)
     for loose in ([], ["subject"]):
         want = {k: v for k, v in brute(rows, rows, 3, 0.1, bool(loose)).items() if v}
-        for limit in (4096, 0):
+        for small in (True, False):
             got = nearest(df, df, 3, left_key="id", on=["stream"], loose=loose, min_sim=0.1, exclude_self=True,
-                          max_broadcast_rows=limit, block_rows=7)
+                          small_left=small, block_rows=7)
             assert as_dict(got) == want
 
 
@@ -97,7 +97,7 @@ def test_kmeans_of_all_streams_equals_one_by_one(spark, monkeypatch):
 
 def test_topic_groups_follow_the_running_centroid(spark):
     rows = vectors(30, dim=3, seed=9)
-    batch = spark.createDataFrame([(i, s, n // 2) for n, (i, s, _, _) in enumerate(rows)] + [("lone", "s0", 0)], "id string, stream string, timestamp long")
+    batch = spark.createDataFrame([(i, s, n // 2, 0) for n, (i, s, _, _) in enumerate(rows)] + [("lone", "s0", 0, 0)], "id string, stream string, timestamp long, batch long")
     vec = spark.createDataFrame(rows, DDL).select("id", "embedding")
     got = {r["id"]: r["grp"] for r in lc.topic_groups(batch, vec, 0.3).collect()}
     want = {"lone": -1}
