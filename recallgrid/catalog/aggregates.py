@@ -337,7 +337,7 @@ with a as (select query_id, count(*) as n, count(distinct level) as levels, max(
 s as (select *, round(least(1, n / 20e0 * 0.4 + least(1, levels / 2e0) * 0.3 + case when top > 0 then bottom / top else 0 end * 0.3), 6) as score from a)
 select *, case when score >= 0.7 then 'high' when score >= 0.4 then 'medium' else 'low' end as label from s""")
 def d27(t):
-    hits = hybrid.lexical_search(t.queries, t.chunks, 20).join(t.chunks.select("id", "level"), "id")
+    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).join(t.chunks.select("id", "level"), "id")
     return stats.sufficiency(hits, 20)
 
 
@@ -367,7 +367,7 @@ best as (select query_id, category, min(rank) as rank from tr left join lex_top
 select category, count(*) as cases, round(avg(case when rank <= 1 then 1e0 else 0e0 end), 6) as recall_1, round(avg(case when rank <= 5 then 1e0 else 0e0 end), 6) as recall_5,
   round(avg(case when rank <= 10 then 1e0 else 0e0 end), 6) as recall_10 from best group by category""")
 def d29(t):
-    return stats.recall_at(hybrid.lexical_search(t.queries, t.chunks, 20), truth(t), (1, 5, 10))
+    return stats.recall_at(hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index), truth(t), (1, 5, 10))
 
 
 @query("D30_spread_gate", "vec_top", """

@@ -80,7 +80,7 @@ def b7(t):
 @query("B8_tombstone_filter", "chunks lex_top", """
 select query_id, id from lex_top where id in (select id from chunks where deleted_at is null)""")
 def b8(t):
-    hits = hybrid.lexical_search(t.queries, t.chunks, 20)
+    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index)
     return hits.join(live(t.chunks).select("id"), "id", "left_semi").select("query_id", "id")
 
 

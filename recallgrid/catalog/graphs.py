@@ -55,13 +55,13 @@ def k3(t):
 
 
 @query("K4_graph_build", "chunk_entity dict_rel chunks dict", f"""
-with {FOUND}, en as (select c.stream, name, count(distinct id) as n from chunk_entity join chunks c using (id) group by all)
+with {FOUND}, en as (select c.stream, name, count(distinct id) as n from chunk_entity join chunks c using (id) group by c.stream, name, entity_type)
 select 'entity' as kind, stream, name as a, '' as b, n from en
 union all select 'edge', stream, source, target, count(distinct chunk_id) from fe group by all""")
 def k4(t):
     """Extract, resolve and connect in one job over all live rows."""
     found = t.chunk_entity.join(t.chunks.select("id", "stream", "timestamp"), "id")
-    r = resolution.resolve(found.select(F.concat_ws("|", "id", "name").alias("mention_id"), "stream", F.lit("Concept").alias("entity_type"), "name",
+    r = resolution.resolve(found.select(F.concat_ws("|", "id", "name").alias("mention_id"), "stream", "entity_type", "name",
                                         F.col("timestamp").alias("created_at"), F.col("id").alias("chunk_id")))
     en = resolution.entity_table(r).select(F.lit("entity").alias("kind"), "stream", F.col("canonical").alias("a"), F.lit("").alias("b"), F.col("n_chunks").alias("n"))
     rel = entities.dictionary_relations(t.chunk_entity, t.dict_relation).join(t.chunks.select("id", "stream"), "id")
@@ -138,7 +138,7 @@ sap as (select *, round(relevance * (1 - obviousness), 6) as score from cd where
 
 
 def context(t):
-    return hybrid.lexical_search(t.queries, t.chunks, 5).join(t.vectors.select("id", "embedding"), "id").select("query_id", "embedding")
+    return hybrid.lexical_search(t.queries, t.chunks, 5, index=t.index).join(t.vectors.select("id", "embedding"), "id").select("query_id", "embedding")
 
 
 def clusters(t):
@@ -173,7 +173,7 @@ def k11(t):
 def k13(t):
     """Walks, adjacent clusters, time neighbours and latents, one row per (query, row)."""
     qv, ctx, cl, cn = stream_query_vectors(t), context(t), clusters(t), centroids(t)
-    shown = hybrid.lexical_search(t.queries, t.chunks, 10)
+    shown = hybrid.lexical_search(t.queries, t.chunks, 10, index=t.index)
     ec = graph.evidence_table(t.edge_evidence)
     walked = assoc.weak_tie_walks(starts(t), t.edges).join(ec, F.col("terminal") == F.col("entity_id")).select("query_id", F.col("chunk_id").alias("id")).distinct()
     from ..operators.filters import associable

@@ -16,7 +16,7 @@ from .base import query
 @query("C1_postings_join", "lex_stream", """
 select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from lex_stream) where rank <= 10""")
 def c1(t):
-    return hybrid.lexical_search(t.queries, t.chunks, 10, by_stream=True).withColumn("rank", F.col("rank").cast("long"))
+    return hybrid.lexical_search(t.queries, t.chunks, 10, index=t.index, by_stream=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("C2_vector_scan", "qvec vectors", """
@@ -32,7 +32,7 @@ from channels window w as (partition by query_id)"""
 
 
 def fused(t, k=10):
-    return hybrid.fuse_channels(hybrid.lexical_search(t.queries, t.chunks, 2 * k),
+    return hybrid.fuse_channels(hybrid.lexical_search(t.queries, t.chunks, 2 * k, index=t.index),
                                 hybrid.vector_search(t.query_vectors, t.vectors, t.chunks, 2 * k))
 
 

@@ -54,14 +54,14 @@ EXP_TERMS = f"""et as (select query_id, token, count(*) as qtf from (select quer
 with {EXP_TERMS}, {bm25_cte('ex', 'et')}, {top_cte('o', 'lex', 20)}, {top_cte('e', 'ex', 20)}
 select query_id, id, max(score) as score from (select query_id, id, score from o union all select query_id, id, round(score * 0.5, 6) from e) group by all""")
 def f1(t):
-    return merging.max_merge((hybrid.lexical_search(t.queries, t.chunks, 20), 1.0), (hybrid.lexical_search(expanded(t), t.chunks, 20), 0.5))
+    return merging.max_merge((hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index), 1.0), (hybrid.lexical_search(expanded(t), t.chunks, 20, index=t.index), 0.5))
 
 
 @query("F2_multi_stream_merge", LEXBASE + " chunks", f"""
 with m as (select lex.* from lex join chunks using (id) where stream in ('s1', 's2', 's3')), {top_cte('tp', 'm', 10)} select query_id, id, score from tp""")
 def f2(t):
     """One grouped query over several streams."""
-    return hybrid.lexical_search(t.queries, t.chunks, 10, where=F.col("stream").isin("s1", "s2", "s3")).select("query_id", "id", "score")
+    return hybrid.lexical_search(t.queries, t.chunks, 10, index=t.index, where=F.col("stream").isin("s1", "s2", "s3")).select("query_id", "id", "score")
 
 
 def sub_queries(t):
@@ -77,7 +77,7 @@ with {SUBTOP}, sv as (select query_id - 1 as query_id, id, sim from vec_top wher
 select 'lexical' as channel, query_id, id, max(score) as score from (select query_id, id, score from lex_top union all select * from sl) group by all
 union all select 'vector', query_id, id, round(sum(score), 6) from (select query_id, id, sim as score from vec_top union all select query_id, id, sim * 0.5e0 from sv where sim >= 0.3) group by all""")
 def f3(t):
-    lex = merging.max_merge((hybrid.lexical_search(t.queries, t.chunks, 20), 1.0), (hybrid.lexical_search(sub_queries(t), t.chunks, 20), 1.0))
+    lex = merging.max_merge((hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index), 1.0), (hybrid.lexical_search(sub_queries(t), t.chunks, 20, index=t.index), 1.0))
     vec = hybrid.vector_search(t.query_vectors, t.vectors, t.chunks, 20).select("query_id", "id", F.col("sim").alias("score"))
     sub_vec = t.query_vectors.where("query_id > 0").withColumn("query_id", F.col("query_id") - 1)
     v = merging.add_sub_query_vectors(vec, hybrid.vector_search(sub_vec, t.vectors, t.chunks, 10))
@@ -92,7 +92,7 @@ LANE = f"""rt as (select query_id, token, 1 as qtf from (select distinct query_i
 with {LANE}, {top_cte('o', 'lex', 5)} select query_id, id, score, false as injected from o
 union all select query_id, id, score, true from lane where (query_id, id) not in (select query_id, id from o)""")
 def f4(t):
-    return merging.inject(hybrid.lexical_search(t.queries, t.chunks, 5), hybrid.rare_term_lane(t.queries, t.chunks))
+    return merging.inject(hybrid.lexical_search(t.queries, t.chunks, 5, index=t.index), hybrid.rare_term_lane(t.queries, t.chunks, index=t.index))
 
 
 @query("F5_reranker_slice", LEXBASE + " doc_df", f"""
@@ -100,8 +100,8 @@ with {LANE}, {top_cte('o', 'lex', 20)}, f as (select o.*, (query_id, id) in (sel
 c as (select *, sum(case when rank > 5 and in_lane then 1 else 0 end) over (partition by query_id order by rank) as k from f)
 select query_id, id, rank from c where rank <= 5 or (in_lane and k <= 3)""")
 def f5(t):
-    lane = hybrid.rare_term_lane(t.queries, t.chunks).select("query_id", "id", F.lit(True).alias("in_lane"))
-    r = hybrid.lexical_search(t.queries, t.chunks, 20).join(lane, ["query_id", "id"], "left").fillna(False, ["in_lane"])
+    lane = hybrid.rare_term_lane(t.queries, t.chunks, index=t.index).select("query_id", "id", F.lit(True).alias("in_lane"))
+    r = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).join(lane, ["query_id", "id"], "left").fillna(False, ["in_lane"])
     return ranking.head_plus_lane(r, 5, 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -117,7 +117,7 @@ def f6(t):
     vec = hybrid.vector_search(t.query_vectors, t.vectors, t.chunks, 20).withColumnRenamed("sim", "score")
     n = t.queries.agg(F.count("*").alias("n")).scalar()
     lat = latents(t).join(t.events.select("event_id", "user_id"), "event_id").select((F.col("user_id") % n).alias("query_id"), F.col("target").alias("id"), "score")
-    shown = hybrid.lexical_search(t.queries, t.chunks, 5)
+    shown = hybrid.lexical_search(t.queries, t.chunks, 5, index=t.index)
     return merging.first_mechanism([("graph_walk", rel), ("adjacent", vec), ("latent", lat)], shown, 15).select("query_id", "id", "score", "mechanism")
 
 
@@ -241,7 +241,7 @@ from s join qc using (query_id) join cn a on a.cluster = s.cluster join cn b on
 def i10(t):
     from ..operators import association as assoc
     hits = hybrid.vector_search(t.query_vectors, t.vectors, t.chunks, 20).select("query_id", "id")
-    ctx = hybrid.lexical_search(t.queries, t.chunks, 5).join(t.vectors.select("id", "embedding"), "id").select("query_id", "embedding")
+    ctx = hybrid.lexical_search(t.queries, t.chunks, 5, index=t.index).join(t.vectors.select("id", "embedding"), "id").select("query_id", "embedding")
     clusters = t.vectors.select("id", F.col("label").alias("cluster"))
     return assoc.serendipity(hits, t.query_vectors, ctx, t.vectors, clusters, centroids(t)).select("query_id", "id", F.col("score").alias("serendipity"))
 
@@ -286,20 +286,20 @@ def i13(t):
 
 @query("J1_lexical_search", "lex", f"with {top_cte('o', 'lex', 5)} select * from o")
 def j1(t):
-    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 5))
+    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 5, index=t.index))
 
 
 @query("J1_date_range_search", "lex chunks", f"""
 with f as (select lex.* from lex join chunks c using (id) where coalesce(cast(epoch(cast(event_date as date)) as bigint) + 43200, timestamp) between {B7_RANGE[0]} and {B7_RANGE[1]}),
 {top_cte('o', 'f', 10)} select * from o""")
 def j1d(t):
-    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 10, where=flt.event_noon().between(*B7_RANGE)))
+    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 10, index=t.index, where=flt.event_noon().between(*B7_RANGE)))
 
 
 @query("J1_agent_search", "lex chunks", f"""
 with f as (select lex.* from lex join chunks c using (id) where coalesce(agent, 'unknown') not in ('api', 'mcp')), {top_cte('o', 'f', 10)} select * from o""")
 def j1a(t):
-    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 10, exclude_agents=["api", "mcp"]))
+    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 10, index=t.index, exclude_agents=["api", "mcp"]))
 
 
 @query("J2_vector_search", "qvec vectors chunks qs", f"""
@@ -344,7 +344,7 @@ aj as (select * exclude (score), {adjust_sql(access=0.0)} as score from pl), fl
 {top_cte('o', '(select query_id, id, score from fl)', 10)} select * from o""")
 def j3s(t):
     """Every question sees its own stream only, in both channels."""
-    h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, prefix_dedup=False, by_stream=True)
+    h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, index=t.index, prefix_dedup=False, by_stream=True)
     return h.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -358,7 +358,7 @@ kp as (select rk.* from rk join w on w.query_id = rk.query_id and w.id = rk.id a
 {top_cte('o', '(select query_id, id, score from kp)', 10)} select * from o""")
 def j3(t):
     """Both channels of all agents but one, fused, adjusted, as of a day, latest only, twins dropped."""
-    h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, valid_at=J3_AT, exclude_agents=["raw-transcript"])
+    h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, index=t.index, valid_at=J3_AT, exclude_agents=["raw-transcript"])
     return h.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -378,8 +378,8 @@ su as (select *, row_number() over (partition by query_id, lower(subject) order
 def j3g(t):
     """An enumeration query: graph rows and rare-term rows join, one row per subject, 30 hits."""
     g = graph.related_chunks(starts(t), t.edges, graph.evidence_table(t.edge_evidence), hops=1)
-    lane = hybrid.rare_term_lane(t.queries, t.chunks)
-    h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, graph_scores=g, lane=lane, include_superseded=True,
+    lane = hybrid.rare_term_lane(t.queries, t.chunks, index=t.index)
+    h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, index=t.index, graph_scores=g, lane=lane, include_superseded=True,
                              enumerate_subjects=True, prefix_dedup=False, most=30)
     return h.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -388,12 +388,12 @@ def j3g(t):
 with n as (select l.query_id, l.id, round(l.score / max(l.score) over (partition by l.query_id) * exp(-(case when level = 0 then 0.05e0 else 0.03e0 end) * ({T0} - timestamp) / 86400e0), 6) as score
   from lex_top l join chunks c using (id)), {top_cte('o', 'n', 30)} select * from o""")
 def j4(t):
-    return hybrid.lexical_only(t.queries, t.chunks, T0).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return hybrid.lexical_only(t.queries, t.chunks, T0, index=t.index).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("J5_rare_term_lane", LEXBASE + " doc_df", f"with {LANE} select query_id, id, score, rank from lane")
 def j5(t):
-    return long_rank(hybrid.rare_term_lane(t.queries, t.chunks))
+    return long_rank(hybrid.rare_term_lane(t.queries, t.chunks, index=t.index))
 
 
 def query_names(t):
@@ -491,5 +491,5 @@ l as (select id, max_by(boosts, k) as boosts from w group by id)
 select c.id, case when boosts > 0 then round(least(1.5, coalesce(importance, 1.0) + 0.1e0 * boosts), 6) else importance end as importance,
   case when seen > 0 then 1e0 else score end as score, access_count + coalesce(seen, 0) as access_count from chunks c left join n using (id) left join l using (id)""")
 def j10(t):
-    hits = hybrid.lexical_search(t.queries, t.chunks, 20).withColumn("ts", T0 - F.col("query_id") * 30000)
+    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).withColumn("ts", T0 - F.col("query_id") * 30000)
     return packs.apply_search_effects(t.chunks, hits).select("id", "importance", "score", "access_count")

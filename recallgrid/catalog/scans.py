@@ -186,11 +186,10 @@ def a15(t):
 @query("A16_lexical_index", "doc_tokens", """
 select token, count(distinct id) as df, count(*) as cf from doc_tokens group by token""")
 def a16(t):
-    """The postings table is written once; document frequencies come from it."""
-    folder = scratch_path(t.spark, "postings")
-    ix = lexical.index_tables(chunk_store.live(t.chunks))
-    ix["postings"].write.parquet(folder)
-    p = t.spark.read.parquet(folder)
+    """The index is written anew; frequencies come from its postings."""
+    folder = scratch_path(t.spark, "index")
+    lexical.write_index(chunk_store.live(t.chunks), folder)
+    p = lexical.read_index(t.spark, folder).postings
     return p.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 

@@ -193,7 +193,7 @@ s as (select query_id, id, case when {FIRST_SQL.format('c')} = '' then c else {F
 o as (select query_id, id, {THIRD_SQL} as o from s)
 select query_id, id, md5(case when not regexp_matches(o, {lit(tx.METAWORDS)}) and strlen(o) // 4 + 1 <= 200 then o end) as snippet_md5 from o""")
 def g6(t):
-    hits = hybrid.lexical_search(t.queries, t.chunks, 20).join(t.chunks.select("id", "content"), "id")
+    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).join(t.chunks.select("id", "content"), "id")
     return hits.select("query_id", "id", F.md5(tx.snippet(F.col("content"))).alias("snippet_md5"))
 
 
@@ -409,7 +409,7 @@ def h7o(t):
 @query("H8_rare_query_terms", "q_terms doc_df doc_stats", """
 select query_id, token, df from (select distinct query_id, token from q_terms) join doc_df using (token), doc_stats where df <= greatest(3, ceil(0.005 * n))""")
 def h8(t):
-    return hybrid.rare_terms(t.queries, t.chunks)
+    return hybrid.rare_terms(t.queries, t.chunks, index=t.index)
 
 
 @query("H9_content_types", "chunks", f"""

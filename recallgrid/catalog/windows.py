@@ -62,7 +62,7 @@ def e2(t):
 
 @query("E3_channel_normalisation", "lex_top", "select query_id, id, round(score / max(score) over (partition by query_id), 6) as lexical from lex_top")
 def e3(t):
-    h = hybrid.lexical_search(t.queries, t.chunks, 20)
+    h = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index)
     return h.select("query_id", "id", F.round(ranking.max_normalised("score"), 6).alias("lexical"))
 
 
@@ -100,7 +100,7 @@ w as (select query_id, id, rank, pr, [pr] as kept, true as ok from p where rank
     len(list_filter(range(1, 151), lambda i: i <= len(k) and i <= len(p.pr) and left(k, i) = left(p.pr, i))) * 1e0 / least(strlen(k), strlen(p.pr)) > 0.8)) > 0 as twin) x)
 select query_id, id from w where ok""")
 def e7(t):
-    hits = hybrid.lexical_search(t.queries, t.chunks, 20).join(t.chunks.select("id", "content"), "id")
+    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).join(t.chunks.select("id", "content"), "id")
     return ranking.drop_prefix_twins(hits).select("query_id", "id")
 
 
@@ -108,7 +108,7 @@ def e7(t):
 select query_id, id from (select l.query_id, l.id, subject, row_number() over (partition by query_id, lower(subject) order by rank) as n
   from lex_top l join chunks using (id)) where n = 1 or subject is null""")
 def e8(t):
-    hits = hybrid.lexical_search(t.queries, t.chunks, 20).join(t.chunks.selectExpr("id", "meta.subject as subject"), "id")
+    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).join(t.chunks.selectExpr("id", "meta.subject as subject"), "id")
     return ranking.one_per_subject(hits).select("query_id", "id")
 
 
@@ -116,7 +116,7 @@ def e8(t):
 select query_id, id, spent from (select query_id, id, rank, cast(sum(strlen(content) // 4 + 25) over (partition by query_id order by rank) as bigint) as spent
   from lex_top join chunks using (id)) where spent <= 3000 or rank = 1""")
 def e9(t):
-    hits = hybrid.lexical_search(t.queries, t.chunks, 20).join(t.chunks.selectExpr("id", "octet_length(content) div 4 + 25 as cost"), "id")
+    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).join(t.chunks.selectExpr("id", "octet_length(content) div 4 + 25 as cost"), "id")
     return ranking.within_budget(hits, F.col("cost"), 3000).select("query_id", "id", "spent")
 
 
@@ -196,7 +196,7 @@ def e16(t):
 select 'lexical' as channel, query_id, id, rank from lex_top union all select 'vector', query_id, id, rank from vec_top
 union all select 'fused', query_id, id, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from fused) where rank <= 20""")
 def e17(t):
-    parts = {"lexical": hybrid.lexical_search(t.queries, t.chunks, 20), "vector": hybrid.vector_search(t.query_vectors, t.vectors, t.chunks, 20),
+    parts = {"lexical": hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index), "vector": hybrid.vector_search(t.query_vectors, t.vectors, t.chunks, 20),
              "fused": fused_ranked(t).where("rank <= 20")}
     out = None
     for name, df in parts.items():

@@ -14,14 +14,22 @@ from ..sources.chunk_store import live
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int, *, by_stream: bool = False,
                    where: Column | None = None, agent: str | None = None,
-                   exclude_agents: Sequence[str] = ()) -> DataFrame:
-    """Top `k` by BM25. Filters act before ranking; statistics stay global."""
+                   exclude_agents: Sequence[str] = (), index: lexical.Index | None = None) -> DataFrame:
+    """Top `k` by BM25. Filters act before ranking; statistics stay global.
+
+    With `index`, the stored index of the live chunks, no text is read.
+    """
     base = live(chunks)
     keys = ("query_id", "stream") if by_stream else ("query_id",)
     terms = lexical.query_terms(queries, keys=keys)
     docs = base if where is None else base.where(where)
     docs = filters.by_agent(docs, agent, exclude_agents)
     narrowed = where is not None or agent is not None or bool(exclude_agents)
+    if index is not None:
+        hits = lexical.search_index(terms, index, by_stream)
+        if narrowed:
+            hits = hits.join(docs.select("id"), "id", "left_semi")
+        return ranking.top_n(hits, ["query_id"], [F.desc("score"), F.col("id")], k)
     hits = lexical.bm25(terms, docs, by_stream=by_stream, stats_docs=base if narrowed else None)
     return ranking.top_n(hits, ["query_id"], [F.desc("score"), F.col("id")], k)
 
@@ -127,7 +135,7 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
                   subject: str | None = None, min_confidence: float | None = None, agent: str | None = None,
                   exclude_agents: Sequence[str] = (), enumerate_subjects: bool = False, prefix_dedup: bool = True,
                   access_weight: float = 0.0, floor: float = 0.0, most: int | None = None, by_stream: bool = False,
-                  few_queries: bool = True) -> DataFrame:
+                  few_queries: bool = True, index: lexical.Index | None = None) -> DataFrame:
     """Lexical and vector channels, fused, adjusted, filtered and cut to `k`.
 
     Agents, and with `by_stream` each query's own stream, narrow every channel,
@@ -139,7 +147,7 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
     scope = queries.select("query_id", "stream") if by_stream else None
     if by_stream and "stream" not in query_vectors.columns:
         query_vectors = query_vectors.join(scope, "query_id")
-    lex = lexical_search(queries, chunks, 2 * k, by_stream=by_stream, agent=agent, exclude_agents=exclude_agents)
+    lex = lexical_search(queries, chunks, 2 * k, by_stream=by_stream, agent=agent, exclude_agents=exclude_agents, index=index)
     vec = vector_search(query_vectors, vectors, chunks, 2 * k, agent=agent, exclude_agents=exclude_agents, by_stream=by_stream,
                         few_queries=few_queries)
     fused = ranked(weighted_fusion(enrich(fuse_channels(lex, vec, floor), chunks), now))
@@ -167,27 +175,27 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
     return ranking.top_n(pool.drop("rank"), ["query_id"], [F.desc("score"), F.col("id")], most or k)
 
 
-def lexical_only(queries: DataFrame, chunks: DataFrame, now: int, k: int = 10) -> DataFrame:
+def lexical_only(queries: DataFrame, chunks: DataFrame, now: int, k: int = 10, index: lexical.Index | None = None) -> DataFrame:
     """Fallback without vectors: normalised score times decay, cut to the pool."""
-    hits = lexical_search(queries, chunks, 2 * k).withColumn("lexical", ranking.max_normalised("score"))
+    hits = lexical_search(queries, chunks, 2 * k, index=index).withColumn("lexical", ranking.max_normalised("score"))
     hits = enrich(hits.select("query_id", "id", "lexical"), chunks)
     s = F.col("lexical") * scoring.time_decay(F.col("timestamp"), F.col("level"), now)
     return ranking.top_n(hits.withColumn("score", F.round(s, 6)), ["query_id"], [F.desc("score"), F.col("id")], 3 * k)
 
 
-def rare_terms(queries: DataFrame, chunks: DataFrame, floor: int = 3, ratio: float = 0.005) -> DataFrame:
+def rare_terms(queries: DataFrame, chunks: DataFrame, floor: int = 3, ratio: float = 0.005, index: lexical.Index | None = None) -> DataFrame:
     """(query_id, token, df) of the query words few documents hold."""
     base = live(chunks)
     words = lexical.query_terms(queries).select("query_id", "token")
-    n = base.agg(F.count("*").alias("n")).scalar()
-    df = (lexical.postings(base).join(words.select("token").distinct(), "token", "left_semi")
+    n = base.agg(F.count("*").alias("n")).scalar() if index is None else index.totals.select("n").scalar()
+    df = index.term_df if index is not None else (lexical.postings(base).join(words.select("token").distinct(), "token", "left_semi")
           .groupBy("token").agg(F.count("*").alias("df")))
     cut = F.greatest(F.lit(floor).cast("long"), F.ceil(n * ratio))
     return words.join(df, "token").where(F.col("df") <= cut).select("query_id", "token", "df")
 
 
-def rare_term_lane(queries: DataFrame, chunks: DataFrame, cap: int = 10) -> DataFrame:
+def rare_term_lane(queries: DataFrame, chunks: DataFrame, cap: int = 10, index: lexical.Index | None = None) -> DataFrame:
     """Best `cap` rows per query by its rare words alone."""
-    rare = rare_terms(queries, chunks).select("query_id", "token").withColumn("qtf", F.lit(1))
-    hits = lexical.bm25(rare, live(chunks))
+    rare = rare_terms(queries, chunks, index=index).select("query_id", "token").withColumn("qtf", F.lit(1))
+    hits = lexical.bm25(rare, live(chunks)) if index is None else lexical.search_index(rare, index)
     return ranking.top_n(hits, ["query_id"], [F.desc("score"), F.col("id")], cap)

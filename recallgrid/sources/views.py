@@ -11,14 +11,20 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
+from ..operators import lexical
 from ..operators.entities import extract_entities
-from ..session import spread
+from ..session import scratch_path, spread
+from .chunk_store import live
 from .dictionary import first_alias_wins
 
 T0 = 1706659200
 DAY = 86400
 
 
+#: Folders of the stored indexes, by application and data directory: an index is written once and searched by every query.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
 class Tables:
     """Lazily built DataFrames over one data directory."""
 
@@ -30,6 +36,16 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def index(self) -> lexical.Index:
+        """The stored term index of the live chunks; the first use of a data directory writes it."""
+        key = (self.spark.sparkContext.applicationId, self.path)
+        if key not in _INDEXES:
+            folder = scratch_path(self.spark, "index")
+            lexical.write_index(live(self.chunks), folder)
+            _INDEXES[key] = folder
+        return lexical.read_index(self.spark, _INDEXES[key])
+
     @cached_property
     def documents(self) -> DataFrame:
         return spread(self.raw("documents"))
