@@ -195,6 +195,15 @@ def d14(t):
     return stats.quality(t.chunks)
 
 
+@query("D14_quality_breakdown", "chunks", """
+select stream, 'level' as by, 'L' || level as value, count(*) as n from chunks where is_latest group by all
+union all select stream, 'source', coalesce(agent, 'unknown'), count(*) from chunks where is_latest group by all
+union all select stream, 'type', coalesce(fact_type, 'UNKNOWN'), count(*) from chunks where is_latest group by all""")
+def d14b(t):
+    """Latest rows by level, source and type, all three from one scan."""
+    return stats.quality_breakdown(t.chunks)
+
+
 MECHANISMS = "'graph_walk', 'adjacent', 'temporal'"
 
 

@@ -236,10 +236,25 @@ select 'index_count' as metric, count(*) as value from i union all select 'table
 union all select 'only_in_index', count(*) from i where id not in (select id from c)
 union all select 'only_in_table', count(*) from c where id not in (select id from i)""")
 def c20(t):
-    """An index that still holds tombstones and misses some rows."""
+    return links.index_parity(stale_index(t), chunk_store.live(t.chunks))
+
+
+def stale_index(t):
+    """The ids of an index that still holds tombstones and misses some rows."""
     folder = scratch_path(t.spark, "stale-index")
     lexical.postings(t.chunks.where("doc_id % 31 <> 0")).select("id").distinct().write.parquet(folder)
-    return links.index_parity(t.spark.read.parquet(folder), chunk_store.live(t.chunks))
+    return t.spark.read.parquet(folder)
+
+
+@query("C20_parity_report", "chunks", """
+with i as (select id from chunks where doc_id % 31 <> 0), c as (select id from chunks where deleted_at is null),
+o as (select id from i where id not in (select id from c)), m as (select id from c where id not in (select id from i))
+select (select count(*) from o) as orphans, (select count(*) from m) as missing,
+  round(100e0 * ((select count(*) from o) + (select count(*) from m)) / (select count(*) from c), 6) as drift_pct,
+  (select count(*) from o) + (select count(*) from m) = 0 as in_sync,
+  (select string_agg(id, ',' order by id) from (select id from o order by id limit 10)) as orphan_sample""")
+def c20r(t):
+    return links.parity_report(stale_index(t), chunk_store.live(t.chunks))
 
 
 @query("C21_orphan_leakage", "qvec vectors chunks", """

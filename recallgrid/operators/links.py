@@ -157,6 +157,16 @@ def index_parity(index_ids: DataFrame, chunks: DataFrame) -> DataFrame:
     return out
 
 
+def parity_report(index_ids: DataFrame, chunks: DataFrame, sample: int = 10) -> DataFrame:
+    """One row: ids on either side only, the drift in per cent of the table, whether both agree, and the first orphan ids as a sample."""
+    i, c = index_ids.select("id", F.lit(True).alias("i")).distinct(), chunks.select("id", F.lit(True).alias("c"))
+    both = cut_lineage(i.join(c, "id", "full_outer"))
+    counts = both.agg(F.count_if(F.col("c").isNull()).alias("orphans"), F.count_if(F.col("i").isNull()).alias("missing"), F.count("c").alias("table_count"))
+    first = both.where("c is null").select("id").orderBy("id").limit(sample).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("orphan_sample"))
+    drift = F.round(100.0 * (F.col("orphans") + F.col("missing")) / F.greatest("table_count", F.lit(1)), 6)
+    return counts.crossJoin(first).select("orphans", "missing", drift.alias("drift_pct"), (F.col("orphans") + F.col("missing") == 0).alias("in_sync"), "orphan_sample")
+
+
 def person_aliases(entities: DataFrame) -> DataFrame:
     """For each Person, the oldest Person of its stream whose name is a run of
     words of its own, or the other way round.

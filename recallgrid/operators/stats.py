@@ -231,6 +231,14 @@ def quality(chunks: DataFrame) -> DataFrame:
             .withColumn("advise_noise", F.col("short") > 10).withColumn("good", F.col("score") >= 80))
 
 
+def quality_breakdown(chunks: DataFrame) -> DataFrame:
+    """(stream, by, value, n): latest rows of each stream by level, by source agent and by fact type."""
+    kinds = F.array(F.struct(F.lit("level").alias("by"), F.concat(F.lit("L"), F.col("level").cast("string")).alias("value")),
+                    F.struct(F.lit("source").alias("by"), F.coalesce("source.agent", F.lit("unknown")).alias("value")),
+                    F.struct(F.lit("type").alias("by"), F.coalesce("meta.fact_type", F.lit("UNKNOWN")).alias("value")))
+    return chunks.where("is_latest").select("stream", F.inline(kinds)).groupBy("stream", "by", "value").agg(F.count("*").alias("n"))
+
+
 def effectiveness(outcomes: DataFrame) -> DataFrame:
     """Followed advisories overall (`_all`) and by type."""
     r = outcomes.rollup("advisory_type").agg(F.count("*").alias("total"), _n("followed", "followed_n"))
