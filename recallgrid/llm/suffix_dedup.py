@@ -213,19 +213,32 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["id", "digest", "size", "sha", "anchors"])
 
 
-def _cut_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, first, gram, piece, piece digest): the bytes of each anchor's strings. A row is one text with its open anchors."""
+def _name_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(same, digest, gram, size, firsts): each different piece of a text by its digest, and where it starts there. A row is one text with its open anchors."""
     for batch in by_bytes(batches, "text", 1 << 20):
         out: list[tuple] = []
         for digest, text, open_ in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "open"))):
             raw = (text or "").encode()
-            if _digest(raw) == digest:
-                for o in open_:
-                    piece = raw[o["first"] : o["last"] + MIN]
-                    out.append((digest, o["first"], o["gram"], piece, _digest(piece)))
-        types = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            if _digest(raw) != digest:  # another text of the same key
+                continue
+            found: dict[bytes, tuple] = {}
+            for o in open_:
+                piece = raw[o["first"] : o["last"] + MIN]
+                found.setdefault(_digest(piece), (o["gram"], len(piece), []))[2].append(o["first"])
+            out += [(same, digest, *f) for same, f in found.items()]
+        types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
         columns = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["digest", "first", "gram", "piece", "same"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["same", "digest", "gram", "size", "firsts"])
+
+
+def _cut_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, dealt, same, piece): the bytes of the pieces that are taken from a text."""
+    for batch in by_bytes(batches, "text", 1 << 20):
+        out = [(t["at"], t["dealt"], t["same"], raw[t["first"] : t["first"] + t["size"]])
+               for digest, text, taken in zip(*(batch.column(c).to_pylist() for c in ("digest", "text", "taken")))
+               if _digest(raw := (text or "").encode()) == digest for t in taken]
+        columns = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], ["at", "dealt", "same", "piece"])
 
 
 #: A string of a dealt gram: its digest, the piece it stands in (by digest) and the start there.
@@ -234,7 +247,8 @@ _STRING = np.dtype([("string", "S16"), ("same", "S16"), ("start", "<i4")])
 
 def _shard(rows: pd.DataFrame, n_ranges: int) -> pd.DataFrame:
     """Repeated runs of starts in a shard's pieces; for dealt grams also its different strings, sorted and packed, by range."""
-    rows = rows.sort_values("same", kind="stable").reset_index(drop=True)  # the order rows come in decides nothing
+    rows = rows.sort_values("same", kind="stable")  # the order rows come in decides nothing
+    rows = rows.drop_duplicates("same")  # a repeated row of a text sends its pieces again
     pieces, same, dealt = rows["piece"].tolist(), rows["same"].tolist(), bool(rows["dealt"].iloc[0])
     piece, start, twin = repeated_starts(pieces)
     by = np.lexsort((start, piece))
@@ -300,23 +314,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     open_ = spread.join(often, "gram").groupBy("digest").agg(F.collect_list(F.struct("gram", "first", "last")).alias("open"))
     asked = cut_lineage(open_.join(texts.select("digest", F.col("id").alias("rep"), "copies"), "digest"))
     with_text = cut_lineage(own.join(asked, own["id"].eqNullSafe(asked["rep"])).select("digest", "copies", "text", "open"))
-    pieces = with_text.select("digest", "text", "open").mapInArrow(_cut_pieces, "digest binary, first int, gram long, piece binary, same binary")
-    placed_at = cut_lineage(pieces.select("same", "digest", "first").distinct())
-    kinds = cut_lineage(pieces.groupBy("same").agg(F.first("gram").alias("gram"), F.first("piece").alias("piece")))
-    weight = cut_lineage(kinds.groupBy("gram").agg(F.sum(F.length("piece")).alias("bytes"), F.count("*").alias("n")).where("n > 1").withColumn(
-        "parts", F.ceil(F.col("bytes") / SHARD).cast("long")).drop("n"))
+    places = cut_lineage(with_text.select("digest", "text", "open").mapInArrow(_name_pieces, "same binary, digest binary, gram long, size long, firsts array<int>")
+                         .dropDuplicates(["same", "digest"]))  # repeated rows name their pieces again
+    home = F.min(F.struct("digest", F.element_at("firsts", 1).alias("first"))).alias("home")
+    kinds = cut_lineage(places.groupBy("same").agg(F.first("gram").alias("gram"), F.first("size").alias("size"), F.sum(F.size("firsts")).alias("n"), home))
+    weight = cut_lineage(kinds.groupBy("gram").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_kinds")).where("n_kinds > 1").select(
+        "gram", "bytes", F.ceil(F.col("bytes") / SHARD).cast("long").alias("parts")))
     total, total_dealt = weight.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("parts") > 1, F.col("bytes"))), F.lit(0))).first()
     n_shards, n_ranges = max(1, -(-2 * total // SHARD)), max(1, -(-total_dealt // RANGE))
-    shard = F.when(F.col("parts") > 1, F.xxhash64("gram", F.pmod(F.xxhash64("same"), "parts"))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(n_shards)))
-    sharded = kinds.join(weight, "gram").select(F.struct((F.col("parts") > 1).alias("dealt"), shard.alias("at")).alias("shard"), "same", "piece",
-                                                (F.col("parts") > 1).alias("dealt"))
-    found = cut_lineage(sharded.groupBy("shard").applyInPandas(lambda v: _shard(v, n_ranges), "same binary, first int, last int, range long, run binary"))
+    at = F.when(F.col("parts") > 1, F.xxhash64("gram", F.pmod(F.xxhash64("same"), "parts"))).otherwise(F.pmod(F.xxhash64("gram"), F.lit(n_shards)))
+    # the bytes move once: of each different piece, from one text that holds it, to its shard
+    taken = kinds.join(weight, "gram").select(F.col("home.digest").alias("digest"), F.struct(
+        F.col("home.first").alias("first"), "size", "same", at.alias("at"), (F.col("parts") > 1).alias("dealt")).alias("piece"))
+    taken = taken.groupBy("digest").agg(F.collect_list("piece").alias("taken"))
+    sharded = with_text.select("digest", "text").join(taken, "digest").mapInArrow(_cut_pieces, "at long, dealt boolean, same binary, piece binary")
+    found = cut_lineage(sharded.groupBy("dealt", "at").applyInPandas(lambda v: _shard(v, n_ranges), "same binary, first int, last int, range long, run binary"))
     across = found.where("run is not null").groupBy("range").applyInPandas(lambda v: _across(v[["run"]]), "same binary, first int, last int")
-    alone = placed_at.groupBy("same").agg(F.count("*").alias("n")).where("n > 1")
-    whole = kinds.join(alone, "same").select("same", F.lit(0).cast("int").alias("first"), (F.length("piece") - MIN).cast("int").alias("last"))
+    whole = kinds.where("n > 1").select("same", F.lit(0).cast("int").alias("first"), (F.col("size") - MIN).cast("int").alias("last"))
     runs = found.where("run is null").select("same", "first", "last").union(across).union(whole)
-    back = placed_at.select("same", "digest", F.col("first").alias("base")).join(runs, "same").groupBy("digest").agg(
-        F.collect_set(F.struct((F.col("base") + F.col("first")).alias("a"), (F.col("base") + F.col("last")).alias("b"))).alias("runs"))
+    base = places.join(runs, "same").select("digest", "first", "last", F.explode("firsts").alias("base"))
+    back = base.groupBy("digest").agg(F.collect_set(F.struct((F.col("base") + F.col("first")).alias("a"), (F.col("base") + F.col("last")).alias("b"))).alias("runs"))
     cut = with_text.where("copies = 1").select("digest", "text").join(back, "digest").mapInArrow(_cut_out, "digest binary, n_removed long, n_spans long, sha string")
     done = cut_lineage(cut.dropDuplicates(["digest"]).withColumnRenamed("sha", "cut_sha"))
     none = hashlib.sha256(b"").hexdigest()
