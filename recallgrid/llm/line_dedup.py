@@ -51,7 +51,8 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
     spread = _hashed(own, "text", F.col("site")).groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     wide = cut_lineage(spread.where(F.col("sites") >= min_sites * (1 - BAND)))
     near = wide.where(F.col("sites") <= min_sites * (1 + BAND)).select("a", "b")
-    exact = _hashed(own, "text", F.col("site")).join(near, ["a", "b"], "left_semi").distinct().groupBy("a", "b").count()
+    # distinct first: it combines before the exchange, so a line on many rows reaches the join as a row per site
+    exact = _hashed(own, "text", F.col("site")).distinct().join(near, ["a", "b"], "left_semi").groupBy("a", "b").count()
     return wide.where(F.col("sites") > min_sites * (1 + BAND)).select("a", "b").union(exact.where(F.col("count") >= min_sites).select("a", "b"))
 
 
