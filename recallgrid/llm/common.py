@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: The six bytes that end a word, \x09-\x0D and \x20.
 SPACES = " \t\n\r\x0b\x0c"
@@ -38,6 +38,24 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def smallest_by_hash(rows: DataFrame, label: str, pick: Column, per_label: int) -> DataFrame:
+    """At most `per_label` different rows of each value of `label`: those with the smallest `pick`, a 64-bit hash.
+
+    `label` has few values (verdicts, languages); their counts come to the
+    driver. They give a bound on the hash that about four times `per_label` rows
+    of a label stay under, so what is sorted in the end does not grow with the
+    table or its partitions. Equal rows combine before that.
+    """
+    counts = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
+    bound = F.lit(None).cast("long")
+    for value, n in counts:
+        most = 2**63 - 1 if n <= 4 * per_label else -(2**63) + 2**64 * 4 * per_label // n
+        bound = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(most).cast("long")).otherwise(bound)
+    few = rows.withColumn("pick", pick).where(F.col("pick") <= bound).distinct()
+    place = F.row_number().over(Window.partitionBy(label).orderBy("pick", *rows.columns))
+    return few.withColumn("place", place).where(F.col("place") <= per_label).drop("place", "pick")
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of `batches` in slices whose `column` holds about `budget` bytes; a longer value stands alone."""
     for batch in batches:

@@ -9,8 +9,8 @@ document's probabilities are the mean over those positions. Texts run in
 windows of WINDOW bytes with a state of zero at both ends, so a text of any
 length takes bounded memory.
 
-Training uses a bounded sample: at most PER_LANGUAGE rows of each language,
-those smallest by hash, one window each at a place chosen by hash. Prediction
+Training uses a bounded sample: one window of each row, at a place chosen by
+hash, and at most PER_LANGUAGE different ones of a language, smallest by hash. Prediction
 reads whole texts and nothing but the text.
 
 Defined results: text that is null or has no letter gives `und` and score 0;
@@ -25,9 +25,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_bytes, quoted
+from .common import by_bytes, quoted, smallest_by_hash
 
 WINDOW, HIDDEN = 64, 8
 PER_LANGUAGE, EPOCHS, BATCH, RATE, SEED = 1500, 10, 128, 0.02, 7
@@ -202,15 +202,13 @@ def has_letter(text: str) -> bool:
 
 
 def training_sample(rows: DataFrame, text: str, lang: str, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(window, lang): at most `per_language` windows of each language. Only windows are sorted, not texts."""
+    """(window, lang): at most `per_language` different windows of each language. Only windows are sorted, not texts."""
     place = F.xxhash64(F.lit("place"), F.col(text))
     raw = F.encode(F.col(text), "UTF-8")
     room = F.greatest(F.octet_length(raw) - WINDOW, F.lit(0)) + 1
     picked = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(
-        F.col(lang).alias("lang"), F.xxhash64(F.lit("pick"), F.col(text)).alias("pick"),
-        F.substring(raw, F.pmod(place, room).cast("int") + 1, F.lit(WINDOW)).alias("window"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("pick", "window"))
-    return picked.withColumn("n", first).where(F.col("n") <= per_language).select("window", "lang")
+        F.substring(raw, F.pmod(place, room).cast("int") + 1, F.lit(WINDOW)).alias("window"), F.col(lang).alias("lang"))
+    return smallest_by_hash(picked, "lang", F.xxhash64(F.lit("pick"), F.col("window")), per_language)
 
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> tuple[dict, list[str]]:

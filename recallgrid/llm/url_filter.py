@@ -1,7 +1,7 @@
 """URL filter: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
 The URLs that a rule judges are the labelled ones. The trees (Spark's own) learn
-from at most PER_LABEL of them for each verdict, those smallest by hash; the
+from at most PER_LABEL different ones for each verdict, smallest by hash; the
 suffix statistics cover all URLs. Features: lengths, depth, digit ratios,
 character entropy, parameter counts, host shape, and for the suffix (the last
 two labels of the host) the number of its URLs, its mean depth and its mean
@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import ascii_lower
+from .common import ascii_lower, smallest_by_hash
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -83,12 +83,6 @@ def with_features(pages: DataFrame) -> DataFrame:
     return lexical.join(cut_lineage(stats), "suffix")
 
 
-def training_sample(labelled: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
-    """At most `per_label` rows of each verdict, by hash of the URL."""
-    first = F.row_number().over(Window.partitionBy("verdict").orderBy(F.xxhash64("url"), "url"))
-    return labelled.withColumn("n", first).where(F.col("n") <= per_label).drop("n")
-
-
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, per_label: int = PER_LABEL) -> DataFrame:
     """`key`, `host`, `path`, `rule`, `verdict`, `block_score` of every row of `pages`.
 
@@ -100,8 +94,9 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=R
     judged = ruled.select("id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("verdict"), F.lit(None).cast("double").alias("block_score"))
     described = with_features(ruled)
     inputs = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features")
-    labelled = inputs.transform(described.where("by is not null")).select("url", F.col("by.verdict").alias("verdict"), "features")
-    sample = cut_lineage(training_sample(labelled, per_label).select((F.col("verdict") == "block").cast("double").alias("label"), "features"))
+    labelled = described.where("by is not null").select(F.col("by.verdict").alias("verdict"), "url", *LEXICAL, *SUFFIX)
+    few = smallest_by_hash(labelled, "verdict", F.xxhash64("url"), per_label)
+    sample = cut_lineage(inputs.transform(few).select((F.col("verdict") == "block").cast("double").alias("label"), "features"))
     seen = {r[0] for r in sample.select("label").distinct().collect()}  # two values at most
     rest = described.where("by is null")
     if len(seen) == 2:
