@@ -18,6 +18,8 @@ whole. Other columns pass through `drop_contaminated` and are not read elsewhere
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -37,42 +39,49 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(ascii_lower(text), BETWEEN, -1), ""), lambda w: F.xxhash64(w))
 
 
-def _grams(words: Column, k: int) -> Column:
-    """Hash of each `k` words in a row."""
-    n = F.size(words) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(F.array().cast("array<bigint>"))
+def _over_runs(table: DataFrame, values: str, out: str, size: int, merge: Callable[[Column, Column], Column], overlap: bool) -> DataFrame:
+    """`table` with `out`: `merge` over each `size` of `values` in a row, built from runs of 1, 2, 4, ... values.
+
+    A pass joins an array with itself, shifted; that costs a fifth of slicing it
+    at every place. With `overlap` the last two runs may cover a value twice.
+    """
+    def joined(left: str, right: str, by: int, name: str) -> str:
+        nonlocal table
+        table = table.withColumn(name, F.zip_with(left, F.slice(right, F.lit(by + 1), F.size(right)), merge))
+        return name
+
+    level, width, have, done = values, 1, None, 0
+    while True:
+        if not overlap and size & width:
+            have = level if have is None else joined(have, level, done, f"{out}_{done + width}")
+            done += width
+        if 2 * width > size:
+            break
+        level, width = joined(level, level, width, f"{out}_run{2 * width}"), 2 * width
+    if overlap:
+        have = joined(level, level, size - width, f"{out}_{size}") if size > width else level
+    n = F.size(values) - size + 1  # what follows lacks values
+    table = table.withColumn(out, F.slice(have, F.lit(1), F.greatest(n, F.lit(0))))
+    return table.drop(*(c for c in table.columns if c.startswith(f"{out}_")))
 
 
 def _with_fingerprints(table: DataFrame, k: int, w: int, words: str = "words") -> DataFrame:
-    """`table` plus `print`, an array of (at, gram, before, own, after): `at` is the first word's place, from 1."""
-    around = w - 1
-    ranked = table.withColumn("gram", _grams(F.col(words), k)).withColumn(
-        "ranked", F.transform("gram", lambda g, i: g.bitwiseAND(~PLACE).bitwiseOR((i + 1).cast("long"))))
-    n = F.size("ranked") - w + 1
-    least = ranked.withColumn("least", F.when(n > 0, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_min(F.slice("ranked", i, w))))).otherwise(F.array().cast("array<bigint>")))
+    """`table` plus `print`, an array of (at, gram, lead, around): the first word's place, from 1, the rank part of
+    the gram's hash (33 bits; hits are compared word by word), and the gram with the words that a span around it can
+    have, `lead` of them before it.
+    """
+    grams = _over_runs(table, words, "gram", k, lambda a, b: F.xxhash64(a, b), False)
+    ranked = grams.withColumn("ranked", F.transform("gram", lambda g, i: g.bitwiseAND(~PLACE).bitwiseOR((i + 1).cast("long"))))
+    least = _over_runs(ranked, "ranked", "least", w, lambda a, b: F.least(a, b), True).withColumn("least", F.array_distinct("least"))
 
     def one(v: Column) -> Column:  # nothing here may refer to a column that is dear to compute: it would be computed for each v
         at = v.bitwiseAND(PLACE).cast("int")
-        start = F.greatest(at - around, F.lit(1))
-        return F.struct(at.alias("at"), F.xxhash64(F.slice(words, at, F.lit(k))).alias("gram"), F.slice(words, start, at - start).alias("before"),
-                        F.slice(words, at, F.lit(k)).alias("own"), F.slice(words, at + k, F.lit(around)).alias("after"))
+        lead = F.least(at, F.lit(w)) - 1
+        return F.struct(at.alias("at"), v.bitwiseAND(~PLACE).alias("gram"), lead.alias("lead"), F.slice(words, at - lead, lead + k + w - 1).alias("around"))
 
     return least.withColumn("print", F.transform("least", one)).drop("gram", "ranked", "least")
 
 
-def _agree(a: str, b: str, backwards: bool, most: int) -> Column:
-    """How many words of arrays a and b agree in a row, from their ends or their starts."""
-    if most == 0:
-        return F.lit(0)
-
-    def at(name: str, i: Column) -> Column:
-        return F.get(F.col(name), F.size(name) - i if backwards else i - 1)
-
-    same = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.coalesce(at(a, i) == at(b, i), F.lit(False)))
-    return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
-
-
 def _opened(table: DataFrame, keep: list[str], name: str) -> DataFrame:
     """A row for each fingerprint. `explode` would make Spark test the array's size first, and compute it twice for that."""
     return table.select(*keep, F.explode_outer("print").alias(name)).where(F.col(name).isNotNull()).select(*keep, F.col(f"{name}.gram").alias("gram"), name)
@@ -83,8 +92,17 @@ def _hits(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
     mine = _opened(_with_fingerprints(docs, k, w), ["a", "b"], "d")
     theirs = cut_lineage(_opened(_with_fingerprints(items, k, w), ["item"], "q"))
     small = theirs.count() <= BROADCAST_ROWS
-    met = mine.join(F.broadcast(theirs) if small else theirs, "gram").where("d.own = q.own")
-    ends = met.withColumn("left", _agree("d.before", "q.before", True, w - 1)).withColumn("right", _agree("d.after", "q.after", False, w - 1))
+    met = mine.join(F.broadcast(theirs) if small else theirs, "gram")
+
+    def agree(first: int, last: int, step: int) -> Column:
+        """How many words, from `first` places after the grams' first word to `last`, are the same in a row."""
+        if (last - first) * step < 0:
+            return F.lit(0)
+        same = F.transform(F.sequence(F.lit(first), F.lit(last), F.lit(step)), lambda i: F.coalesce(
+            F.get(F.col("d.around"), F.col("d.lead") + i) == F.get(F.col("q.around"), F.col("q.lead") + i), F.lit(False)))
+        return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
+
+    ends = met.where(agree(0, k - 1, 1) == k).withColumn("left", agree(-1, -(w - 1), -1)).withColumn("right", agree(k, k + w - 2, 1))
     return ends.where(F.col("left") + k + F.col("right") >= k + w - 1).select(
         "a", "b", (F.col("d.at") - F.col("left")).alias("start"), (F.col("d.at") + k + F.col("right")).alias("end"), "item")
 
