@@ -6,14 +6,18 @@ CHUNKS * (ERRORS + 1) - 1 values differ, by pigeonhole, in at most ERRORS values
 in some chunk. Every chunk is written out once for each way to leave ERRORS
 values out, so such a pair meets in a bucket for certain. At a Jaccard
 similarity of 0.8 a pair misses every bucket with probability 3e-6, and a
-difference over MAX_DISTANCE, past which a met pair is not looked at, has 1e-9.
+difference over MAX_DISTANCE, past which a met pair is not looked at, has 2e-5.
 Pairs are confirmed on their full sets.
 
-Only what connects is compared. Equal sets are one node. Every member of a
-bucket is compared with the bucket's smallest node (a star, so links are as
-many as bucket entries and never all pairs of a group), the closest first; then
-members of one bucket that are still in different components are compared with
-each other. That loses no component: a pair left out has both ends in one.
+Only what connects is compared. Equal sets are one node. In ROUNDS rounds every
+node is compared with one node that leads a bucket of both: the smallest at
+first, then one that shares its label with most of the bucket (stars, so links are as many
+as nodes and never all pairs of a group). Then members of one bucket that are
+still in different components are compared with each other, each pair in its
+first bucket only and if WIDE further MinHash values of 8 bits leave it a
+chance. That loses no component: a pair left out has both ends in one, or
+differs in more than WIDE_DISTANCE of those values, which at a similarity of
+0.8 has probability 2e-5.
 
 Defined results: null text, or text without words, has an empty set and is
 linked with nothing; fewer words than a shingle are one shingle of them all; a
@@ -38,7 +42,9 @@ from .common import by_bytes, fresh
 
 CHUNKS, SYMBOLS, ERRORS = 12, 6, 1
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-MAX_DISTANCE = CHUNKS * SYMBOLS // 2
+MAX_DISTANCE = 30
+ROUNDS = 3
+WIDE, WIDE_DISTANCE = 256, 80
 #: Words of default shingles, and the similarity as a fraction.
 WORDS, SHARE = 5, (80, 100)
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -79,14 +85,14 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(set, value) of 16-bit MinHash values; no set may be empty."""
+def signatures(sets: list[np.ndarray], n: int = CHUNKS * SYMBOLS, bits: int = 16) -> np.ndarray:
+    """(set, value) of `n` MinHash values of 8 or 16 bits; no set may be empty."""
     starts = np.cumsum([0, *map(len, sets[:-1])])
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), CHUNKS * SYMBOLS), ">u2")
-    for i, (a, b) in enumerate(zip(*_permutations(CHUNKS * SYMBOLS))):
+    out = np.empty((len(sets), n), ">u2" if bits == 16 else "u1")
+    for i, (a, b) in enumerate(zip(*_permutations(n))):
         least = np.minimum.reduceat(x * a + b, starts)
-        out[:, i] = (least * np.uint32(2654435761)) >> np.uint32(16)
+        out[:, i] = (least * np.uint32(2654435761)) >> np.uint32(32 - bits)
     return out
 
 
@@ -119,10 +125,22 @@ def bucket_keys(sig: Column) -> Column:
     return F.array(*out)
 
 
+def _differ(a: Column, b: Column, first: Column | int, n: int, width: int = 2) -> Column:
+    """In how many of `n` values from the `first` on, of `width` bytes each, two signatures differ."""
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(a, width * (i + first) + 1, F.lit(width)) != F.substring(
+        b, width * (i + first) + 1, F.lit(width))))
+
+
 def distance(a: Column, b: Column) -> Column:
     """In how many values two signatures differ."""
-    steps = F.sequence(F.lit(0), F.lit(CHUNKS * SYMBOLS - 1))
-    return F.size(F.filter(steps, lambda i: F.substring(a, 2 * i + 1, F.lit(2)) != F.substring(b, 2 * i + 1, F.lit(2))))
+    return _differ(a, b, 0, CHUNKS * SYMBOLS)
+
+
+def first_meeting(a: Column, b: Column, at: Column) -> Column:
+    """Whether bucket key `at`, which two signatures share, is the first that they share."""
+    chunk, leave = F.floor(at / SYMBOLS).cast("int"), at % SYMBOLS
+    later = F.forall(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda c: (c >= chunk) | (_differ(a, b, c * SYMBOLS, SYMBOLS) > ERRORS))
+    return later & ((leave == 0) | (_differ(a, b, chunk * SYMBOLS, SYMBOLS) == 1))
 
 
 def _with_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -149,46 +167,86 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
     return pairs.join(left, "a").join(right, "b").where(share[1] * both >= share[0] * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _widened(full: DataFrame) -> DataFrame:
+    """(node, wide): WIDE MinHash values of 8 bits of each set in `full(node, items)`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [np.asarray(v, np.int64).view(np.uint64) for v in part.column("items").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([w.tobytes() for w in signatures(sets, WIDE, 8)], pa.binary())], ["node", "wide"])
+
+    return full.select("node", "items").mapInArrow(run, "node long, wide binary")
+
+
+def _merged(root: DataFrame, linked: DataFrame) -> DataFrame:
+    """`root(node, root)` after the pairs of `linked(a, b)` are joined."""
+    a, b = (root.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+    pairs = cut_lineage(linked.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    if pairs.isEmpty():
+        return root
+    top = components(pairs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return cut_lineage(root.join(top.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select(
+        "node", F.coalesce("over", "root").alias("root")))
+
+
+def _followed(label: DataFrame, linked: DataFrame) -> DataFrame:
+    """`label(node, root)` after each linked node takes the label that its lead's label has. Equal labels are connected; the reverse comes later."""
+    lead = linked.join(label.select(F.col("node").alias("b"), F.col("root").alias("to")), "b").select(F.col("a").alias("node"), "to")
+    step = label.join(lead, "node", "left").select("node", F.coalesce("to", "root").alias("root"))
+    jump = step.select(F.col("node").alias("root"), F.col("root").alias("over"))
+    return cut_lineage(step.join(jump, "root", "left").select("node", F.coalesce("over", "root").alias("root")))
+
+
+def _closest(placed: DataFrame, leads: DataFrame, tried: DataFrame | None, sig: DataFrame) -> DataFrame:
+    """(a, b): each node with the lead of another component that it shares most buckets with, of those not tried yet."""
+    star = placed.join(leads, "bucket").where("root <> lead_root").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("shared"))
+    if tried is not None:
+        star = star.join(tried, ["a", "b"], "left_anti")
+    best = star.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    near = best.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    return cut_lineage(near.where(distance(F.col("x"), F.col("y")) <= MAX_DISTANCE).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """`key`, `n_shingles`, `component`, `kept` for every row: the component's smallest key, and whether it is this row's."""
     rows = cut_lineage(described(docs, key, text, k))
     node = F.coalesce(F.min("id").cast("long"), F.xxhash64("digest"))
     sets = cut_lineage(rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), node.alias("node"), F.first("sig").alias("sig")))
-    entries = sets.select("node", F.explode(bucket_keys(F.col("sig"))).alias("bucket"))
-    shared = cut_lineage(entries.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last"))
-    members = cut_lineage(entries.join(shared, "bucket"))
-    star = members.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("shared"))
+    entries = sets.select("node", F.posexplode(bucket_keys(F.col("sig"))).alias("at", "bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+    members = cut_lineage(entries.join(cut_lineage(shared), "bucket"))
     sig = sets.select("node", "sig")
-    near = star.join(sig, "node").join(sig.select(F.col("node").alias("lead"), F.col("sig").alias("lead_sig")), "lead").where(
-        distance(F.col("sig"), F.col("lead_sig")) <= MAX_DISTANCE)
-    near = cut_lineage(near.select(F.col("node").alias("a"), F.col("lead").alias("b"), "shared"))
-    closest = near.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
     nodes = members.select("node").distinct()
-    wanted = sets.join(nodes, "node").select("node", F.col("id"), "digest")
-    full = cut_lineage(_with_sets(docs, key, text, k, wanted))
-    linked = cut_lineage(_confirmed(closest, full, share))
-    root = components(linked, linked.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-
-    def of(name: str, out: str) -> DataFrame:
-        return root.select(F.col("node").alias(name), F.col("root").alias(out))
-
-    # what is left: star links not yet tried, and members of one bucket, where the ends are in different components
-    placed = members.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    full = cut_lineage(_with_sets(docs, key, text, k, sets.join(nodes, "node").select("node", "id", "digest")))
+    nodes = full.select("node")
+    label = nodes.withColumn("root", F.col("node"))
+    tried = links = None
+    for step in range(ROUNDS):
+        # a bucket is led by its smallest node, later by one of its most frequent label, another one each round
+        placed = members.join(label, "node")
+        size = label.groupBy("root").agg(F.count("*").alias("n"))
+        order = -F.col("node") if step == 0 else F.xxhash64("node", F.lit(step))
+        lead = F.max(F.struct("n", order.alias("order"), F.col("node").alias("lead"), F.col("root").alias("lead_root"))).alias("lead")
+        leads = placed.join(size, "root").groupBy("bucket").agg(lead).select("bucket", "lead.lead", "lead.lead_root")
+        asked = _closest(placed, leads, tried, sig)
+        linked = cut_lineage(_confirmed(asked, full, share))
+        tried, links = (asked, linked) if tried is None else (tried.union(asked), links.union(linked))
+        label = _followed(label, linked)
+    root = components(links, nodes)
+    placed = members.join(root, "node")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_rows = placed.join(mixed, "bucket").join(sig, "node")
-    other = open_rows.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"), F.col("sig").alias("other_sig"))
-    across = open_rows.withColumnRenamed("node", "a").join(other, "bucket").where(
-        (F.col("root") < F.col("other")) & (distance(F.col("sig"), F.col("other_sig")) <= MAX_DISTANCE)).select("a", "b").distinct()
-    tried = closest.select("a", "b").union(closest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = cut_lineage(_confirmed(across.join(tried, ["a", "b"], "left_anti"), full, share))
-    # second round over components: few nodes are left
-    merged = more.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").select(
-        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct()
-    top = components(merged, merged.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    final = sets.select("digest", "id", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    final = final.join(top.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select(
-        "digest", "id", F.coalesce("over", "root").alias("root"))
-    final = cut_lineage(final)
+    placed = cut_lineage(placed.join(mixed, "bucket"))
+    # members of one bucket whose components still differ; every pair once
+    open_ = placed.join(sig, "node").join(_widened(full.join(placed.select("node").distinct(), "node", "left_semi")), "node")
+    other = open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"), F.col("sig").alias("other_sig"), F.col("wide").alias("other_wide"))
+    apart = (F.col("root") < F.col("other")) & first_meeting(F.col("sig"), F.col("other_sig"), F.col("at")) & (
+        distance(F.col("sig"), F.col("other_sig")) <= MAX_DISTANCE) & (_differ(F.col("wide"), F.col("other_wide"), 0, WIDE, 1) <= WIDE_DISTANCE)
+    across = open_.withColumnRenamed("node", "a").join(other, "bucket").where(apart).select("a", "b")
+    both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    root = _merged(root, _confirmed(across.join(both, ["a", "b"], "left_anti"), full, share))
+    final = cut_lineage(sets.select("digest", "id", "node").join(root, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root")))
     names = final.groupBy("root").agg(F.min("id").alias("component"))
     named = final.join(names, "root").select("digest", "component")
     lone = rows.where("digest is null").select("id", "n", F.col("id").alias("component"))
