@@ -5,6 +5,7 @@ One query per section by default; all of them with RECALLGRID_ALL=1.
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -50,7 +51,8 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    bare = set(entry.queries()) - set(entry.oracle_sql())
+    # the training-data operators, if they are there, have tests of their own
+    bare = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not re.match(r"op\d+_|pipeline$", n)}
     assert bare == {"K11_latent_discovery", "K13_association_job", "LC5_topic_groups", "LC6_consolidation", "LC6_consolidation_report",
                     "O5_grouped_sequential"}
 
