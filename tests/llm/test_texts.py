@@ -95,6 +95,16 @@ def test_pieces_parity(spark, odd):
     assert pieces.encode_table(odd.where("false")).count() == 0
 
 
+def test_pieces_parity_of_every_row(spark, odd):
+    rows = pieces.encode_table(odd.select("doc_id", "text").union(odd.select("doc_id", "text")))
+    got = sorted((str(r.doc_id), str(r.ids), str(r.parity)) for r in rows.collect())
+    assert len(got) == 2 * len(plain.odd_rows()) and all(parity == str(None if ids == "None" else True) for _, ids, parity in got)
+    coder = pieces.codec(pieces.default_model())
+    texts = [f"some text {i}" for i in range(40)]
+    wrong = [np.append(i, 5) for i in coder.encode(texts)]
+    assert coder.same(texts, wrong) == [False] * 40 and coder.same(texts, coder.encode(texts)) == [True] * 40
+
+
 @given(st.text(alphabet="aé ▁\n日🙂<0x>", max_size=40))
 @settings(max_examples=150, deadline=None)
 def test_pieces_any_text(text):
