@@ -1,8 +1,10 @@
 """Compression bands: reject repetitive or incompressible text by its zstandard ratio.
 
 A text is compressed whole and in fixed chunks. Its ratio (bytes in, bytes out)
-must lie between two limits that depend on the length alone, as longer inputs
-of the same kind compress better. The word counts beside it are plain rules.
+must reach a limit that depends on the length alone, as longer inputs of the
+same kind compress better. Characters in to bytes out must stay below another:
+scripts of two or three bytes a character have higher ratios for the same prose.
+The word counts beside it are plain rules.
 
 Defined results: a null text counts as empty; an empty text has no words and
 fails; texts of any length are read whole, chunk by chunk; repeated rows get
@@ -21,10 +23,14 @@ from pyspark.sql import DataFrame
 from .common import SPACES, by_bytes, quoted
 
 SYMBOLS = "#*$%&|<>"
-#: (bytes below, least ratio, largest ratio). Prose of many languages lies well inside: about 1.1 at 200
-#: bytes, 1.7 at 1 KB, 2.3 at 10 KB. Below 300 bytes the frame's own bytes weigh too much for a lower limit.
-BANDS = ((300, 0.0, 2.5), (1000, 1.15, 3.2), (3000, 1.25, 4.0), (10000, 1.35, 5.0), (None, 1.4, 7.0))
-CHUNK = 4096
+#: (length below, least bytes, most characters a compressed byte). Upper limits lie about 6 % or more above the
+#: highest value of texts labelled good on sf0.1 (1.84 below 600 bytes, 2.07 below 1600, 2.44 below 20,000), so that
+#: a text half of which repeats, at about twice its own ratio, lies beyond; those from 20,000 on leave room for long
+#: prose. Lower ones lie between base64 words (1.30 at 800 bytes, 1.40 at most) and the lowest prose (1.47 at 600, 1.72 at
+#: 1000, 2.1 at 4000). Below 300 bytes the frame's own bytes weigh too much for a lower limit.
+BANDS = ((300, 0.0, 1.75), (400, 1.19, 1.85), (500, 1.25, 2.0), (600, 1.29, 2.0), (800, 1.35, 2.1), (1000, 1.4, 2.15), (1250, 1.4, 2.2), (1600, 1.45, 2.3),
+         (2000, 1.45, 2.35), (2500, 1.5, 2.35), (4000, 1.5, 2.4), (10000, 1.55, 2.5), (20000, 1.55, 2.65), (100000, 1.55, 2.9), (None, 1.55, 3.3))
+CHUNK = 1024
 #: Share of a text's bytes that may lie in chunks outside their band.
 BAD_SHARE = 0.3
 LEVEL = 3
@@ -51,12 +57,15 @@ def repeated_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
-def outside(n_bytes: int, ratio: float, bands=BANDS) -> str | None:
-    """`repetitive`, `incompressible` or None: where `ratio` lies against the band of its length."""
-    for below, least, most in bands:
-        if below is None or n_bytes < below:
-            return "repetitive" if ratio > most else "incompressible" if ratio < least else None
-    return None
+def _band(length: int, bands) -> tuple[float, float]:
+    return next((least, most) for below, least, most in bands if below is None or length < below)
+
+
+def outside(n_bytes: int, n_chars: int, packed: int, bands=BANDS) -> str | None:
+    """`repetitive`, `incompressible` or None: where a text that is `packed` bytes compressed lies against the bands of its length."""
+    if n_chars > _band(n_chars, bands)[1] * packed:
+        return "repetitive"
+    return "incompressible" if n_bytes < _band(n_bytes, bands)[0] * packed else None
 
 
 def measure(text: str | None, press: zstandard.ZstdCompressor, bands=BANDS, chunk: int = CHUNK, bad_share: float = BAD_SHARE) -> tuple:
@@ -72,12 +81,14 @@ def measure(text: str | None, press: zstandard.ZstdCompressor, bands=BANDS, chun
             seen.add(line)
     repeats = repeated_words(words)
     base_failed = len(words) < 50 or 100 * repeats > 50 * len(words)
-    ratio = len(raw) / len(press.compress(raw)) if raw else 0.0
-    reason, bad = outside(len(raw), ratio, bands), 0
+    packed = len(press.compress(raw))
+    ratio = len(raw) / packed
+    reason, bad = outside(len(raw), len(text), packed, bands), 0
     if len(raw) > chunk:
         ends = [*range(chunk, len(raw) - chunk // 2, chunk), len(raw)]  # a short rest joins the chunk before it
         for a, b in zip([0, *ends], ends):
-            if outside(b - a, (b - a) / len(press.compress(raw[a:b])), bands):
+            part = raw[a:b]
+            if outside(b - a, len(part.decode(errors="ignore")), len(press.compress(part)), bands):
                 bad += b - a
         if bad > bad_share * len(raw):
             reason = reason or "chunks"

@@ -52,6 +52,32 @@ def test_compression_bands(spark):
     assert [tuple(r) for r in kept.collect()] == [(3, good, "y")]
 
 
+def test_bands_decide_beyond_base_rules():
+    import zstandard
+
+    press, rng = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(8)
+    measure = lambda t: quality.measure(t, press)
+    line = "one navigation line repeated underneath everything published here\n"
+    for n in (700, 1500, 3000, 8000, 40_000):
+        half = plain.prose(rng, n // 5)[:n] + "\n" + line * round(0.8 * n / len(line))
+        assert not measure(half)[5] and not measure(half)[-1]
+        noise = base64.b64encode(rng.randbytes(n)).decode()
+        for width in (5, 12):
+            got = measure(" ".join(noise[i : i + width] for i in range(0, len(noise), width)))
+            assert not got[5] and got[9] == "incompressible"
+    hindi = {ord(c): 0x915 + k for k, c in enumerate("kalomitu")}
+    for n in (60, 100, 200, 400, 900, 3000, 30_000):
+        for text in (plain.prose(rng, n), plain.prose(rng, n).translate(hindi)):
+            assert measure(text)[-1]
+
+
+def test_labelled_good_is_kept(spark):
+    sf = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id")
+    got = quality.quality_metrics(spark.read.parquet(f"{sf}/documents.parquet").join(good, "doc_id", "left_semi")).where("not base_failed")
+    assert got.count() > 3000 and got.where("not kept").count() == 0
+
+
 def test_pii_table(spark, odd):
     got = pii.pii_spans(odd)
     assert got.columns == ["doc_id", "spans"] and got.count() == len(plain.odd_rows())
