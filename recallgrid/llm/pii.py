@@ -2,8 +2,8 @@
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and without
 overlap per kind; a match that fails its check is dropped and not tried again.
-Further kinds need a checksum or a context word: bank accounts (IBAN, mod 97),
-cards of 13 to 15 digits (Luhn), local phone numbers and national numbers.
+Further kinds need a checksum or a context word: bank accounts (IBAN, mod 97;
+they end at a word's end, as long as their country has them), cards of 13 to 15 digits (Luhn), local phone numbers and national numbers.
 
 Scores: a kind's own value, plus CONTEXT_GAIN if one of its words stands within
 CONTEXT characters before or after, minus CONTEXT_LOSS if a word of NEGATIVE
@@ -34,6 +34,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an account by country; other codes may have 15 to 34.
+IBAN_LENGTH = {c: int(n) for n, codes in (part.split(":") for part in (
+    "15:NO|16:BE|18:DK FI FO GL NL|19:MK SI|20:AT BA EE KZ LT LU XK|21:CH HR LI LV|22:BG BH CR DE GB GE IE ME RS VA|23:AE GI IL IQ TL|"
+    "24:AD CZ ES MD PK RO SA SE SK TN VG|25:LY PT ST|26:IS TR|27:FR GR IT MC MR SM|28:AL AZ BY CY DO GT HU LB PL SV|29:BR EG PS QA UA|"
+    "30:JO KW MU|31:MT SC|32:LC").split("|")) for c in codes.split()}
 LOCAL_PHONE = re.compile(r"(?<![0-9+.A-Za-z-])(?:\(0?[0-9]{2,4}\) ?|0?[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}(?![0-9A-Za-z-])")
 NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 
@@ -73,6 +78,19 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = m.end()
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """Of a match, the longest part up to a word's end that is an account; without one, the search goes on after its first four characters."""
+    at = 0
+    while m := IBAN.search(text, at):
+        at = m.start() + 4
+        for end in (m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 14, -1) if m[0][i] == " ")):
+            account = text[m.start() : end].replace(" ", "")
+            if 15 <= len(account) <= 34 and IBAN_LENGTH.get(account[:2], len(account)) == len(account) and mod97(account):
+                yield m.start(), end
+                at = end
+                break
+
+
 def _digits(m: re.Match) -> str:
     return re.sub("[^0-9]", "", m[0])
 
@@ -95,10 +113,8 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 8 <= len(_digits(m)) <= 15:
                 yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if len(account) <= 34 and mod97(account):
-            yield "account", *m.span()
+    for a, b in _accounts(text):
+        yield "account", a, b
     for kind, pattern in (("local_phone", LOCAL_PHONE), ("national_id", NATIONAL)):
         for m in pattern.finditer(text):
             yield kind, *m.span()

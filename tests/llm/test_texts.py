@@ -100,6 +100,23 @@ def test_pii_kinds(text, kinds):
     assert [s[0] for s in pii.find_spans(text)] == kinds
 
 
+@pytest.mark.parametrize("before,account,after", [
+    ("IBAN: ", "DE89 3704 0044 0532 0130 00", " BIC: COBADEFFXXX"), ("IBAN ", "DE89370400440532013000", " 12.05.2024"),
+    ("IBAN ", "DE89 3704 0044 0532 0130 00", " 250 EUR"), ("ref AB12 ", "GB82 WEST 1234 5698 7654 32", " A1"), ("", "NO9386011117947", " 1 2 3"),
+    ("pay to ", "FR14 2004 1010 0505 0001 3M02 606", " X9"), ("code ", "QQ92 1234 5678 901", "")])
+def test_pii_account_among_words(before, account, after):
+    found = [(a, b) for k, a, b, _ in pii.find_spans(before + account + after) if k == "account"]
+    assert found == [(len(before), len(before) + len(account))]
+
+
+def test_pii_accounts_in_a_row():
+    text = "IBAN DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 BE68 5390 0754 7034"
+    assert [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "account"] == [text[5:32], text[33:60], text[61:]]
+    assert not [s for s in pii.find_spans("IBAN DE89 3704 0044 0532 0130 0 BIC") if s[0] == "account"]
+    for text in ("AB12 " * 60_000, "AB12" * 70_000, "DE89 3704 0044 0532 0130 00 " * 9_000):
+        pii.find_spans(text)
+
+
 def test_pii_is_linear():
     for text in ("a" * 300_000, "1" * 300_000, "+1" * 100_000, "a@" * 100_000, "1." * 100_000):
         pii.find_spans(text)
