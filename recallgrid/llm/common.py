@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 #: The six bytes that end a word, \x09-\x0D and \x20.
 SPACES = " \t\n\r\x0b\x0c"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,17 +43,26 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def smallest_by_hash(rows: DataFrame, label: str, pick: Column, per_label: int) -> DataFrame:
     """At most `per_label` different rows of each value of `label`: those with the smallest `pick`, a 64-bit hash.
 
-    `label` has few values (verdicts, languages); their counts come to the
-    driver. They give a bound on the hash that about four times `per_label` rows
-    of a label stay under, so what is sorted in the end does not grow with the
-    table or its partitions. Equal rows combine before that.
+    `label` has few values (verdicts, languages); their numbers of different
+    hashes, estimated by sketches, come to the driver. They give a bound on the
+    hash that about four times `per_label` different rows of a label stay under,
+    so what is sorted in the end does not grow with the table, its partitions or
+    its copies. A label with too few rows under its bound is tried again with
+    a larger one.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("n")).collect()
-    bound = F.lit(None).cast("long")
-    for value, n in counts:
-        most = 2**63 - 1 if n <= 4 * per_label else -(2**63) + 2**64 * 4 * per_label // n
-        bound = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(most).cast("long")).otherwise(bound)
-    few = rows.withColumn("pick", pick).where(F.col("pick") <= bound).distinct()
+    different = dict(rows.groupBy(label).agg(F.approx_count_distinct(pick)).collect())
+    share = dict.fromkeys(different, 4)
+    while True:
+        bound = F.lit(None).cast("long")
+        for value, n in different.items():
+            most = 2**63 - 1 if n <= share[value] * per_label else -(2**63) + 2**64 * share[value] * per_label // n
+            bound = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(most).cast("long")).otherwise(bound)
+        few = cut_lineage(rows.withColumn("pick", pick).where(F.col("pick") <= bound).distinct())
+        found = dict(few.groupBy(label).count().collect())
+        short = [v for v, n in different.items() if found.get(v, 0) < per_label and n > share[v] * per_label]
+        if not short:
+            break
+        share |= {v: 4 * share[v] for v in short}
     place = F.row_number().over(Window.partitionBy(label).orderBy("pick", *rows.columns))
     return few.withColumn("place", place).where(F.col("place") <= per_label).drop("place", "pick")
 

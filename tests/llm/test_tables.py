@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.llm import decontaminate, hamming_join, line_dedup, sharding, suffix_dedup, url_filter
+from recallgrid.llm import common, decontaminate, hamming_join, line_dedup, sharding, suffix_dedup, url_filter
 from recallgrid.llm.queries import ORACLE, QUERIES
 from tests.conftest import SMALL
 
@@ -278,3 +278,16 @@ def test_same_rows_as_sql(spark, name):
     res = con.execute(ORACLE[name])
     at = [[d[0] for d in res.description].index(c) for c in df.columns]
     same(map(tuple, df.collect()), [tuple(r[i] for i in at) for r in res.fetchall()])
+
+
+def test_sample_is_of_different_rows(spark):
+    """Copies change neither how many rows are drawn nor which."""
+    pick = F.xxhash64("url")
+    few = spark.range(300).select(F.lit("block").alias("verdict"), F.concat(F.lit("u"), "id").alias("url"))
+    many = spark.range(5000).select(F.lit("allow").alias("verdict"), F.concat(F.lit("v"), "id").alias("url"))
+    copies = few.crossJoin(spark.range(300)).drop("id").union(many)
+    for n in (1, 50, 400):
+        got = {tuple(r) for r in common.smallest_by_hash(copies, "verdict", pick, n).collect()}
+        assert got == {tuple(r) for r in common.smallest_by_hash(few.union(many), "verdict", pick, n).collect()}
+        assert sum(v == "block" for v, _ in got) == min(n, 300) and sum(v == "allow" for v, _ in got) == n
+    assert common.smallest_by_hash(copies.where("false"), "verdict", pick, 5).count() == 0
