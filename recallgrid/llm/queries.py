@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hamming_join, language_id, line_dedup, pieces, pii, quality, sharding, suffix_dedup, url_filter
+from . import decontaminate, hamming_join, language_id, line_dedup, pieces, pii, prefix_trie, quality, sharding, suffix_dedup, url_filter
 
 N_SHARDS = 24
 
@@ -78,6 +78,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt so that some begin alike."""
+    turns = prefix_trie.branched(prefix_trie.placed_turns(_table(spark, sf_dir, "conversations")))
+    nodes, ends = prefix_trie.trie(turns)
+    sha = F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256")
+    return nodes.join(prefix_trie.digests(ends), ["conv_id", "depth"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", sha)
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_sharding, op4_near_dedup, op5_decontamination, op6_url_filter, op7_pii,
-                                   op8_sentencepiece, op9_quality, op10_suffix_dedup)}
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontaminate.ORACLE}
+                                   op8_sentencepiece, op9_quality, op10_suffix_dedup, op11_prefix_trie)}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
