@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hamming_join, language_id, line_dedup, pieces, pii, prefix_trie, quality, sharding, suffix_dedup, url_filter
+from . import chat_log, decontaminate, hamming_join, language_id, line_dedup, pieces, pii, prefix_trie, quality, sharding, suffix_dedup, url_filter, whitening
 
 N_SHARDS = 24
 
@@ -87,6 +87,23 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", sha)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened components of every usable vector, and how exact they are."""
+    rows, model, error = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    shares = F.array(*map(F.lit, model.explained.tolist() if model else [0.0]))
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), "deviation", "whitened",
+                       F.element_at(shares, F.col("at") + 1).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader finds in every conversation rendered from its event log."""
+    extra = spark.sql("select -1L as conv_id, k as turn, r as role, '</s>[INST] ok [/INST]' as text from values (0L, 'user'), (1L, 'assistant') v(k, r)")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_log.digests(chat_log.format_log(chat_log.as_log(turns)))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_sharding, op4_near_dedup, op5_decontamination, op6_url_filter, op7_pii,
-                                   op8_sentencepiece, op9_quality, op10_suffix_dedup, op11_prefix_trie)}
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
+                                   op8_sentencepiece, op9_quality, op10_suffix_dedup, op11_prefix_trie, op12_embedding_whitening, op13_chat_formatting)}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op5_decontamination": decontaminate.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
+          "op13_chat_formatting": chat_log.ORACLE}
