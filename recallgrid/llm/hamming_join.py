@@ -5,26 +5,27 @@ MinHash values (b = 16). Two signatures that differ in at most
 CHUNKS * (ERRORS + 1) - 1 values differ, by pigeonhole, in at most ERRORS values
 in some chunk. Every chunk is written out once for each way to leave ERRORS
 values out, so such a pair meets in a bucket for certain. At a Jaccard
-similarity of 0.8 a pair misses every bucket with probability 3e-6, and a
-difference over MAX_DISTANCE, past which a met pair is not looked at, has 2e-5.
-Pairs are confirmed on their full sets.
-
-Only what connects is compared. Equal sets are one node. In ROUNDS rounds every
-node is compared with one node that leads a bucket of both: the smallest at
-first, then one that shares its label with most of the bucket (stars, so links are as many
-as nodes and never all pairs of a group). Then members of one bucket that are
-still in different components are compared with each other, each pair in its
-first bucket only and if WIDE further MinHash values of 8 bits leave it a
-chance. That loses no component: a pair left out has both ends in one, or
-differs in more than WIDE_DISTANCE of those values, which at a similarity of
-0.8 has probability 2e-5.
+similarity of 0.8 a pair misses every bucket with probability 3e-6.
+
+The buckets' stars join texts to families: all that a chain of buckets connects.
+Equal sets are one member. A family is cut into blocks of about DOCS members
+(long sets count as several); a task holds the full sets of one block, counts
+all its intersections by matrix products, and gives out the links of a spanning
+forest only. Most families are one block and done. In larger ones the blocks
+are dealt anew while that halves the number of components; then blocks, ordered
+by component, meet pairwise, but for blocks of one and the same component. So
+every two members of a family that are not connected otherwise are compared on
+their full sets, no pair is emitted but for links, and no task holds more than
+two blocks. The work of the last step grows with the square of what stays
+unconnected in a family, in equal tasks.
 
 Defined results: null text, or text without words, has an empty set and is
 linked with nothing; fewer words than a shingle are one shingle of them all; a
 component is named by its smallest key (null keys name nothing: a component of
-null keys only has a null name); repeated rows share set and component; an
-empty table gives an empty table; texts are read whole; other columns pass
-through `keep_one` and are not read elsewhere.
+null keys only has a null name); keys are of any type that sorts; different texts
+under one key are different members; repeated rows share set and component; an
+empty table gives an empty table; texts are read whole; other columns, whatever
+their names, pass through `keep_one` and are not read elsewhere.
 """
 
 from __future__ import annotations
@@ -36,15 +37,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.resolution import components
+from ..operators.components import components
 from ..session import cut_lineage
-from .common import by_bytes, fresh
+from .common import by_bytes, fresh, quoted
 
 CHUNKS, SYMBOLS, ERRORS = 12, 6, 1
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-MAX_DISTANCE = 30
-ROUNDS = 3
-WIDE, WIDE_DISTANCE = 256, 80
+#: Members of a block; a member counts once more for every ITEMS shingles it has.
+DOCS, ITEMS = 512, 2048
+#: Shingles whose columns are multiplied at once.
+COLUMNS = 8192
 #: Words of default shingles, and the similarity as a fraction.
 WORDS, SHARE = 5, (80, 100)
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -96,8 +98,13 @@ def signatures(sets: list[np.ndarray], n: int = CHUNKS * SYMBOLS, bits: int = 16
     return out
 
 
+def _own(docs: DataFrame, key: str, text: str) -> DataFrame:
+    t = F.col(quoted(text))
+    return docs.select(F.col(quoted(key)).alias("id"), F.xxhash64(t).alias("th"), t.alias("text"))
+
+
 def described(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(id, n, digest, sig): set size, 128-bit digest of the set and signature of every row; null for empty sets."""
+    """(id, th, n, digest, sig): hash of the text, set size, 128-bit digest of the set and signature of every row; null for empty sets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Words()
@@ -106,12 +113,11 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full) if full else [])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "n", "digest", "sig"])
+                pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "th", "n", "digest", "sig"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, f"id {kind}, n long, digest binary, sig binary")
+    return _own(docs, key, text).mapInArrow(run, f"id {docs.schema[key].dataType.simpleString()}, th long, n long, digest binary, sig binary")
 
 
 def bucket_keys(sig: Column) -> Column:
@@ -125,137 +131,182 @@ def bucket_keys(sig: Column) -> Column:
     return F.array(*out)
 
 
-def _differ(a: Column, b: Column, first: Column | int, n: int, width: int = 2) -> Column:
-    """In how many of `n` values from the `first` on, of `width` bytes each, two signatures differ."""
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(a, width * (i + first) + 1, F.lit(width)) != F.substring(
-        b, width * (i + first) + 1, F.lit(width))))
-
-
-def distance(a: Column, b: Column) -> Column:
-    """In how many values two signatures differ."""
-    return _differ(a, b, 0, CHUNKS * SYMBOLS)
-
-
-def first_meeting(a: Column, b: Column, at: Column) -> Column:
-    """Whether bucket key `at`, which two signatures share, is the first that they share."""
-    chunk, leave = F.floor(at / SYMBOLS).cast("int"), at % SYMBOLS
-    later = F.forall(F.sequence(F.lit(0), F.lit(CHUNKS - 1)), lambda c: (c >= chunk) | (_differ(a, b, c * SYMBOLS, SYMBOLS) > ERRORS))
-    return later & ((leave == 0) | (_differ(a, b, chunk * SYMBOLS, SYMBOLS) == 1))
-
-
 def _with_sets(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """(node, items): the full set of each node in `wanted(node, id, digest)`."""
+    """(digest, family, weight, blocks, items): the full set of each member in `wanted(digest, id, th, family, weight, blocks)`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = _Words()
         for batch in by_bytes(batches, "text", 1 << 20):
             sets = [shingle_set(t, k, met) for t in batch.column("text").to_pylist()]
-            keep = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("node").filter(pa.array(keep, pa.bool_())),
-                pa.array([s.astype(np.int64) for s, w in zip(sets, keep) if w], pa.list_(pa.int64()))], ["node", "items"])
-
-    own = docs.select(docs[key].alias("id"), docs[text].alias("text"))
-    rows = own.join(wanted, own["id"].eqNullSafe(wanted["id"])).select("node", "digest", "text")
-    return rows.mapInArrow(run, "node long, items array<bigint>").dropDuplicates(["node"])
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The rows of `pairs(a, b)` whose full sets are similar enough."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(share[1] * both >= share[0] * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-
-def _widened(full: DataFrame) -> DataFrame:
-    """(node, wide): WIDE MinHash values of 8 bits of each set in `full(node, items)`."""
+            keep = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())
+            items = pa.array([s.view(np.int64) for s, w in zip(sets, keep.to_pylist()) if w], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in names), items], [*names, "items"])
+
+    names = ["digest", "family", "weight", "blocks"]
+    own = _own(docs, key, text).withColumnRenamed("th", "own_th").withColumnRenamed("id", "own_id")
+    rows = own.join(wanted, (F.col("own_th") == F.col("th")) & F.col("own_id").eqNullSafe(F.col("id"))).select(*names, "text")
+    return rows.mapInArrow(run, "digest binary, family long, weight int, blocks int, items array<bigint>").dropDuplicates(["digest"])
+
+
+def similar_pairs(sets: list[np.ndarray], share: tuple[int, int], first: int | None = None) -> np.ndarray:
+    """(i, j) of the sets that are similar enough, i < j; with `first`, only those of the first so many with one of the others."""
+    n, k = np.array(list(map(len, sets))), len(sets)
+    _, item, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[item] > 1  # an item of one set is in no intersection
+    item, doc = (np.cumsum(count > 1) - 1)[item[shared]], np.repeat(np.arange(k), n)[shared]
+    order = np.argsort(item)
+    item, doc, m = item[order], doc[order], int((count > 1).sum())
+    rows, columns = (slice(None), slice(None)) if first is None else (slice(0, first), slice(first, k))
+    both = np.zeros((len(n[rows]), len(n[columns])), np.int64)
+    for start in range(0, m, COLUMNS):
+        a, b = np.searchsorted(item, [start, start + COLUMNS])
+        has = np.zeros((k, min(COLUMNS, m - start)), np.float32)
+        has[doc[a:b], item[a:b] - start] = 1
+        both += (has[rows] @ has[columns].T).astype(np.int64)  # at most COLUMNS: exact
+    close = share[1] * both >= share[0] * (n[rows][:, None] + n[columns] - both)
+    found = np.argwhere(np.triu(close, 1) if first is None else close)
+    return found + [0, first or 0]
+
+
+def _forest(digests: list[bytes], roots: list[bytes], sides: list[int], sets: list[np.ndarray], share: tuple[int, int]) -> Iterator[tuple[bytes, bytes]]:
+    """Links that join different roots, none that closes a circle."""
+    first = sides.index(1) if 1 in sides else None
+    if len(sets) < 2 or first == 0 or len(set(roots)) < 2:
+        return
+    over: dict[bytes, bytes] = {}
+    for i, j in similar_pairs(sets, share, first).tolist():
+        a, b = roots[i], roots[j]
+        while a in over:
+            a = over[a]
+        while b in over:
+            b = over[b]
+        if a != b:
+            over[max(a, b)] = min(a, b)
+            yield digests[i], digests[j]
+
+
+def _linked(rows: DataFrame, by: list[str], share: tuple[int, int]) -> DataFrame:
+    """(a, b): links within each block of `rows(digest, root, side, items)` dealt by `by`; only between the two sides where there are two."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [np.asarray(v, np.int64).view(np.uint64) for v in part.column("items").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([w.tobytes() for w in signatures(sets, WIDE, 8)], pa.binary())], ["node", "wide"])
-
-    return full.select("node", "items").mapInArrow(run, "node long, wide binary")
-
-
-def _merged(root: DataFrame, linked: DataFrame) -> DataFrame:
-    """`root(node, root)` after the pairs of `linked(a, b)` are joined."""
-    a, b = (root.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    pairs = cut_lineage(linked.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
-    if pairs.isEmpty():
-        return root
-    top = components(pairs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return cut_lineage(root.join(top.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select(
-        "node", F.coalesce("over", "root").alias("root")))
+        at, held = None, []
 
+        def links() -> list[tuple[bytes, bytes]]:
+            return list(_forest(*map(list, zip(*held)), share)) if held else []
 
-def _followed(label: DataFrame, linked: DataFrame) -> DataFrame:
-    """`label(node, root)` after each linked node takes the label that its lead's label has. Equal labels are connected; the reverse comes later."""
-    lead = linked.join(label.select(F.col("node").alias("b"), F.col("root").alias("to")), "b").select(F.col("a").alias("node"), "to")
-    step = label.join(lead, "node", "left").select("node", F.coalesce("to", "root").alias("root"))
-    jump = step.select(F.col("node").alias("root"), F.col("root").alias("over"))
-    return cut_lineage(step.join(jump, "root", "left").select("node", F.coalesce("over", "root").alias("root")))
+        def table(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*pairs) if pairs else ((), ()))], ["a", "b"])
 
-
-def _closest(placed: DataFrame, leads: DataFrame, tried: DataFrame | None, sig: DataFrame) -> DataFrame:
-    """(a, b): each node with the lead of another component that it shares most buckets with, of those not tried yet."""
-    star = placed.join(leads, "bucket").where("root <> lead_root").groupBy(F.col("node").alias("a"), F.col("lead").alias("b")).agg(F.count("*").alias("shared"))
-    if tried is not None:
-        star = star.join(tried, ["a", "b"], "left_anti")
-    best = star.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    near = best.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
-    return cut_lineage(near.where(distance(F.col("x"), F.col("y")) <= MAX_DISTANCE).select("a", "b"))
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            ends, values = batch.column("items").offsets.to_numpy(), batch.column("items").values.to_numpy()
+            block = zip(*(batch.column(c).to_pylist() for c in by))
+            rest = zip(*(batch.column(c).to_pylist() for c in ("digest", "root", "side")))
+            for i, (name, member) in enumerate(zip(block, rest)):
+                if name != at:
+                    out += links()
+                    at, held = name, []
+                held.append((*member, values[ends[i] : ends[i + 1]]))
+            yield table(out)
+            held = [(*m, s.copy()) for *m, s in held]  # lets the batch go
+        yield table(links())
+
+    dealt = rows.select(*by, "digest", "root", "side", "items").repartition(*by).sortWithinPartitions(*by, "side")
+    return cut_lineage(dealt.mapInArrow(run, "a binary, b binary"))
+
+
+def _blocks(weight: Column) -> Column:
+    return F.ceil(weight / DOCS).cast("int")
+
+
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """`members(digest, ...)` with `root`: the smallest digest that `links` connect each to."""
+    ends = links.select(F.explode_outer(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    root = components(links, ends)
+    return members.join(root, members["digest"] == root["node"], "left").select(*(members[c] for c in members.columns), F.coalesce("root", "digest").alias("root"))
+
+
+def _unsettled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """Members of families that `links` leave in several components, and how many components these are."""
+    placed = _rooted(members, links)
+    open_ = placed.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("family")
+    left = cut_lineage(placed.join(open_, "family", "left_semi"))
+    return left, left.select("root").distinct().count()
+
+
+def _across(left: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links between blocks of `left(digest, family, weight, root, items)`, each two blocks of a family once."""
+    sizes = left.groupBy("family", "root").agg(F.sum("weight").alias("size"))
+    sizes = sizes.withColumn("own", F.col("size") * 2 >= DOCS)
+    mixed = sizes.where("not own").groupBy("family").agg(_blocks(F.sum("size")).alias("mixed"))
+    sizes = sizes.join(mixed, "family", "left")
+    number = F.when(F.col("own"), F.pmod(F.xxhash64("digest"), _blocks(F.col("size")))).otherwise(F.pmod(F.xxhash64("root"), F.col("mixed")))
+    block = F.concat_ws(":", F.when(F.col("own"), F.hex("root")).otherwise(F.lit("mixed")), number.cast("string"))
+    placed = cut_lineage(left.join(sizes, ["family", "root"]).select("family", "digest", "root", "items", "own", block.alias("block")))
+    names = placed.select("family", "block", F.when(F.col("own"), F.col("root")).alias("whole")).distinct()
+    x, y = (names.select("family", F.col("block").alias(c), F.col("whole").alias(f"whole_{c}")) for c in "xy")
+    pairs = x.join(y, "family").where("x <= y and coalesce(whole_x <> whole_y, true)").select("family", "x", "y")
+    sides = [placed.withColumnRenamed("block", c).join(pairs.where(only), ["family", c]).withColumn("side", F.lit(i)) for i, (c, only) in enumerate(
+        (("x", "true"), ("y", "x < y")))]
+    return _linked(sides[0].unionByName(sides[1]), ["family", "x", "y"], share)
+
+
+def members_of(docs: DataFrame, key: str, text: str, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(rows, members): `described` rows, and (digest, least, root) of every different set; `least` is its smallest key."""
+    rows = cut_lineage(described(docs, key, text, k))
+    sets = cut_lineage(rows.where("digest is not null").groupBy("digest").agg(
+        F.min("id").alias("least"), F.min(F.struct("th", "id")).alias("at"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    # 64 bits name a member here: two sets of one name would only make a family larger
+    node = F.xxhash64("digest")
+    entries = sets.select(node.alias("node"), F.explode_outer(bucket_keys(F.col("sig"))).alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
+    stars = cut_lineage(entries.join(shared, "bucket").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+    family = components(stars, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    listed = sets.select("digest", "at.th", "at.id", node.alias("node"), (F.floor(F.col("n") / ITEMS) + 1).cast("int").alias("weight")).join(
+        family.withColumnRenamed("root", "family"), "node").drop("node")
+    wanted = listed.join(listed.groupBy("family").agg(_blocks(F.sum("weight")).alias("blocks")), "family")
+    full = cut_lineage(_with_sets(docs, key, text, k, wanted))
+    alone = F.col("digest").alias("root")
+    by_hash = lambda n: F.pmod(F.xxhash64("digest", F.lit(n)), F.col("blocks")).alias("block")
+    links = _linked(full.select("*", alone, F.lit(0).alias("side"), by_hash(0)), ["family", "block"], share)
+    large = full.where("blocks > 1")
+    if not large.isEmpty():
+        left, n = _unsettled(large, links)
+        step, before = 0, 2 * n
+        while n and 2 * n <= before:
+            step, before = step + 1, n
+            links = links.union(_linked(left.select("*", F.lit(0).alias("side"), by_hash(step)), ["family", "block"], share))
+            left, n = _unsettled(large, links)
+        if n:
+            links = links.union(_across(left, share))
+    return rows, cut_lineage(_rooted(sets.select("digest", "least"), links))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """`key`, `n_shingles`, `component`, `kept` for every row: the component's smallest key, and whether it is this row's."""
-    rows = cut_lineage(described(docs, key, text, k))
-    node = F.coalesce(F.min("id").cast("long"), F.xxhash64("digest"))
-    sets = cut_lineage(rows.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), node.alias("node"), F.first("sig").alias("sig")))
-    entries = sets.select("node", F.posexplode(bucket_keys(F.col("sig"))).alias("at", "bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-    members = cut_lineage(entries.join(cut_lineage(shared), "bucket"))
-    sig = sets.select("node", "sig")
-    nodes = members.select("node").distinct()
-    full = cut_lineage(_with_sets(docs, key, text, k, sets.join(nodes, "node").select("node", "id", "digest")))
-    nodes = full.select("node")
-    label = nodes.withColumn("root", F.col("node"))
-    tried = links = None
-    for step in range(ROUNDS):
-        # a bucket is led by its smallest node, later by one of its most frequent label, another one each round
-        placed = members.join(label, "node")
-        size = label.groupBy("root").agg(F.count("*").alias("n"))
-        order = -F.col("node") if step == 0 else F.xxhash64("node", F.lit(step))
-        lead = F.max(F.struct("n", order.alias("order"), F.col("node").alias("lead"), F.col("root").alias("lead_root"))).alias("lead")
-        leads = placed.join(size, "root").groupBy("bucket").agg(lead).select("bucket", "lead.lead", "lead.lead_root")
-        asked = _closest(placed, leads, tried, sig)
-        linked = cut_lineage(_confirmed(asked, full, share))
-        tried, links = (asked, linked) if tried is None else (tried.union(asked), links.union(linked))
-        label = _followed(label, linked)
-    root = components(links, nodes)
-    placed = members.join(root, "node")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    placed = cut_lineage(placed.join(mixed, "bucket"))
-    # members of one bucket whose components still differ; every pair once
-    open_ = placed.join(sig, "node").join(_widened(full.join(placed.select("node").distinct(), "node", "left_semi")), "node")
-    other = open_.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"), F.col("sig").alias("other_sig"), F.col("wide").alias("other_wide"))
-    apart = (F.col("root") < F.col("other")) & first_meeting(F.col("sig"), F.col("other_sig"), F.col("at")) & (
-        distance(F.col("sig"), F.col("other_sig")) <= MAX_DISTANCE) & (_differ(F.col("wide"), F.col("other_wide"), 0, WIDE, 1) <= WIDE_DISTANCE)
-    across = open_.withColumnRenamed("node", "a").join(other, "bucket").where(apart).select("a", "b")
-    both = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    root = _merged(root, _confirmed(across.join(both, ["a", "b"], "left_anti"), full, share))
-    final = cut_lineage(sets.select("digest", "id", "node").join(root, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root")))
-    names = final.groupBy("root").agg(F.min("id").alias("component"))
-    named = final.join(names, "root").select("digest", "component")
+    rows, members = members_of(docs, key, text, k, share)
+    named = members.join(members.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "component")
     lone = rows.where("digest is null").select("id", "n", F.col("id").alias("component"))
     out = rows.where("digest is not null").join(named, "digest").select("id", "n", "component").unionByName(lone)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component", F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """The rows of `docs`, all columns, whose key names their component. Rows without a key stay: no decision can name them."""
-    (own,) = fresh(docs, "kept_key")
-    names = near_duplicates(docs, key, text, k, share).groupBy(F.col(key).alias(own)).agg(F.bool_or("kept").alias("kept")).where("not kept").select(own)
-    return docs.join(names, docs[key] == F.col(own), "left_anti").select(*(docs[c] for c in docs.columns))
+    """One row of `docs`, all columns, of each component: that of the smallest key, null keys last, then of the smallest text hash.
+
+    Of rows that are equal in both any one stays. Rows whose text has no word all stay.
+    """
+    own_id, own_th = fresh(docs, "kept_id", "kept_th")
+    rows, members = members_of(docs, key, text, k, share)
+    named = rows.where("digest is not null").select("id", "th", "digest").join(members.select("digest", "root"), "digest")
+    order = F.struct(F.col("id").isNull().alias("missing"), "id", "th")
+    each = named.groupBy("id", "th").agg(F.first("root").alias("root"), F.count("*").alias("times"))
+    each = cut_lineage(each.join(named.groupBy("root").agg(F.min(order).alias("best")), "root").select(
+        F.col("id").alias(own_id), F.col("th").alias(own_th), "times", (order == F.col("best")).alias("stays")))
+    same = F.col(quoted(key)).eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col(quoted(text))) == F.col(own_th))
+    out = docs.join(each.where("not stays").select(own_id, own_th), same, "left_anti")
+    twice = each.where("stays and times > 1").select(own_id, own_th)
+    if not twice.isEmpty():
+        repeated = out.join(twice, same).dropDuplicates([own_id, own_th]).select(*(F.col(quoted(c)) for c in docs.columns))
+        out = out.join(twice, same, "left_anti").unionByName(repeated)
+    return out

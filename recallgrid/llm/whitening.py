@@ -218,7 +218,6 @@ def whiten(df: DataFrame, vector: str = "embedding", n_components: int = 4) -> t
     model, error = fit(df.select(entries.alias("v")), n_components)
     (out, deviation, whitened) = fresh(df, "out", "deviation", "whitened")
 
-    @F.arrow_udf("struct<deviation: bigint, whitened: array<double>>")
     def project(v: pa.Array) -> pa.Array:
         rows, x = integers(v, len(model.sums)) if model else (np.empty(0, np.int64), None)
         result = [None] * len(v)
@@ -227,6 +226,8 @@ def whiten(df: DataFrame, vector: str = "embedding", n_components: int = 4) -> t
                 result[i] = {"deviation": far, "whitened": w}
         return pa.array(result, pa.struct([("deviation", pa.int64()), ("whitened", pa.list_(pa.float64()))]))
 
-    kept = df.withColumn(out, project(entries)).where(F.col(out).isNotNull())
+    # as if not deterministic: else the filter would be pushed below and compute it again
+    projected = F.arrow_udf(project, "struct<deviation: bigint, whitened: array<double>>").asNondeterministic()
+    kept = df.withColumn(out, projected(entries)).where(F.col(out).isNotNull())
     own = [F.col(quoted(c)) for c in df.columns]
     return kept.select(*own, F.col(f"{out}.deviation").alias(deviation), F.col(f"{out}.whitened").alias(whitened)), model, error
