@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import Rounds, drop_folder
 
 
 def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -14,14 +14,16 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     then the root of its root, so long chains collapse quickly. Roots only get
     smaller, so the rounds end; they go on until no root changes.
     """
-    e = cut_lineage(pairs.selectExpr("a", "b").union(pairs.selectExpr("b as a", "a as b")).distinct())
-    cur = cut_lineage(nodes.select("node", F.col("node").alias("root")))
+    spark = pairs.sparkSession
+    links, rounds = Rounds(spark, "links"), Rounds(spark, "components")
+    e = links.keep(pairs.selectExpr("a", "b").union(pairs.selectExpr("b as a", "a as b")).distinct())
+    cur = rounds.keep(nodes.select("node", F.col("node").alias("was"), F.col("node").alias("root")))
     while True:
         seen = e.join(cur.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
         step = cur.join(seen, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("r", "root")).alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("rr"))
-        nxt = cut_lineage(step.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("rr", "root")).alias("root")))
-        done = nxt.where("was <> root").isEmpty()
-        cur = nxt.select("node", "root")
-        if done:
-            return cur
+        # only roots that have another root themselves are looked up, so a root of many nodes, done, is not a key of this join
+        jump = step.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("rr"))
+        cur = rounds.keep(step.join(jump, "root", "left").select("node", "was", F.coalesce("rr", "root").alias("root")))
+        if cur.where("was <> root").isEmpty():
+            drop_folder(spark, links.folder)
+            return cur.select("node", "root")

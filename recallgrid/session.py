@@ -66,6 +66,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of tables that no later job reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Rounds:
+    """The table that the rounds of a loop rewrite, as Parquet in the shared folder.
+
+    A checkpoint passes on the estimated size of its plan; where each round joins
+    the last one's result to itself, that estimate squares every time, until
+    the planner does nothing but multiply. A written table has its files' size.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, scratch_path(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Writes `df`, which may read the last table, and reads it again; the one before the last goes."""
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        if self.n > 1:
+            drop_folder(self.spark, f"{self.folder}/{self.n - 2}")
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as there are cores.
 
