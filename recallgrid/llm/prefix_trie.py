@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.ranking import spread_rank
-from ..session import cut_lineage
+from ..session import Rounds, cut_lineage
 
 ROWS_PER_RANGE = 100_000
 #: Turns of a conversation whose hashes one task adds up.
@@ -178,10 +178,11 @@ def ranked_runs(laid: DataFrame, following: dict[int, int]) -> DataFrame:
         for number, _, arcs in _by_range(pd.concat(held), following) if held else ():
             yield arcs.runs().assign(range=number)[["range", "at", "next", "arcs", "leaves", "saved"]]
 
-    cur = cut_lineage(laid.mapInPandas(run, f"range int, at {_ARC}, next {_ARC}, arcs long, leaves long, saved long"))
+    rounds = Rounds(laid.sparkSession, "runs")
+    cur = rounds.keep(laid.mapInPandas(run, f"range int, at {_ARC}, next {_ARC}, arcs long, leaves long, saved long"))
     while not cur.where("next is not null").isEmpty():
         ahead = cur.select(F.col("at").alias("next"), F.col("next").alias("over"), *(F.col(c).alias(f"{c}_on") for c in ("arcs", "leaves", "saved")))
-        cur = cut_lineage(cur.join(ahead, "next", "left").select(
+        cur = rounds.keep(cur.join(ahead, "next", "left").select(
             "range", "at", F.col("over").alias("next"), *((F.col(c) + F.coalesce(f"{c}_on", F.lit(0))).alias(c) for c in ("arcs", "leaves", "saved"))))
     return cur.drop("next")
 
@@ -208,7 +209,8 @@ def trie(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         found.select("k1", "k2", "conv_id", "depth"), ["k1", "k2"]).select("conv_id", "depth", "member")
     kids = found.where("p1 is not null").groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(
         F.count("*").alias("n_children"), F.min("conv_id").alias("first_child"), F.max("conv_id").alias("last_child"))
-    parents = found.join(kids, ["k1", "k2"], "left")
+    # cut, so that the next join's sides come straight from an exchange: Spark can split a parent of very many children there
+    parents = cut_lineage(found.join(kids, ["k1", "k2"], "left"))
     over = parents.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"), F.col("last_child").alias("youngest"))
     nodes = parents.join(over, ["p1", "p2"], "left").select(
         "conv_id", "depth", F.coalesce("parent_conv_id", "conv_id").alias("parent_conv_id"), "n_convs", "words",
