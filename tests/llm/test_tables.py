@@ -298,7 +298,7 @@ def test_same_rows_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     df = QUERIES[name](spark, SMALL)
     res = con.execute(ORACLE[name])
