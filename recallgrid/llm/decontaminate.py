@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import ascii_lower, fresh
+from .common import ascii_lower, fresh, quoted
 
 SPAN, K = 13, 5
 #: Fingerprint rows of the benchmark, each under 400 bytes, up to which they are sent to every task; beyond, both sides are shuffled.
@@ -115,7 +115,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                   span: int = SPAN, k: int = K) -> DataFrame:
     """`key`, `n_words`, `n_hit`, `n_items`, `items` (sorted ids as text), `contaminated` for every row of `docs`."""
     a, b = _text_key(F.col("text"))
-    own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    own = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
     words = own.where("text is not null").select(a.alias("a"), b.alias("b"), word_hashes(F.col("text")).alias("words"))
     asked = cut_lineage(items.select(items[item].cast("string").alias("item"), items[item_text].alias("text")).where("text is not null")
                         .withColumn("words", word_hashes(F.col("text"))).drop("text").where(F.size("words") > 0))
@@ -126,7 +126,8 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     per_text = found.groupBy("a", "b").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("ids"))
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), lambda s, v: F.struct(
         (s["n"] + F.greatest(F.lit(0), v["end"] - F.greatest(v["start"], s["reach"]))).alias("n"), F.greatest(s["reach"], v["end"]).alias("reach")))["n"]
-    hit = per_text.select("a", "b", covered.cast("long").alias("n_hit"), "ids")
+    # cut, so that Spark can split the rows of one text in the join
+    hit = cut_lineage(per_text.select("a", "b", covered.cast("long").alias("n_hit"), "ids"))
     counted = own.select("key", a.alias("a"), b.alias("b"), F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
@@ -139,11 +140,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     """The rows of `docs`, all columns, that are not contaminated."""
     a, b = fresh(docs, "text_a", "text_b")
     ka, kb = _text_key(F.col("text"))
-    texts = docs.select(docs[text].alias("text"))
+    texts = docs.select(F.col(quoted(text)).alias("text"))
     bad = contamination(texts.where("text is not null").withColumn("key", F.struct(ka.alias("a"), kb.alias("b"))), items, "key", "text", **more).where(
         "contaminated").select(F.col("key.a").alias(a), F.col("key.b").alias(b)).distinct()
-    da, db = _text_key(F.col(text))
-    return docs.withColumn(a, da).withColumn(b, db).join(bad.hint("shuffle_hash"), [a, b], "left_anti").select(*(docs[c] for c in docs.columns))
+    da, db = _text_key(F.col(quoted(text)))
+    return docs.withColumn(a, da).withColumn(b, db).join(cut_lineage(bad).hint("shuffle_hash"), [a, b], "left_anti").drop(a, b)
 
 
 def _sql_words(text: str) -> str:

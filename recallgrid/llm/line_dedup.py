@@ -3,9 +3,9 @@
 Every line with a word is hashed; one sketch of its sites per line hash is
 merged by aggregation. Lines whose estimate is near the threshold are counted
 exactly, so the sketches' error decides nothing. Lines on MIN_SITES sites or more go
-from every document. A document of which such lines would be more than MOST of
-its characters is a copy of a spread document and no page with boilerplate: it
-stays whole, for near-duplicate removal to deal with.
+from every document that has a line of its own besides. A document in which no
+line with a word would be left is a copy of a spread document and no page with
+boilerplate: it stays whole, for near-duplicate removal to deal with.
 
 Defined results: null text stays null and has no lines; a null site counts for
 no line; blank lines always stay; a line that repeats inside a document goes
@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import fresh
+from .common import fresh, quoted
 
-MIN_SITES, MOST = 10, 0.5
+MIN_SITES = 10
 #: log2 of the sketch's buckets: a standard error of 3.3 %. BAND is seven times that.
 LG_K, BAND = 10, 0.25
 WORD = r"[^\x20\x09-\x0D]"
@@ -47,7 +47,7 @@ def _hashed(docs: DataFrame, text: str, *more: Column) -> DataFrame:
 
 def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """(a, b): hashes of the lines on `min_sites` sites or more."""
-    own = docs.select(F.col(text).alias("text"), F.col(site).alias("site")).where("text is not null and site is not null")
+    own = docs.select(F.col(quoted(text)).alias("text"), F.col(quoted(site)).alias("site")).where("text is not null and site is not null")
     spread = _hashed(own, "text", F.col("site")).groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     wide = cut_lineage(spread.where(F.col("sites") >= min_sites * (1 - BAND)))
     near = wide.where(F.col("sites") <= min_sites * (1 + BAND)).select("a", "b")
@@ -61,29 +61,28 @@ def dedup_lines(docs: DataFrame, text: str = "text", site: str = "source", min_s
 
     If `docs` has columns of these names, the new ones get a leading underscore.
     """
-    n_lines, n_removed, a, b, gone, cut, whole = fresh(docs, "n_lines", "n_removed", "key_a", "key_b", "gone", "cut", "line_chars")
+    n_lines, n_removed, a, b, gone, cut = fresh(docs, "n_lines", "n_removed", "key_a", "key_b", "gone", "cut")
+    body = F.col(quoted(text))
     common = cut_lineage(boilerplate(docs, text, site, min_sites).select(F.struct("a", "b").alias("line"), "a", "b"))
     ta, tb = _key(F.col("text"))
-    own = docs.select(F.col(text).alias("text")).where("text is not null")
-    hits = _hashed(own, "text", ta.alias(a), tb.alias(b)).join(common, ["a", "b"]).groupBy(a, b).agg(F.collect_set("line").alias(gone))
-    da, db = _key(F.col(text))
+    own = docs.select(body.alias("text")).where("text is not null")
+    # a row for each different text with such a line; cut, so that Spark can split the rows of one text in the join
+    hits = cut_lineage(_hashed(own, "text", ta.alias(a), tb.alias(b)).join(common, ["a", "b"]).groupBy(a, b).agg(F.collect_set("line").alias(gone)))
+    da, db = _key(body)
     joined = docs.withColumn(a, da).withColumn(b, db).join(hits.hint("shuffle_hash"), [a, b], "left")
 
     def goes(line: Column) -> Column:
         x, y = _key(line)
         return F.array_contains(F.col(gone), F.struct(x.alias("a"), y.alias("b")))
 
-    def chars(lines: Column) -> Column:
-        return F.aggregate(lines, F.lit(0).cast("long"), lambda n, v: n + F.when(v.rlike(WORD), F.length(v)).otherwise(0))
-
-    lines = lines_of(F.col(text))
+    lines = lines_of(body)
     kept = F.filter(lines, lambda v: ~goes(v))
-    out = joined.withColumn(cut, F.when(F.col(gone).isNotNull(), kept)).withColumn(whole, F.when(F.col(gone).isNotNull(), chars(lines)))
-    remove = F.col(cut).isNotNull() & ((1 - MOST) * F.col(whole) <= chars(F.col(cut)))
-    count = F.coalesce(F.size(F.when(F.col(text).isNotNull(), lines)), F.lit(0)).cast("long")
+    out = joined.withColumn(cut, F.when(F.col(gone).isNotNull(), kept))
+    remove = F.col(cut).isNotNull() & F.exists(cut, lambda v: v.rlike(WORD))
+    count = F.coalesce(F.size(F.when(body.isNotNull(), lines)), F.lit(0)).cast("long")
     return out.select(
-        *(F.when(remove, F.array_join(cut, "\n")).otherwise(F.col(c)).alias(c) if c == text else docs[c] for c in docs.columns),
-        F.when(F.col(text).isNull(), 0).otherwise(count).cast("long").alias(n_lines),
+        *(F.when(remove, F.array_join(cut, "\n")).otherwise(body).alias(c) if c == text else F.col(quoted(c)) for c in docs.columns),
+        F.when(body.isNull(), 0).otherwise(count).cast("long").alias(n_lines),
         F.when(remove, count - F.size(cut)).otherwise(0).cast("long").alias(n_removed))
 
 
@@ -93,10 +92,9 @@ flat as (select r, source, unnest(ls) as line, generate_subscripts(ls, 1) as pos
 wordy as (select *, regexp_matches(line, '[^ \\t\\n\\r\\x0b\\x0c]') as has_word from flat),
 common as (select line from wordy where has_word group by line having count(distinct source) >= {MIN_SITES}),
 marked as (select w.*, w.has_word and c.line is not null as goes from wordy w left join common c on w.line = c.line),
-per as (select r, count(*) as n, count(*) filter (where goes) as n_goes, coalesce(sum(length(line)) filter (where has_word), 0) as chars,
-  coalesce(sum(length(line)) filter (where has_word and not goes), 0) as left_chars,
+per as (select r, count(*) as n, count(*) filter (where goes) as n_goes, count(*) filter (where has_word and not goes) as n_own,
   string_agg(line, chr(10) order by pos) filter (where not goes) as kept from marked group by r)
-select doc_id, case when n_goes > 0 and {1 - MOST} * chars <= left_chars then coalesce(kept, '') else text end as text,
-  coalesce(n, 0)::bigint as n_lines, case when n_goes > 0 and {1 - MOST} * chars <= left_chars then n_goes else 0 end::bigint as n_removed
+select doc_id, case when n_goes > 0 and n_own > 0 then coalesce(kept, '') else text end as text,
+  coalesce(n, 0)::bigint as n_lines, case when n_goes > 0 and n_own > 0 then n_goes else 0 end::bigint as n_removed
 from row_lines left join per using (r)
 """

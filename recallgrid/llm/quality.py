@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .common import SPACES, by_bytes, quoted
 
@@ -115,15 +115,14 @@ def quality_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
                                              [key, *(m.split()[0] for m in METRICS.split(", "))])
 
-    return docs.select(docs[key].alias("id"), docs[text].alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose text passes."""
+    """The rows of `docs`, all columns, whose text passes. Only the text goes through Python."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passes(texts: pa.Array) -> pa.Array:
         press = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in by_bytes(batches, text):
-            yield batch.filter(pa.array([m[-1] for m in _measured(batch, text, press)], pa.bool_()))
+        return pa.array([measure(t.as_py(), press)[-1] for t in texts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.arrow_udf(passes, "boolean")(F.col(quoted(text))))

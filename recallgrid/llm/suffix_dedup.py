@@ -304,13 +304,14 @@ def _cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256` of every row of `docs`."""
+    """`key`, `n_bytes`, `n_removed`, `n_spans`, `kept_sha256` and `cut`, whether anything goes, of every row of `docs`."""
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(docs[key].alias("id"), docs[text].alias("text"))
     rows = cut_lineage(own.mapInArrow(_anchor_rows, f"id {kind}, digest binary, size long, sha string, anchors array<struct<gram:bigint,first:int,last:int>>"))
     texts = cut_lineage(rows.where(F.col("size") >= MIN).groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.first("anchors").alias("anchors")))
     spread = texts.select("digest", F.inline("anchors"))
-    often = spread.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # cut, so that Spark can split the anchors of one gram in the join
+    often = cut_lineage(spread.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     open_ = spread.join(often, "gram").groupBy("digest").agg(F.collect_list(F.struct("gram", "first", "last")).alias("open"))
     asked = cut_lineage(open_.join(texts.select("digest", F.col("id").alias("rep"), "copies"), "digest"))
     with_text = cut_lineage(own.join(asked, own["id"].eqNullSafe(asked["rep"])).select("digest", "copies", "text", "open"))
@@ -340,8 +341,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copied = texts.where("copies > 1").select("digest", F.lit(True).alias("copied"))
     changed = done.select("digest", F.lit(False).alias("copied"), "n_removed", "n_spans", "cut_sha").unionByName(copied, allowMissingColumns=True)
     zero = F.lit(0).cast("long")
-    return rows.select("id", "digest", "size", "sha").join(changed, "digest", "left").select(
+    out = rows.select("id", "digest", "size", "sha").join(changed, "digest", "left").select(
         F.col("id").alias(key), F.col("size").alias("n_bytes"),
         F.when(F.col("copied"), F.col("size")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(F.col("copied"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(F.col("copied"), F.lit(none)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"))
+    return out.withColumn("cut", F.col("n_removed") > 0)

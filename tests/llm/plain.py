@@ -146,8 +146,8 @@ def without_repeats(texts: list, size: int = 400) -> list[tuple]:
     return out
 
 
-def without_boilerplate(rows: list[tuple], min_sites: int, most: float = 0.5) -> list:
-    """Texts of (text, site) rows without lines on `min_sites` sites."""
+def without_boilerplate(rows: list[tuple], min_sites: int) -> list:
+    """Texts of (text, site) rows without lines on `min_sites` sites; whole where no line with a word would be left."""
     sites = defaultdict(set)
     wordy = lambda line: bool(re.search(r"[^\x20\x09-\x0D]", line))
     for text, site in rows:
@@ -161,6 +161,5 @@ def without_boilerplate(rows: list[tuple], min_sites: int, most: float = 0.5) ->
             continue
         lines = text.split("\n")
         kept = [v for v in lines if len(sites[v]) < min_sites]
-        chars = lambda vs: sum(len(v) for v in vs if wordy(v))
-        out.append("\n".join(kept) if (1 - most) * chars(lines) <= chars(kept) else text)
+        out.append("\n".join(kept) if any(map(wordy, kept)) else text)
     return out

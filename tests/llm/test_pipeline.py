@@ -3,6 +3,7 @@
 import corpus_pipeline
 import sentencepiece
 import zstandard
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from recallgrid.llm import pieces, quality
@@ -33,3 +34,13 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
         assert stage(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_stages_take_any_column(spark):
+    """Columns whose names need quotes, or clash, and types that Python workers may not read."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("a.b", F.col("doc_id") * 2).withColumn("key_a", F.lit("x")).withColumn(
+        "wide", F.expr("named_struct('x y', make_ym_interval(1, cast(doc_id as int)))")).withColumn("digest", F.col("text"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        assert out.where("`a.b` = doc_id * 2 and key_a = 'x' and extract(month from wide.`x y`) = doc_id % 12").count() == out.count() > 0

@@ -38,6 +38,11 @@ def test_lines(spark, odd):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     want = plain.without_boilerplate([(t, s) for _, t, s in rows], line_dedup.MIN_SITES)
     assert [got[i] for i in range(400)] == want and any(w != t for w, (_, t, _) in zip(want, rows))
+    # a page that is boilerplate but for one line keeps that line; a copy of a spread page stays whole
+    nav = "\n".join(f"navigation entry number {i} of the site" for i in range(9))
+    pages = [(i, f"{nav}\nown line {i}" if i < 5 else nav, f"s{i}") for i in range(12)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(pages, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.text for r in out} == {i: f"own line {i}" if i < 5 else nav for i in range(12)}
     out = line_dedup.dedup_lines(odd, min_sites=1)
     assert out.columns == [*odd.columns, "_n_lines", "n_removed"]
     same([(r.doc_id, r.text) for r in out.collect()],
@@ -284,7 +289,7 @@ def test_repeats(spark, odd, monkeypatch, shard):
     rows.append((400, "ab" * 700))
     rows.append((401, "é" * 399))
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    want = [(i, *w) for (i, _), w in zip(rows, plain.without_repeats([t for _, t in rows]))]
+    want = [(i, *w, w[1] > 0) for (i, _), w in zip(rows, plain.without_repeats([t for _, t in rows]))]
     same(map(tuple, got.collect()), want)
     if shard > 3000:
         assert suffix_dedup.remove_repeats(odd.where("false")).count() == 0
