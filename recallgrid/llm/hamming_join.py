@@ -47,16 +47,17 @@ GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 DOCS, ITEMS = 512, 2048
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 8192
+#: Words whose hashes a worker keeps, some 200 bytes each.
+KNOWN = 150_000
 #: Words of default shingles, and the similarity as a fraction.
 WORDS, SHARE = 5, (80, 100)
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class _Words(dict):
-    """64-bit hash of each word met; forgets all at a million."""
+    """64-bit hash of each word met; forgets all at KNOWN, so that the few workers of an executor stay small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > KNOWN:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
