@@ -116,17 +116,22 @@ def b12(t):
     return ranking.top_n(copies, ["id"], [F.col("pref")], 1).select("id", "origin")
 
 
-@query("B13_entity_filtered_search", "chunks qs bench_words dict chunk_entity lex q_terms doc_stats", """
+def field_sql(tag: str, texts: str) -> str:
+    """CTE text that ends in `{tag}x(query_id, id, score)`: BM25 over `texts(id, names)`."""
+    return f"""{tag}t as (select id, unnest(list_filter(regexp_split_to_array(lower(names), '[^\\p{{L}}\\p{{N}}]+'), lambda t: len(t) > 0)) as token from {texts}),
+{tag}s as (select n, (select count(*) from {tag}t) * 1e0 / n as avg_dl from doc_stats), {tag}tf as (select id, token, count(*) as tf from {tag}t group by all),
+{tag}df as (select token, count(*) as df from {tag}tf group by token), {tag}dl as (select id, count(*) as dl from {tag}t group by id),
+{tag}x as (select query_id, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) as score
+    from q_terms join {tag}tf using (token) join {tag}df using (token) join {tag}dl using (id), {tag}s group by all)"""
+
+
+@query("B13_entity_filtered_search", "chunks qs bench_words dict chunk_entity dict_rel lex q_terms doc_stats", f"""
 with names as (select c.id, coalesce(string_agg(distinct name, ' ' order by name), '') as names
     from chunks c left join chunk_entity e on e.id = c.id where deleted_at is null group by c.id),
-nt as (select id, unnest(list_filter(regexp_split_to_array(names, '[^\\p{L}\\p{N}]+'), lambda t: len(t) > 0)) as token from names),
-ns as (select n, (select count(*) from nt) * 1e0 / n as avg_dl from doc_stats),
-ntf as (select id, token, count(*) as tf from nt group by all),
-ndf as (select token, count(*) as df from ntf group by token),
-ndl as (select id, count(*) as dl from nt group by id),
-ent as (select query_id, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) as score
-    from q_terms join ntf using (token) join ndf using (token) join ndl using (id), ns group by all),
-both_ as (select query_id, id, round(sum(score), 6) as score from (select * from lex union all select * from ent) group by all),
+rels as (select c.id, coalesce(string_agg(distinct e.subject || ' ' || relation || ' ' || object, ' '), '') as names
+    from chunks c left join (select id, r.* from chunk_entity join dict_rel r on name = subject or name = object) e on e.id = c.id where deleted_at is null group by c.id),
+{field_sql("e", "names")}, {field_sql("r", "rels")},
+both_ as (select query_id, id, round(sum(score), 6) as score from (select * from lex union all select * from ex union all select query_id, id, score * 0.5e0 from rx) group by all),
 want as (select item_id as query_id, name from bench_words join dict on alias = token where rn = 1)
 select query_id, id, score, rank from (
   select b.*, row_number() over (partition by query_id order by score desc, id) as rank
@@ -137,7 +142,7 @@ def b13(t):
     ent = t.bench_words.where("rn = 1").join(t.dict_alias, F.col("token") == F.col("alias")).select(
         F.col("item_id").alias("query_id"), F.col("name").alias("entity"))
     q = t.queries.join(ent, "query_id")
-    return hybrid.entity_search(q, t.chunks, t.chunk_entity, 10).withColumn("rank", F.col("rank").cast("long"))
+    return hybrid.entity_search(q, t.chunk_entity, 10, t.fielded_index).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("B14_extraction_confidence", "chunks chunk_entity", """

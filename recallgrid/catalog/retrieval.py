@@ -274,12 +274,7 @@ u as (select query_id, id, round(sum(score), 6) as score from (select * from lex
 {top_cte('o', 'u', 10)} select query_id, id, score, rank from o""")
 def i13(t):
     """Content, entity names and relation triples, weights 1, .2 and .2."""
-    base = live(t.chunks)
-    names = t.chunk_entity.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("names"))
-    trip = entities.dictionary_relations(t.chunk_entity, t.dict_relation).groupBy("id").agg(
-        F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", "subject", "relation", "object"))), " ").alias("names"))
-    with_text = lambda df: base.select("id", "stream").join(df, "id", "left").fillna("", ["names"])
-    return long_rank(packs.fielded_search(t.queries, [(base, "content", 1.0), (with_text(names), "names", 0.2), (with_text(trip), "names", 0.2)], 10))
+    return long_rank(packs.fielded_search(t.queries, t.fielded_index, {"content": 1.0, "entities": 0.2, "relations": 0.2}, 10))
 
 
 # ---- 2.J -----------------------------------------------------------------
@@ -293,7 +288,7 @@ def j1(t):
 with f as (select lex.* from lex join chunks c using (id) where coalesce(cast(epoch(cast(event_date as date)) as bigint) + 43200, timestamp) between {B7_RANGE[0]} and {B7_RANGE[1]}),
 {top_cte('o', 'f', 10)} select * from o""")
 def j1d(t):
-    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 10, index=t.index, where=flt.event_noon().between(*B7_RANGE)))
+    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 10, index=t.index, dates=B7_RANGE))
 
 
 @query("J1_agent_search", "lex chunks", f"""
@@ -441,7 +436,7 @@ select query_id, pos, id, tier, confidence, md5(snippet) as snippet_md5, null as
 union all select query_id, 0, null, null, null, null, case when max(case when tier <> 'low' then 1 else 0 end) = 0 then 'all_low_tier' else 'below_threshold' end
   from (select u.query_id, tier from u left join t5 using (query_id)) where query_id not in (select query_id from g) group by query_id""")
 def j8(t):
-    a = packs.ambient(packs.last_user_turns(t.turns), t.chunks, T0)
+    a = packs.ambient(packs.last_user_turns(t.turns), t.chunks, T0, index=t.index)
     return a.select("query_id", F.col("pos").cast("long").alias("pos"), "id", "tier", "confidence", F.md5("snippet").alias("snippet_md5"), "marker")
 
 
@@ -464,7 +459,7 @@ ln as (select *, cast(sum(cost) over (partition by query_id, section order by ra
 
 @query("J9_context_pack", "chunks lex_stream qs", f"with {PACK} select query_id, section, id, rank, spent from ln where spent <= lim")
 def j9(t):
-    lines, _ = packs.context_pack(t.queries, t.chunks, profile_lines(t))
+    lines, _ = packs.context_pack(t.queries, t.chunks, profile_lines(t), index=t.index)
     return lines.select("query_id", "section", "id", F.col("rank").cast("long").alias("rank"), "spent")
 
 
@@ -478,7 +473,7 @@ select query_id, coalesce(profile_tokens, 0) as profile_tokens, coalesce(line_to
   round(greatest(0, least(1, (2 + case when cut is not null then 1 else 0 end) / 3e0 - (coalesce(cast(cut as int), 0) + coalesce(cuts, 0)) * 0.1e0)), 6) as coverage
 from qs left join pc using (stream) left join s using (query_id)""")
 def j9s(t):
-    return packs.context_pack(t.queries, t.chunks, profile_lines(t))[1]
+    return packs.context_pack(t.queries, t.chunks, profile_lines(t), index=t.index)[1]
 
 
 @query("J10_search_effects", "lex_top chunks", f"""

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lexical
+from ..operators import links
 from ..operators.entities import dictionary_relations
+from ..operators.term_index import TermIndex
+from ..plans import hybrid
 from ..session import scratch_path
 from ..sources import bench_history, chunk_store, dictionary, event_log
 from ..sources.views import T0
 from .base import query
+from .oracle_views import TOK
 
 SCAN_COLS = "id, stream, level, timestamp, md5(content) as content_md5"
 
@@ -188,11 +191,56 @@ select token, count(distinct id) as df, count(*) as cf from doc_tokens group by
 def a16(t):
     """The index is written anew; frequencies come from its postings."""
     folder = scratch_path(t.spark, "index")
-    lexical.write_index(chunk_store.live(t.chunks), folder)
-    p = lexical.read_index(t.spark, folder).postings
+    p = TermIndex.create(chunk_store.live(t.chunks), folder).postings
     return p.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+#: The rows of a table after the changes of `changed_index`: some reworded, some gone, some come late.
+CHANGED = """now as (select * replace (case when doc_id % 17 = 0 then content || ' reworded since' else content end as content)
+  from chunks where deleted_at is null and doc_id % 13 <> 0)"""
+
+
+def changed_index(t):
+    """An index that grew by batches: late rows and reworded ones, removals, a removed row that came back, two segments folded."""
+    rows = chunk_store.live(t.chunks)
+    reworded = rows.withColumn("content", F.when(F.col("doc_id") % 17 == 0, F.concat("content", F.lit(" reworded since"))).otherwise(F.col("content")))
+    index = TermIndex.create(rows.where("doc_id % 10 <> 3"), scratch_path(t.spark, "changed-index"))
+    index.apply(reworded.where("doc_id % 10 = 3 or doc_id % 17 = 0"))
+    index.apply(removed=rows.where("doc_id % 13 = 0 or doc_id % 11 = 0"))
+    index.fold(1, 2)
+    index.apply(reworded.where("doc_id % 11 = 0 and doc_id % 13 <> 0"))
+    return index
+
+
+@query("A16_index_after_changes", "chunks", f"""
+with {CHANGED}, w as (select id, unnest({TOK.format('content')}) as token from now)
+select token, count(distinct id) as df, count(*) as cf from w group by token""")
+def a16c(t):
+    """Frequencies of a changed index: `df` from the batches' sums, `cf` from the postings that are left."""
+    index = changed_index(t)
+    cf = index.postings.groupBy("token").agg(F.sum("tf").alias("cf"))
+    return index.term_df.select("token", "df").join(cf, "token", "full_outer")
+
+
+@query("A16_search_after_changes", "chunks q_terms", f"""
+with {CHANGED}, w as (select id, unnest({TOK.format('content')}) as token from now), tf as (select id, token, count(*) as tf from w group by all),
+df as (select token, count(*) as df from tf group by token), dl as (select id, count(*) as dl from w group by id),
+st as (select count(*) as n, (select count(*) from w) * 1e0 / count(*) as avg_dl from now),
+s as (select query_id, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 6) as score
+  from q_terms join tf using (token) join df using (token) join dl using (id), st group by all)
+select query_id, id, score, rank from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) where rank <= 5""")
+def a16s(t):
+    return hybrid.lexical_search(t.queries, t.chunks, 5, index=changed_index(t)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("A16_parity_after_changes", "chunks", f"""
+with {CHANGED}, m as (select id from chunks where deleted_at is null and doc_id % 13 = 0)
+select 0::bigint as orphans, (select count(*) from m) as missing, round(100e0 * (select count(*) from m) / (select count(*) from chunks where deleted_at is null), 6) as drift_pct,
+  (select count(*) from m) = 0 as in_sync, coalesce((select string_agg(id, ',') from now where false), '') as orphan_sample""")
+def a16p(t):
+    return links.parity_report(changed_index(t).docs, chunk_store.live(t.chunks))
+
+
 @query("A17_entity_and_relation_tags", "chunk_entity dict_rel", """
 select 'entity' as kind, id, name as a, entity_type as b, '' as c from chunk_entity
 union all select distinct 'relation', id, subject, relation, object from chunk_entity join dict_rel on name = subject or name = object""")

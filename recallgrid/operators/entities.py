@@ -44,3 +44,11 @@ def dictionary_relations(found: DataFrame, relations: DataFrame, key: str = "id"
     o = names.join(relations, names["name"] == relations["object"])
     cols = [key, "subject", "relation", "object"]
     return s.select(*cols).union(o.select(*cols)).distinct()
+
+
+def with_names(docs: DataFrame, found: DataFrame, relations: DataFrame) -> DataFrame:
+    """`docs` with `entity_names` and `relation_triples`: the different names `found(id, name)` in a row and the triples at them, as text; empty without any."""
+    names = found.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("entity_names"))
+    triple = F.concat_ws(" ", "subject", "relation", "object")
+    triples = dictionary_relations(found, relations).groupBy("id").agg(F.array_join(F.sort_array(F.collect_set(triple)), " ").alias("relation_triples"))
+    return docs.join(names, "id", "left").join(triples, "id", "left").fillna("", ["entity_names", "relation_triples"])

@@ -1,10 +1,8 @@
-"""Term index and BM25 over batches of queries."""
+"""BM25 over text, for batches of queries; `term_index` has the stored index."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tokens
 from ..session import spread
@@ -37,47 +35,6 @@ def postings(docs: DataFrame, text: str = "content", keys: tuple[str, ...] = ("i
     )
 
 
-#: Folders of the stored postings by hash of the token: a search reads those of its words only.
-BUCKETS = 32
-
-
-class Index(NamedTuple):
-    """The stored term index: postings(bucket, token, id, stream, dl, tf), term_df(token, df), totals(n, avg_dl)."""
-
-    postings: DataFrame
-    term_df: DataFrame
-    totals: DataFrame
-
-
-def _bucket(token: str) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
-
-
-def write_index(docs: DataFrame, folder: str, text: str = "content") -> None:
-    """Writes the index of `docs`; this is the only job that reads their text. A common word's bucket is cut into several files."""
-    p = postings(docs, text).withColumn("bucket", _bucket("token")).hint("rebalance", "bucket")
-    p.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    stored = docs.sparkSession.read.parquet(f"{folder}/postings")
-    stored.groupBy("token").agg(F.count("*").alias("df")).write.parquet(f"{folder}/term_df")
-    words = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
-    docs.agg(F.count("*").alias("n")).crossJoin(words).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avg_dl")).write.parquet(f"{folder}/totals")
-
-
-def read_index(spark: SparkSession, folder: str) -> Index:
-    return Index(*(spark.read.parquet(f"{folder}/{name}") for name in Index._fields))
-
-
-def search_index(terms: DataFrame, index: Index, by_stream: bool = False) -> DataFrame:
-    """As `bm25` over the indexed documents, from their stored postings."""
-    n_docs, avg_dl = index.totals.select("n").scalar(), index.totals.select("avg_dl").scalar()
-    weighted = terms.join(index.term_df, "token").withColumn("bucket", _bucket("token")).withColumn(
-        "idf", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg_dl))
-    on = ["bucket", "token", "stream"] if by_stream else ["bucket", "token"]
-    own = index.postings if by_stream else index.postings.drop("stream")
-    return own.join(weighted, on).withColumn("part", part).groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-
-
 def bm25(terms: DataFrame, docs: DataFrame, text: str = "content", by_stream: bool = False,
          stats_docs: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) for every document sharing a word with a query.

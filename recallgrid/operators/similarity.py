@@ -9,15 +9,19 @@ holding a third of all rows spreads over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from ..session import cut_lineage
 
 # Left sides up to this many rows are broadcast (4096 x 1536 doubles = 50 MB).
 MAX_BROADCAST_ROWS = 4096
 BLOCK_ROWS = 2048
+#: Pivots: one for so many right blocks, and how many at most.
+PIVOT_BLOCKS, MAX_PIVOTS = 4, 256
 
 
 def _unit(rows: Sequence) -> tuple[np.ndarray, np.ndarray]:
@@ -141,9 +145,62 @@ def _against_small(head, rf, n, on, loose, min_sim, exclude_self, schema) -> Dat
     return rf.mapInPandas(scan, schema)
 
 
-def _by_blocks(lf, rf, n, on, loose, min_sim, exclude_self, schema, block_rows) -> DataFrame:
-    scope = F.struct(*[F.col(c) for c in on]) if on else F.lit(0)
-    lf, rf = lf.withColumn("scope", F.xxhash64(scope)), rf.withColumn("scope", F.xxhash64(scope))
+def _pivots(rf: DataFrame, most: int) -> np.ndarray:
+    """Up to `most` unit vectors of one length, those of smallest id hash: a bounded sample on the driver."""
+    rows = rf.select("embedding").where("size(embedding) > 0").orderBy(F.xxhash64(rf["right_id"])).limit(most).collect()
+    units, dims = _unit([r[0] for r in rows])
+    own = [u for u, d in zip(units, dims) if d == dims[0] and np.all(np.isfinite(u)) and u @ u > 0.5]
+    return np.vstack(own) if own else np.zeros((0, 1))
+
+
+def _celled(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """`df` with `cell`, the nearest pivot, and `angle` to it. Rows that no angle is defined for have cell -1."""
+
+    @F.pandas_udf("cell int, angle double")
+    def place(vectors: pd.Series) -> pd.DataFrame:
+        units, dims = _unit(vectors.tolist())
+        cell, angle = np.full(len(units), -1, np.int32), np.zeros(len(units))
+        own = np.array([i for i, (u, d) in enumerate(zip(units, dims)) if d == pivots.shape[1] and u @ u > 0.5], dtype=np.int64)
+        if own.size:
+            cos = np.vstack(units[own]) @ pivots.T
+            cell[own] = cos.argmax(axis=1)
+            angle[own] = np.arccos(np.clip(cos.max(axis=1), -1, 1))
+        return pd.DataFrame({"cell": cell, "angle": angle})
+
+    return df.withColumn("at", place("embedding")).select("*", "at.cell", "at.angle").drop("at")
+
+
+def _blocked(df: DataFrame, key: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with `block`, blocks(scope, cell, block, n, low, high)) of a celled table."""
+    sizes = df.groupBy("scope", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cut"))
+    rows = cut_lineage(df.join(sizes, ["scope", "cell"]).withColumn("block", F.pmod(F.xxhash64(key), F.col("cut")).cast("int")).drop("cut"))
+    return rows, rows.groupBy("scope", "cell", "block").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+
+
+def closest_angle(apart: Column, l_low: Column, l_high: Column, r_low: Column, r_high: Column) -> Column:
+    """Least angle between rows at l_low to l_high from one pivot and rows at r_low to r_high from another, `apart` from it."""
+    near, far = F.greatest(F.lit(0.0), apart - l_high, l_low - apart), F.least(F.lit(np.pi), apart + l_high)
+    return F.greatest(F.lit(0.0), near - r_high, r_low - far)
+
+
+def block_pairs(left_blocks: DataFrame, right_blocks: DataFrame, pivots: np.ndarray, min_sim: float | None) -> DataFrame:
+    """(scope, cell, block, r_cell, r_block, kept) of all pairs of blocks of a scope but those that met first.
+
+    `left_blocks` has `reached`, the least n-th cosine of its rows so far, null if some row has fewer.
+    """
+    angles = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    spark = left_blocks.sparkSession
+    apart = spark.createDataFrame([(i, j, float(angles[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "cell int, r_cell int, apart double")
+    right = right_blocks.select("scope", F.col("cell").alias("r_cell"), F.col("block").alias("r_block"), F.col("low").alias("r_low"), F.col("high").alias("r_high"))
+    pairs = left_blocks.join(right, "scope").join(F.broadcast(apart), ["cell", "r_cell"], "left")  # pivots squared: 65,536 rows at most
+    best = F.cos(closest_angle(F.col("apart"), F.col("low"), F.col("high"), F.col("r_low"), F.col("r_high")))
+    # cosines are rounded to six places; without an angle nothing is known
+    enough = F.greatest(F.coalesce("reached", F.lit(-2.0)), F.lit(-2.0 if min_sim is None else min_sim)) - 1e-5
+    met = (F.col("cell") == F.col("r_cell")) & (F.col("r_block") == F.col("first"))
+    return pairs.where(~F.coalesce(met, F.lit(False))).select("scope", "cell", "block", "r_cell", "r_block", F.coalesce(best >= enough, F.lit(True)).alias("kept"))
+
+
+def _every_pair(lf: DataFrame, rf: DataFrame, cell: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType, block_rows: int) -> DataFrame:
     nl = lf.groupBy("scope").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nl"))
     nr = rf.groupBy("scope").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("nr"))
     sizes = nl.join(nr, "scope")
@@ -152,14 +209,41 @@ def _by_blocks(lf, rf, n, on, loose, min_sim, exclude_self, schema, block_rows)
     rb = (rf.join(sizes, "scope").withColumn("rb", F.expr("cast(pmod(xxhash64(right_id), nr) as int)"))
           .withColumn("lb", F.explode(F.expr("sequence(0, nl - 1)"))).drop("nl", "nr"))
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return _pairs()
-        left, right = left.reset_index(drop=True), right.reset_index(drop=True)
-        lv, ld = _unit(left["embedding"].tolist())
-        rv, rd = _unit(right["embedding"].tolist())
-        return _best(left["left_id"].to_numpy(object), right["right_id"].to_numpy(object),
-                     _cosines(lv, ld, rv, rd), _allowed(left, right, on, loose, exclude_self), n, min_sim)
-
     keys = ["scope", "lb", "rb"]
     return lb.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInPandas(cell, schema)
+
+
+def _by_blocks(lf, rf, n, on, loose, min_sim, exclude_self, schema, block_rows) -> DataFrame:
+    scope = F.struct(*[F.col(c) for c in on]) if on else F.lit(0)
+    lf, rf = lf.withColumn("scope", F.xxhash64(scope)), rf.withColumn("scope", F.xxhash64(scope))
+    pivots = _pivots(rf, int(min(MAX_PIVOTS, -(-rf.count() // (PIVOT_BLOCKS * block_rows)))))
+
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return _pairs()
+        a, b = a.reset_index(drop=True), b.reset_index(drop=True)
+        lv, ld = _unit(a["embedding"].tolist())
+        rv, rd = _unit(b["embedding"].tolist())
+        return _best(a["left_id"].to_numpy(object), b["right_id"].to_numpy(object), _cosines(lv, ld, rv, rd), _allowed(a, b, on, loose, exclude_self), n, min_sim)
+
+    if len(pivots) < 2:  # a few blocks: there is nothing to leave out
+        return _every_pair(lf, rf, cell, schema, block_rows)
+    left, l_blocks = _blocked(_celled(lf, pivots), "left_id", block_rows)
+    right, r_blocks = _blocked(_celled(rf, pivots), "right_id", block_rows)
+
+    def met(pairs: DataFrame) -> DataFrame:
+        keys = ["scope", "cell", "block", "r_cell", "r_block"]
+        mine = left.join(pairs, ["scope", "cell", "block"])
+        again = pairs.select(*(F.col(c).alias(c) for c in keys))  # columns of their own: both sides meet
+        theirs = right.withColumnRenamed("cell", "r_cell").withColumnRenamed("block", "r_block").join(again, ["scope", "r_cell", "r_block"])
+        return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(cell, schema)
+
+    # one right block of the same pivot for each left block: as many copies of a row as blocks of a size meet
+    cuts = r_blocks.groupBy("scope", "cell").agg(F.count("*").alias("cut"))
+    l_blocks = l_blocks.join(cuts, ["scope", "cell"], "left").withColumn("first", F.pmod("block", "cut").cast("int")).drop("cut")
+    first = cut_lineage(met(l_blocks.where("first is not null").select("scope", "cell", "block", F.col("cell").alias("r_cell"), F.col("first").alias("r_block"))))
+    kth = first.withColumn("k", F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("sim")))).where(F.col("k") == n).select("left_id", "sim")
+    reached = left.select("scope", "cell", "block", "left_id").join(kth, "left_id", "left").groupBy("scope", "cell", "block").agg(
+        F.when(F.count("sim") == F.count("*"), F.min("sim")).alias("reached"))
+    pairs = block_pairs(l_blocks.join(reached, ["scope", "cell", "block"]), r_blocks, pivots, min_sim)
+    return first.unionByName(met(cut_lineage(pairs.where("kept").drop("kept"))))

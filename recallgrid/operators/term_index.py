@@ -137,7 +137,7 @@ class TermIndex:
         rows = docs.select("id", "stream", at.alias("event_date"), F.explode_outer(texts).alias("f")).select(
             "id", "stream", "event_date", "f.field", F.size("f.toks").alias("dl"), F.explode_outer("f.toks").alias("token"))
         # all words of a row sit in one task, so the map-side combine leaves one row per (row, field, token)
-        counted = rows.groupBy("id", "stream", "event_date", "field", "dl", "token").agg(F.count("token").alias("tf"))
+        counted = cut_lineage(rows.groupBy("id", "stream", "event_date", "field", "dl", "token").agg(F.count("token").alias("tf")))
         self._write_postings(counted.where("token is not null").select("token", "field", _slot(F.col("id")).alias("slot"), "id", "stream", "dl", "tf"), name)
         pair = F.when(F.col("token").isNotNull(), F.struct("field", "token"))
         own = counted.groupBy("id", "stream", "event_date").agg(F.collect_list(pair).alias("words"), F.map_from_entries(

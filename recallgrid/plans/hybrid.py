@@ -8,44 +8,45 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring
 from ..operators import filters, lexical, ranking
+from ..operators.term_index import TermIndex
 from ..operators.similarity import nearest
 from ..sources.chunk_store import live
 
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int, *, by_stream: bool = False,
                    where: Column | None = None, agent: str | None = None,
-                   exclude_agents: Sequence[str] = (), index: lexical.Index | None = None) -> DataFrame:
+                   exclude_agents: Sequence[str] = (), dates: tuple[int, int] | None = None, index: TermIndex | None = None) -> DataFrame:
     """Top `k` by BM25. Filters act before ranking; statistics stay global.
 
-    With `index`, the stored index of the live chunks, no text is read.
+    With `index`, the stored index of the live chunks, no text is read, and
+    `dates`, bounds of the event date, are looked up there.
     """
     base = live(chunks)
     keys = ("query_id", "stream") if by_stream else ("query_id",)
     terms = lexical.query_terms(queries, keys=keys)
     docs = base if where is None else base.where(where)
+    docs = docs if dates is None else docs.where(filters.event_noon().between(*dates))
     docs = filters.by_agent(docs, agent, exclude_agents)
     narrowed = where is not None or agent is not None or bool(exclude_agents)
     if index is not None:
-        hits = lexical.search_index(terms, index, by_stream)
+        if not narrowed and not by_stream and dates is None:
+            return index.top(terms, k)
+        hits = index.search(terms, by_stream)
+        if dates is not None:
+            hits = hits.join(index.docs.where(F.col("event_date").between(*dates)).select("id"), "id", "left_semi")
         if narrowed:
             hits = hits.join(docs.select("id"), "id", "left_semi")
         return ranking.top_n(hits, ["query_id"], [F.desc("score"), F.col("id")], k)
-    hits = lexical.bm25(terms, docs, by_stream=by_stream, stats_docs=base if narrowed else None)
+    hits = lexical.bm25(terms, docs, by_stream=by_stream, stats_docs=base if narrowed or dates is not None else None)
     return ranking.top_n(hits, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def entity_search(queries: DataFrame, chunks: DataFrame, chunk_entity: DataFrame, k: int) -> DataFrame:
-    """Content and entity words, boosts 1 and 1, among rows tagged with the query's entity.
+def entity_search(queries: DataFrame, chunk_entity: DataFrame, k: int, index: TermIndex, relations: float = 0.5) -> DataFrame:
+    """Content, entity and relation words, boosts 1, 1 and `relations`, among rows tagged with the query's entity.
 
-    `queries` carries `entity`, the name to filter by.
+    `queries` carries `entity`, the name to filter by; `index` has the fields.
     """
-    base = live(chunks)
-    terms = lexical.query_terms(queries)
-    names = (chunk_entity.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("names")))
-    tagged = base.select("id", "stream").join(names, "id", "left").withColumn("names", F.coalesce("names", F.lit("")))
-    content = lexical.bm25(terms, base)
-    entity = lexical.bm25(terms, tagged, text="names")
-    both = content.unionByName(entity).groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score"))
+    both = index.search(lexical.query_terms(queries), weights={"content": 1.0, "entities": 1.0, "relations": relations})
     allowed = queries.select("query_id", F.col("entity").alias("name")).join(
         chunk_entity.select("id", "name"), "name").select("query_id", "id").distinct()
     return ranking.top_n(both.join(allowed, ["query_id", "id"], "left_semi"), ["query_id"],
@@ -135,7 +136,7 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
                   subject: str | None = None, min_confidence: float | None = None, agent: str | None = None,
                   exclude_agents: Sequence[str] = (), enumerate_subjects: bool = False, prefix_dedup: bool = True,
                   access_weight: float = 0.0, floor: float = 0.0, most: int | None = None, by_stream: bool = False,
-                  few_queries: bool = True, index: lexical.Index | None = None) -> DataFrame:
+                  few_queries: bool = True, index: TermIndex | None = None) -> DataFrame:
     """Lexical and vector channels, fused, adjusted, filtered and cut to `k`.
 
     Agents, and with `by_stream` each query's own stream, narrow every channel,
@@ -175,7 +176,7 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
     return ranking.top_n(pool.drop("rank"), ["query_id"], [F.desc("score"), F.col("id")], most or k)
 
 
-def lexical_only(queries: DataFrame, chunks: DataFrame, now: int, k: int = 10, index: lexical.Index | None = None) -> DataFrame:
+def lexical_only(queries: DataFrame, chunks: DataFrame, now: int, k: int = 10, index: TermIndex | None = None) -> DataFrame:
     """Fallback without vectors: normalised score times decay, cut to the pool."""
     hits = lexical_search(queries, chunks, 2 * k, index=index).withColumn("lexical", ranking.max_normalised("score"))
     hits = enrich(hits.select("query_id", "id", "lexical"), chunks)
@@ -183,19 +184,21 @@ def lexical_only(queries: DataFrame, chunks: DataFrame, now: int, k: int = 10, i
     return ranking.top_n(hits.withColumn("score", F.round(s, 6)), ["query_id"], [F.desc("score"), F.col("id")], 3 * k)
 
 
-def rare_terms(queries: DataFrame, chunks: DataFrame, floor: int = 3, ratio: float = 0.005, index: lexical.Index | None = None) -> DataFrame:
+def rare_terms(queries: DataFrame, chunks: DataFrame, floor: int = 3, ratio: float = 0.005, index: TermIndex | None = None) -> DataFrame:
     """(query_id, token, df) of the query words few documents hold."""
     base = live(chunks)
     words = lexical.query_terms(queries).select("query_id", "token")
-    n = base.agg(F.count("*").alias("n")).scalar() if index is None else index.totals.select("n").scalar()
-    df = index.term_df if index is not None else (lexical.postings(base).join(words.select("token").distinct(), "token", "left_semi")
+    n = base.agg(F.count("*").alias("n")).scalar() if index is None else index.totals.where("field = 'content'").select("n").scalar()
+    df = index.term_df.where("field = 'content'") if index is not None else (lexical.postings(base).join(words.select("token").distinct(), "token", "left_semi")
           .groupBy("token").agg(F.count("*").alias("df")))
     cut = F.greatest(F.lit(floor).cast("long"), F.ceil(n * ratio))
     return words.join(df, "token").where(F.col("df") <= cut).select("query_id", "token", "df")
 
 
-def rare_term_lane(queries: DataFrame, chunks: DataFrame, cap: int = 10, index: lexical.Index | None = None) -> DataFrame:
+def rare_term_lane(queries: DataFrame, chunks: DataFrame, cap: int = 10, index: TermIndex | None = None) -> DataFrame:
     """Best `cap` rows per query by its rare words alone."""
     rare = rare_terms(queries, chunks, index=index).select("query_id", "token").withColumn("qtf", F.lit(1))
-    hits = lexical.bm25(rare, live(chunks)) if index is None else lexical.search_index(rare, index)
+    if index is not None:
+        return index.top(rare, cap)
+    hits = lexical.bm25(rare, live(chunks))
     return ranking.top_n(hits, ["query_id"], [F.desc("score"), F.col("id")], cap)

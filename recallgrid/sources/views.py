@@ -11,8 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
-from ..operators import lexical
-from ..operators.entities import extract_entities
+from ..operators.entities import extract_entities, with_names
+from ..operators.filters import event_noon
+from ..operators.term_index import TermIndex
 from ..session import scratch_path, spread
 from .chunk_store import live
 from .dictionary import first_alias_wins
@@ -21,6 +22,8 @@ T0 = 1706659200
 DAY = 86400
 
 
+#: Text column of each field of the fielded index.
+FIELDS = {"content": "content", "entities": "entity_names", "relations": "relation_triples"}
 #: Folders of the stored indexes, by application and data directory: an index is written once and searched by every query.
 _INDEXES: dict[tuple[str, str], str] = {}
 
@@ -37,14 +40,24 @@ class Tables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     @cached_property
-    def index(self) -> lexical.Index:
+    def index(self) -> TermIndex:
         """The stored term index of the live chunks; the first use of a data directory writes it."""
         key = (self.spark.sparkContext.applicationId, self.path)
         if key not in _INDEXES:
             folder = scratch_path(self.spark, "index")
-            lexical.write_index(live(self.chunks), folder)
+            TermIndex.create(live(self.chunks).withColumn("event_date", event_noon()), folder)
             _INDEXES[key] = folder
-        return lexical.read_index(self.spark, _INDEXES[key])
+        return TermIndex(self.spark, _INDEXES[key])
+
+    @cached_property
+    def fielded_index(self) -> TermIndex:
+        """As `index`, with the names and the triples of the dictionary found in a row as fields beside its content."""
+        key = (self.spark.sparkContext.applicationId, f"{self.path}#fields")
+        if key not in _INDEXES:
+            folder = scratch_path(self.spark, "fielded-index")
+            TermIndex.create(with_names(live(self.chunks), self.chunk_entity, self.dict_relation).withColumn("event_date", event_noon()), folder, FIELDS)
+            _INDEXES[key] = folder
+        return TermIndex(self.spark, _INDEXES[key])
 
     @cached_property
     def documents(self) -> DataFrame:

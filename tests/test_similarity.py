@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from recallgrid.operators import association, clustering
+from recallgrid.operators import association, clustering, similarity
 from recallgrid.operators.similarity import nearest
 from recallgrid.plans import lifecycle as lc
 
@@ -50,6 +50,35 @@ def test_both_paths_equal_brute_force(spark):
             assert as_dict(got) == want
 
 
+def test_blocks_left_out_hold_no_neighbour(spark, monkeypatch):
+    """Clustered vectors: most pairs of blocks are never sent, and the result is that of all pairs."""
+    monkeypatch.setattr(similarity, "PIVOT_BLOCKS", 1)
+    g = np.random.default_rng(5)
+    centres = g.normal(size=(12, 8)) * 4
+    rows = [(f"v{i}", f"s{i % 2 if i % 3 else 0}", f"x{i % 2}", (centres[i % 12] + g.normal(size=8) * 0.2).tolist()) for i in range(300)]
+    rows += [("zero", "s0", "x0", [0.0] * 8), ("short", "s0", "x1", [1.0, 2.0])]
+    asked = [r for r in rows if r[0] in ("zero", "short") or int(r[0][1:]) % 4 == 0]
+    seen = []
+    real = similarity.block_pairs
+    monkeypatch.setattr(similarity, "block_pairs", lambda *a: seen.append(real(*a)) or seen[-1])
+    df, few = spark.createDataFrame(rows, DDL), spark.createDataFrame(asked, DDL)
+    for floor in (None, 0.1):
+        got = nearest(few, df, 3, left_key="id", on=["stream"], min_sim=floor, exclude_self=True, block_rows=10)
+        assert as_dict(got) == {k: v for k, v in brute(asked, rows, 3, -2 if floor is None else floor, False).items() if v}
+    kept, total = seen[0].where("kept").count(), seen[0].count()
+    assert 0 < kept < 0.5 * total
+
+
+def test_closest_angle(spark):
+    g = np.random.default_rng(6)
+    p, q, x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in g.normal(size=(4, 400, 3)))
+    far = lambda a, b: np.arccos(np.clip((a * b).sum(axis=1), -1, 1))
+    rows = [tuple(map(float, r)) for r in zip(far(p, q), far(x, p), far(y, q), far(x, y))]
+    df = spark.createDataFrame(rows, "apart double, l double, r double, real double")
+    got = df.select("real", similarity.closest_angle(F.col("apart"), F.col("l"), F.col("l"), F.col("r"), F.col("r")).alias("least")).collect()
+    assert all(r.least <= r.real + 1e-9 for r in got) and any(r.least > 0.9 * r.real for r in got)
+
+
 def test_zero_and_mismatched_vectors_score_zero(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     v = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 0.0, 0.0]), ("c", [2.0, 0.0])], "id string, embedding array<double>")
