@@ -23,7 +23,7 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         step = cur.join(seen, F.col("node") == F.col("a"), "left").select("node", F.col("root").alias("was"), F.least("root", F.coalesce("r", "root")).alias("root"))
         # only roots that have another root themselves are looked up, so a root of many nodes, done, is not a key of this join
         jump = step.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("rr"))
-        cur = rounds.keep(step.join(jump, "root", "left").select("node", "was", F.coalesce("rr", "root").alias("root")))
-        if cur.where("was <> root").isEmpty():
+        cur, moved = rounds.keep_counting(step.join(jump, "root", "left").select("node", "was", F.coalesce("rr", "root").alias("root")), F.col("was") != F.col("root"))
+        if not moved:
             drop_folder(spark, links.folder)
             return cur.select("node", "root")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app: str = "recallgrid", master: str | None = None, shuffle_partitions: int | None = None,
@@ -85,12 +85,16 @@ class Rounds:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Writes `df`, which may read the last table, and reads it again; the one before the last goes."""
-        path = f"{self.folder}/{self.n}"
-        df.write.parquet(path)
+        return self.keep_counting(df, F.lit(False))[0]
+
+    def keep_counting(self, df: DataFrame, still: Column) -> tuple[DataFrame, int]:
+        """As `keep`; also how many rows `still` holds for, counted as they are written."""
+        path, seen = f"{self.folder}/{self.n}", Observation()
+        df.observe(seen, F.count_if(still).alias("n")).write.parquet(path)
         if self.n > 1:
             drop_folder(self.spark, f"{self.folder}/{self.n - 2}")
         self.n += 1
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def spread(df: DataFrame) -> DataFrame:
