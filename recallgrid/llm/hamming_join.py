@@ -10,10 +10,11 @@ similarity of 0.8 a pair misses every bucket with probability 3e-6.
 The buckets' stars join texts to families: all that a chain of buckets connects.
 Equal sets are one member. A family is cut into blocks of about DOCS members
 (long sets count as several); a task holds the full sets of one block, counts
-all its intersections by matrix products, and gives out the links of a spanning
-forest only. Most families are one block and done. In larger ones the blocks
-are dealt anew while that halves the number of components; then blocks, ordered
-by component, meet pairwise, but for blocks of one and the same component. So
+all its intersections by matrix products, and gives out a link from each member
+to the smallest that the block connects it to. Most families are one block and
+done. Those of more than FEW are dealt anew while that halves the number of
+components; then blocks, by component, meet pairwise, but for blocks of one and
+the same component. So
 every two members of a family that are not connected otherwise are compared on
 their full sets, no pair is emitted but for links, and no task holds more than
 two blocks. The work of the last step grows with the square of what stays
@@ -45,6 +46,8 @@ CHUNKS, SYMBOLS, ERRORS = 12, 6, 1
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
 #: Members of a block; a member counts once more for every ITEMS shingles it has.
 DOCS, ITEMS = 512, 2048
+#: Blocks of a family up to which they meet pairwise at once.
+FEW = 16
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 8192
 #: Words whose hashes a worker keeps, some 200 bytes each.
@@ -169,31 +172,34 @@ def similar_pairs(sets: list[np.ndarray], share: tuple[int, int], first: int | N
     return found + [0, first or 0]
 
 
-def _forest(digests: list[bytes], roots: list[bytes], sides: list[int], sets: list[np.ndarray], share: tuple[int, int]) -> Iterator[tuple[bytes, bytes]]:
-    """Links that join different roots, none that closes a circle."""
+def _joined(roots: list[bytes], sides: list[int], sets: list[np.ndarray], share: tuple[int, int]) -> list[tuple[bytes, bytes]]:
+    """A link from each of `roots` that similar sets connect to a smaller one here, to the smallest of them."""
     first = sides.index(1) if 1 in sides else None
     if len(sets) < 2 or first == 0 or len(set(roots)) < 2:
-        return
+        return []
     over: dict[bytes, bytes] = {}
-    for i, j in similar_pairs(sets, share, first).tolist():
-        a, b = roots[i], roots[j]
+
+    def top(a: bytes) -> bytes:
         while a in over:
             a = over[a]
-        while b in over:
-            b = over[b]
-        if a != b:
-            over[max(a, b)] = min(a, b)
-            yield digests[i], digests[j]
+        return a
+
+    for i, j in similar_pairs(sets, share, first).tolist():
+        if roots[i] != roots[j]:
+            a, b = top(roots[i]), top(roots[j])
+            if a != b:
+                over[max(a, b)] = min(a, b)
+    return [(a, top(a)) for a in over]
 
 
 def _linked(rows: DataFrame, by: list[str], share: tuple[int, int]) -> DataFrame:
-    """(a, b): links within each block of `rows(digest, root, side, items)` dealt by `by`; only between the two sides where there are two."""
+    """(a, b): links between roots within each block of `rows(root, side, items)` dealt by `by`; only between the two sides where there are two."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
         def links() -> list[tuple[bytes, bytes]]:
-            return list(_forest(*map(list, zip(*held)), share)) if held else []
+            return _joined(*map(list, zip(*held)), share) if held else []
 
         def table(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*pairs) if pairs else ((), ()))], ["a", "b"])
@@ -202,7 +208,7 @@ def _linked(rows: DataFrame, by: list[str], share: tuple[int, int]) -> DataFrame
             out: list[tuple[bytes, bytes]] = []
             ends, values = batch.column("items").offsets.to_numpy(), batch.column("items").values.to_numpy()
             block = zip(*(batch.column(c).to_pylist() for c in by))
-            rest = zip(*(batch.column(c).to_pylist() for c in ("digest", "root", "side")))
+            rest = zip(*(batch.column(c).to_pylist() for c in ("root", "side")))
             for i, (name, member) in enumerate(zip(block, rest)):
                 if name != at:
                     out += links()
@@ -212,7 +218,7 @@ def _linked(rows: DataFrame, by: list[str], share: tuple[int, int]) -> DataFrame
             held = [(*m, s.copy()) for *m, s in held]  # lets the batch go
         yield table(links())
 
-    dealt = rows.select(*by, "digest", "root", "side", "items").repartition(*by).sortWithinPartitions(*by, "side")
+    dealt = rows.select(*by, "root", "side", "items").repartition(*by).sortWithinPartitions(*by, "side")
     return cut_lineage(dealt.mapInArrow(run, "a binary, b binary"))
 
 
@@ -227,9 +233,8 @@ def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(root, members["digest"] == root["node"], "left").select(*(members[c] for c in members.columns), F.coalesce("root", "digest").alias("root"))
 
 
-def _unsettled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-    """Members of families that `links` leave in several components, and how many components these are."""
-    placed = _rooted(members, links)
+def _unsettled(placed: DataFrame) -> tuple[DataFrame, int]:
+    """Members `placed(family, root, ...)` of families with several roots, and how many roots these are."""
     open_ = placed.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("family")
     left = cut_lineage(placed.join(open_, "family", "left_semi"))
     return left, left.select("root").distinct().count()
@@ -270,16 +275,20 @@ def members_of(docs: DataFrame, key: str, text: str, k: int, share: tuple[int, i
     alone = F.col("digest").alias("root")
     by_hash = lambda n: F.pmod(F.xxhash64("digest", F.lit(n)), F.col("blocks")).alias("block")
     links = _linked(full.select("*", alone, F.lit(0).alias("side"), by_hash(0)), ["family", "block"], share)
-    large = full.where("blocks > 1")
-    if not large.isEmpty():
-        left, n = _unsettled(large, links)
-        step, before = 0, 2 * n
+    # what a block connected has one root there: links lead to it
+    local = links.withColumnRenamed("a", "digest").withColumnRenamed("b", "root")
+    large = full.where("blocks > 1").join(local, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    left, n = _unsettled(large)
+    if n:
+        # many blocks are dealt anew first, so that fewer roots meet in the end
+        many, step, before = left.where(F.col("blocks") > FEW), 0, 2 * n
+        few = left.where(F.col("blocks") <= FEW)
+        n = 0 if many.isEmpty() else n
         while n and 2 * n <= before:
             step, before = step + 1, n
-            links = links.union(_linked(left.select("*", F.lit(0).alias("side"), by_hash(step)), ["family", "block"], share))
-            left, n = _unsettled(large, links)
-        if n:
-            links = links.union(_across(left, share))
+            links = links.union(_linked(many.select("*", F.lit(0).alias("side"), by_hash(step)), ["family", "block"], share))
+            many, n = _unsettled(_rooted(many.drop("root"), links))
+        links = links.union(_across(few.unionByName(many), share))
     return rows, cut_lineage(_rooted(sets.select("digest", "least"), links))
 
 

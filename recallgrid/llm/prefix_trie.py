@@ -179,11 +179,12 @@ def ranked_runs(laid: DataFrame, following: dict[int, int]) -> DataFrame:
             yield arcs.runs().assign(range=number)[["range", "at", "next", "arcs", "leaves", "saved"]]
 
     rounds = Rounds(laid.sparkSession, "runs")
-    cur = rounds.keep(laid.mapInPandas(run, f"range int, at {_ARC}, next {_ARC}, arcs long, leaves long, saved long"))
-    while not cur.where("next is not null").isEmpty():
+    unfinished = F.col("next").isNotNull()
+    cur, n = rounds.keep_counting(laid.mapInPandas(run, f"range int, at {_ARC}, next {_ARC}, arcs long, leaves long, saved long"), unfinished)
+    while n:
         ahead = cur.select(F.col("at").alias("next"), F.col("next").alias("over"), *(F.col(c).alias(f"{c}_on") for c in ("arcs", "leaves", "saved")))
-        cur = rounds.keep(cur.join(ahead, "next", "left").select(
-            "range", "at", F.col("over").alias("next"), *((F.col(c) + F.coalesce(f"{c}_on", F.lit(0))).alias(c) for c in ("arcs", "leaves", "saved"))))
+        cur, n = rounds.keep_counting(cur.join(ahead, "next", "left").select(
+            "range", "at", F.col("over").alias("next"), *((F.col(c) + F.coalesce(f"{c}_on", F.lit(0))).alias(c) for c in ("arcs", "leaves", "saved"))), unfinished)
     return cur.drop("next")
 
 
