@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx, scoring
 from ..functions.vectors import cosine, mean_vector_parts
-from ..operators import advisories as adv, entities, filters as flt, graph, lexical, links, listings, merging, ranking, stats
+from ..operators import advisories as adv, annotate, entities, filters as flt, graph, lexical, links, listings, merging, ranking, stats
 from ..operators.similarity import nearest
 from ..plans import hybrid, packs
 from ..sources.chunk_store import live
@@ -15,7 +15,7 @@ from .base import query
 from .filters import B7_RANGE
 from .joins import RELATED, RELATED1, anchors, fused, incoming, starts
 from .oracle_views import TOK, VIEWS
-from .texts import H1_CTE, FIRST_SQL, THIRD_SQL, TRIM, WORDS, lit, tx
+from .texts import COMPLEXITY_SQL, COUNTING_SQL, H1_CTE, FIRST_SQL, THIRD_SQL, TRIM, WORDS, asked, lit, tx
 from .windows import LATENTS, OSC, SUMMARY, adjustments, fused_ranked, latents, rrf_pool, signal_pool, summary
 
 
@@ -379,6 +379,40 @@ def j3g(t):
     return h.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+VIEWS["lex_top_merged"] = (LEXBASE + " lex_top bench_words qs", f"""with {EXP_TERMS}, {bm25_cte('ex', 'et')}, {top_cte('e', 'ex', 20)}
+select query_id, id, max(score) as score, 1 as rank from (select query_id, id, score from lex_top union all select query_id, id, round(score * 0.5, 6) from e
+  union all select l.query_id - 1, id, score from lex_top l where l.query_id > 0) group by all""")
+VIEWS["vec_top_merged"] = ("vec_top", """select query_id, id, round(sum(score), 6) as sim, 1 as rank from (select query_id, id, sim as score from vec_top
+  union all select query_id - 1, id, sim * 0.5e0 from vec_top where query_id > 0 and rank <= 10 and sim >= 0.3) group by all""")
+for _view, _body in (("channels", VIEWS["channels"][1]), ("pool", VIEWS["pool"][1]), ("fused", VIEWS["fused"][1])):
+    for _name in ("lex_top", "vec_top", "channels", "pool"):
+        _body = _body.replace(f"from {_name}", f"from {_name}_merged").replace(f"join {_name}", f"join {_name}_merged")
+    VIEWS[f"{_view}_merged"] = ({"channels": "lex_top_merged vec_top_merged", "pool": "channels_merged chunks", "fused": "pool_merged"}[_view], _body)
+
+
+@query("J3_hybrid_by_class", "fused_merged chunks asked", f"""
+with recursive {H1_CTE}, ru as (select query_id, {COMPLEXITY_SQL} as complexity, {COUNTING_SQL} as counting from k),
+pl as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rk from fused_merged) where rk <= 30),
+aj as (select pl.* exclude (score), complexity, {adjust_sql(access=0.0).replace("case when level = 1 then 1.5e0 else 1e0 end", "case when counting then case when level = 1 then 0.7e0 else 1.5e0 end when level = 1 then 1.5e0 else 1e0 end")} as score from pl join ru using (query_id)),
+fl as (select * from aj where is_latest and (complexity <> 'temporal' or coalesce(cast(epoch(cast(event_date as date)) as bigint) + 43200, timestamp) between {B7_RANGE[0]} and {B7_RANGE[1]})),
+rk as (select f.query_id, f.id, f.score, f.complexity, f.subject, f.timestamp, lower(left(c.content, 150)) as pr,
+  row_number() over (partition by f.query_id order by case when complexity = 'temporal' then f.timestamp end, f.score desc, f.id) as rank from fl f join chunks c on c.id = f.id),
+{twins_sql('rk')},
+kp as (select rk.* from rk join w on w.query_id = rk.query_id and w.id = rk.id and w.ok),
+su as (select *, row_number() over (partition by query_id, case when complexity = 'aggregation' then lower(subject) end order by rank) as sn from kp),
+o as (select query_id, id, score, complexity, row_number() over (partition by query_id order by case when complexity = 'temporal' then timestamp end, score desc, id) as rank
+  from su where sn = 1 or complexity <> 'aggregation' or subject is null)
+select query_id, id, score, rank, complexity from o where rank <= case when complexity = 'aggregation' then 30 else 10 end""")
+def j3c(t):
+    """Every question by the rules of its class, in one plan; expanded and cut-up questions merged into the channels."""
+    notes = annotate.annotate_queries(asked(t)).select("query_id", "complexity", "counting")
+    dates = notes.where("complexity = 'temporal'").select("query_id", F.lit(B7_RANGE[0]).cast("long").alias("date_from"), F.lit(B7_RANGE[1]).cast("long").alias("date_to"))
+    sub_vec = t.query_vectors.where("query_id > 0").withColumn("query_id", F.col("query_id") - 1)
+    h = hybrid.hybrid_search(t.queries, t.query_vectors, t.chunks, t.vectors, T0, 10, index=t.index, rules=hybrid.class_rules(notes, 10, dates=dates),
+                             expanded=expanded(t), parts=sub_queries(t), part_vectors=sub_vec)
+    return h.join(notes.select("query_id", "complexity"), "query_id").select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "complexity")
+
+
 @query("J4_lexical_fallback", "lex_top chunks", f"""
 with n as (select l.query_id, l.id, round(l.score / max(l.score) over (partition by l.query_id) * exp(-(case when level = 0 then 0.05e0 else 0.03e0 end) * ({T0} - timestamp) / 86400e0), 6) as score
   from lex_top l join chunks c using (id)), {top_cte('o', 'n', 30)} select * from o""")

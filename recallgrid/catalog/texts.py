@@ -284,11 +284,14 @@ def weight_sql(i):
     return "case query_type " + " ".join(f"when '{k}' then {round(v[i] / sum(v), 6)}e0" for k, v in lx.CHANNEL_WEIGHTS.items()) + " end"
 
 
+COMPLEXITY_SQL = f"""case when {any_sql('low', lx.PROFILE_PHRASES)} then 'profile' when {any_sql('low', lx.AGGREGATION_PHRASES)} then 'aggregation'
+    when {any_sql('low', lx.COMPLEX_PHRASES)} or nw > 15 then 'complex' when {any_sql('low', lx.TEMPORAL_PHRASES)} then 'temporal' when nw between 5 and 15 then 'medium' else 'simple' end"""
+COUNTING_SQL = f"not {any_sql('low', lx.PREFERENCE_PHRASES)} and {any_sql('low', lx.COUNTING_PHRASES)}"
+
+
 @query("H1_query_annotation", "asked", f"""
 with {H1_CTE} select query_id, query_type, len(ents) as n_entities, case when regexp_matches(text, '[{lx.POLISH_LETTERS}]') or pl > en then 'pl' when en > pl then 'en' end as language,
-  case when {any_sql('low', lx.PROFILE_PHRASES)} then 'profile' when {any_sql('low', lx.AGGREGATION_PHRASES)} then 'aggregation'
-    when {any_sql('low', lx.COMPLEX_PHRASES)} or nw > 15 then 'complex' when {any_sql('low', lx.TEMPORAL_PHRASES)} then 'temporal' when nw between 5 and 15 then 'medium' else 'simple' end as complexity,
-  not {any_sql('low', lx.PREFERENCE_PHRASES)} and {any_sql('low', lx.COUNTING_PHRASES)} as counting, {weight_sql(0)} as w_dense, {weight_sql(4)} as w_recency from k""")
+  {COMPLEXITY_SQL} as complexity, {COUNTING_SQL} as counting, {weight_sql(0)} as w_dense, {weight_sql(4)} as w_recency from k""")
 def h1(t):
     return an.annotate_queries(asked(t)).select("query_id", "query_type", F.size("entities").cast("long").alias("n_entities"), "language", "complexity",
                                                 "counting", "w_dense", "w_recency")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import cosine, mean_vector_parts
 from ..session import cut_lineage
 from .filters import associable
 from .graph import symmetric
-from .ranking import top_n
+from .ranking import spread_sums, top_n
 from .similarity import nearest
 
 
@@ -72,32 +74,57 @@ def adjacent_possible(query_vectors: DataFrame, context: DataFrame, chunks: Data
     return top_n(c.select("query_id", "id", "cluster", "relevance", "obviousness", "score"), ["query_id"], [F.desc("score"), F.col("id")], n)
 
 
+#: Neighbours of a node in one block: what a draw reads of a hub.
+DRAW_BLOCK = 1024
+
+
 def weak_tie_walks(seeds: DataFrame, edges: DataFrame, hops: int = 3, walks: int = 2, most_hops: int = 20) -> DataFrame:
     """(query_id, seed, walk, terminal, hops): all walks of all seeds, one round per hop.
 
     A step goes to an unvisited neighbour with chance inverse to the edge's
     evidence; a fixed hash of the step number draws, over neighbours in id order.
     `seeds(query_id, entity_id)`, `edges` with `evidence`.
+
+    A hop sums the weights of the neighbours of the nodes that walks stand on,
+    hubs in ranges, in id order. A draw then finds its block by the sums at the
+    blocks' ends, and its neighbour in that block only; neighbours visited before
+    are taken off both. So a walk reads one block of a hub, not its edges.
     """
-    sym = symmetric(edges).groupBy("node", "other").agg(F.min("evidence").alias("evidence")).withColumn(
-        "weight", F.lit(1.0) / F.greatest(F.lit(1), F.col("evidence")))
+    sym = symmetric(edges).groupBy("node", "other").agg(F.min("evidence").alias("evidence")).select(
+        "node", "other", (F.lit(1.0) / F.greatest(F.lit(1), F.col("evidence"))).alias("weight"))
     sym = cut_lineage(sym)  # read once per hop
+    walk = ["query_id", "seed", "walk"]
     cur = seeds.select("query_id", F.col("entity_id").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
-    cur = cur.withColumn("at", F.col("seed")).withColumn("path", F.array("seed")).withColumn("done", F.lit(0))
+    cur = cut_lineage(cur.withColumn("at", F.col("seed")).withColumn("path", F.array("seed")).withColumn("done", F.lit(0)))
     for hop in range(1, hops + 1):
         step = F.col("walk") * hops + hop
-        allowed = step <= most_hops
         draw = F.pmod((F.col("walk") + step).cast("long") * 2654435761, F.lit(1000)) / 1000.0
-        w = Window.partitionBy("query_id", "seed", "walk")
-        nxt = cur.where(allowed & (F.col("done") == hop - 1)).join(sym, F.col("at") == F.col("node")).where(~F.array_contains("path", F.col("other")))
-        nxt = nxt.withColumn("total", F.sum("weight").over(w)).withColumn("cum", F.sum("weight").over(w.orderBy("other").rowsBetween(Window.unboundedPreceding, 0)))
-        nxt = nxt.where(F.round("cum", 9) >= F.round(draw * F.col("total"), 9))
-        chosen = nxt.groupBy("query_id", "seed", "walk").agg(F.min("other").alias("to"))
-        cur = cut_lineage(cur.join(chosen, ["query_id", "seed", "walk"], "left").select(
-            "query_id", "seed", "walk", F.coalesce("to", "at").alias("at"),
+        live = cur.where((step <= most_hops) & (F.col("done") == hop - 1))
+        near = sym.join(live.select(F.col("at").alias("node")).distinct(), "node", "left_semi")
+        near = spread_sums(near, "node", [F.col("other")], {"cum": F.col("weight")})
+        near = cut_lineage(near.withColumn("block", F.floor((F.col("pos") - 1) / DRAW_BLOCK)).drop("pos"))
+        blocks = near.groupBy("node", "block").agg(F.max("cum").alias("upto"), F.max("other").alias("last"), F.count("*").alias("n"))
+        total = blocks.groupBy("node").agg(F.max("upto").alias("total"))
+        seen = live.select(*walk, F.col("at").alias("node"), F.explode("path").alias("other")).join(near, ["node", "other"]).groupBy(*walk).agg(
+            F.collect_list(F.struct("other", "weight", "block")).alias("seen"))  # as long as a path at most
+        none = F.array().cast("array<struct<other:string,weight:double,block:bigint>>")
+        asked = live.join(seen, walk, "left").withColumn("seen", F.coalesce("seen", none)).join(total, F.col("at") == F.col("node")).drop("node")
+
+        def off(keep: Callable[[Column], Column]) -> Column:
+            """Weight of the visited neighbours for which `keep` holds."""
+            return F.aggregate(F.filter("seen", keep), F.lit(0.0), lambda s, v: s + v["weight"])
+
+        asked = cut_lineage(asked.withColumn("goal", F.round(draw * (F.col("total") - off(lambda v: F.lit(True))), 9)))
+        left = F.col("n") - F.size(F.filter("seen", lambda v: v["block"] == F.col("block")))
+        reach = F.round(F.col("upto") - off(lambda v: v["other"] <= F.col("last")), 9) >= F.col("goal")
+        block = asked.join(blocks, F.col("at") == F.col("node")).where((left > 0) & reach).groupBy(*walk).agg(F.min("block").alias("block"))
+        there = asked.join(block, walk).join(near.withColumnRenamed("node", "at"), ["at", "block"]).where(~F.array_contains("path", F.col("other")))
+        chosen = there.where(F.round(F.col("cum") - off(lambda v: v["other"] <= F.col("other")), 9) >= F.col("goal")).groupBy(*walk).agg(F.min("other").alias("to"))
+        cur = cut_lineage(cur.join(chosen, walk, "left").select(
+            *walk, F.coalesce("to", "at").alias("at"),
             F.when(F.col("to").isNotNull(), F.concat("path", F.array("to"))).otherwise(F.col("path")).alias("path"),
             F.when(F.col("to").isNotNull(), hop).otherwise(F.col("done")).alias("done")))
-    return cur.select("query_id", "seed", "walk", F.col("at").alias("terminal"), F.col("done").alias("hops"))
+    return cur.select(*walk, F.col("at").alias("terminal"), F.col("done").alias("hops"))
 
 
 def discover_latents(chunks: DataFrame, vectors: DataFrame, clusters: DataFrame, centroids: DataFrame, edges: DataFrame,
@@ -117,7 +144,9 @@ def discover_latents(chunks: DataFrame, vectors: DataFrame, clusters: DataFrame,
     walks = weak_tie_walks(starts.select(F.col("id").alias("query_id"), "entity_id"), edges)
     hit = walks.join(entity_chunk, F.col("terminal") == F.col("entity_id")).select(F.col("query_id").alias("source"), F.col("chunk_id").alias("target")).distinct()
     src = seeds.select(F.col("id").alias("source"), "stream", F.col("cluster").alias("qcluster"))
-    tgt = chunks.where(associable()).select(F.col("id").alias("target"), "stream").join(clusters.select(F.col("id").alias("target"), "cluster"), "target")
+    # a row of no cluster counts as one of cluster 0
+    tgt = chunks.where(associable()).select(F.col("id").alias("target"), "stream").join(
+        clusters.select(F.col("id").alias("target"), "cluster"), "target", "left").fillna(0, ["cluster"])
     c = hit.join(src, "source").join(tgt, ["target", "stream"]).where("source <> target and cluster <> qcluster")
     c = c.join(vectors.select(F.col("id").alias("source"), F.col("embedding").alias("sv")), "source").join(
         vectors.select(F.col("id").alias("target"), F.col("embedding").alias("tv")), "target")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,21 +18,27 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
 
 
-def spread_rank(df: DataFrame, key: str, order: Sequence[Column], rank: str = "pos") -> DataFrame:
-    """Exact 1-based rank within `key` for groups too large for one task.
+def spread_sums(df: DataFrame, key: str, order: Sequence[Column], sums: Mapping[str, Column], rank: str = "pos") -> DataFrame:
+    """Exact 1-based rank and running sums within `key`, for groups too large for one task.
 
-    Rows are cut into ranges of (key, order); a row's rank is its place in its
-    range plus the rows of the key in the ranges before. The cut is checkpointed,
-    so both uses see the same ranges.
+    Rows are cut into ranges of (key, order); what a row has is its place and
+    its sums in its range plus those of the key in the ranges before. The cut is
+    checkpointed, so both uses see the same ranges.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    cut = cut_lineage(df.repartitionByRange(n, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
-    sizes = cut.groupBy(key, "_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    w = Window.partitionBy(key, "_part").orderBy(*order)
-    return cut.withColumn("_at", F.row_number().over(w)).join(before, [key, "_part"]).withColumn(
-        rank, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    cut = cut_lineage(df.select("*", *(v.alias(f"_own_{c}") for c, v in sums.items())).repartitionByRange(n, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    all_ = {rank: F.lit(1).cast("long"), **{c: F.col(f"_own_{c}") for c in sums}}
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(key, "_part").agg(*(F.sum(v).alias(f"_all_{c}") for c, v in all_.items()))
+    before = parts.select(key, "_part", *(F.coalesce(F.sum(f"_all_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in all_))
+    inside = Window.partitionBy(key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = cut.select("*", *(F.sum(v).over(inside).alias(f"_at_{c}") for c, v in all_.items())).join(before, [key, "_part"])
+    return placed.select(*(F.col(c) for c in df.columns), *((F.col(f"_at_{c}") + F.col(f"_before_{c}")).alias(c) for c in all_))
+
+
+def spread_rank(df: DataFrame, key: str, order: Sequence[Column], rank: str = "pos") -> DataFrame:
+    """Exact 1-based rank within `key` for groups too large for one task."""
+    return spread_sums(df, key, order, {}, rank)
 
 
 def channel_rank(score: str, key: str = "query_id", id_col: str = "id") -> Column:

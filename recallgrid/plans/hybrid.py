@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring
-from ..operators import filters, lexical, ranking
+from ..operators import filters, lexical, merging, ranking
 from ..operators.term_index import TermIndex
 from ..operators.similarity import nearest
 from ..sources.chunk_store import live
@@ -136,7 +136,8 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
                   subject: str | None = None, min_confidence: float | None = None, agent: str | None = None,
                   exclude_agents: Sequence[str] = (), enumerate_subjects: bool = False, prefix_dedup: bool = True,
                   access_weight: float = 0.0, floor: float = 0.0, most: int | None = None, by_stream: bool = False,
-                  few_queries: bool = True, index: TermIndex | None = None) -> DataFrame:
+                  few_queries: bool = True, index: TermIndex | None = None, rules: DataFrame | None = None,
+                  expanded: DataFrame | None = None, parts: DataFrame | None = None, part_vectors: DataFrame | None = None) -> DataFrame:
     """Lexical and vector channels, fused, adjusted, filtered and cut to `k`.
 
     Agents, and with `by_stream` each query's own stream, narrow every channel,
@@ -144,6 +145,12 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
     others never take a place. After the pool: validity, head of chain, facts,
     prefix twins, subjects. `lane(query_id, id)` marks rows kept beyond the
     pool. `most` is the result length where it is not `k`.
+
+    `rules` (see `class_rules`) has a row for each question: its result length,
+    whether hits come oldest first, one per subject, raw rows before summaries,
+    and bounds of the event date. All questions still are one plan. Hits of
+    `expanded` questions count half, those of the `parts` a question was cut
+    into in full, and `part_vectors` add to the vector channel.
     """
     scope = queries.select("query_id", "stream") if by_stream else None
     if by_stream and "stream" not in query_vectors.columns:
@@ -151,6 +158,12 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
     lex = lexical_search(queries, chunks, 2 * k, by_stream=by_stream, agent=agent, exclude_agents=exclude_agents, index=index)
     vec = vector_search(query_vectors, vectors, chunks, 2 * k, agent=agent, exclude_agents=exclude_agents, by_stream=by_stream,
                         few_queries=few_queries)
+    more = [(q, w) for q, w in ((expanded, 0.5), (parts, 1.0)) if q is not None]
+    if more:
+        lex = merging.max_merge((lex, 1.0), *((lexical_search(q, chunks, 2 * k, by_stream=by_stream, agent=agent, exclude_agents=exclude_agents, index=index), w) for q, w in more))
+    if part_vectors is not None:
+        found = vector_search(part_vectors, vectors, chunks, k, agent=agent, exclude_agents=exclude_agents, by_stream=by_stream, few_queries=few_queries)
+        vec = merging.add_sub_query_vectors(vec.select("query_id", "id", F.col("sim").alias("score")), found).withColumnRenamed("score", "sim")
     fused = ranked(weighted_fusion(enrich(fuse_channels(lex, vec, floor), chunks), now))
     if lane is None:
         pool = fused.where(F.col("rank") <= 3 * k)
@@ -160,20 +173,50 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
     pool = pool.drop("rank")
     if graph_scores is not None:
         pool = graph_additions(pool, graph_scores, filters.by_agent(chunks, agent, exclude_agents), scope=scope)
-    pool = adjusted(pool, access_weight)
+    if rules is None:
+        pool = adjusted(pool, access_weight)
+    else:
+        pool = adjusted(pool.join(rules, "query_id"), access_weight, counting=F.col("counting"))
+        day = filters.event_noon()
+        pool = pool.where((F.col("date_from").isNull() | (day >= F.col("date_from"))) & (F.col("date_to").isNull() | (day <= F.col("date_to"))))
     if valid_at is not None:
         pool = pool.where(filters.valid_at(F.lit(valid_at)))
     if not include_superseded:
         pool = pool.where("is_latest")
     if fact_type is not None or subject is not None or min_confidence is not None:
         pool = pool.where(filters.fact_filter(fact_type, subject, min_confidence))
-    pool = ranked(pool)
+    pool = ranked(pool) if rules is None else ranked_by_rule(pool)
     if prefix_dedup:
         texts = live(chunks).select("id", "content")
         pool = ranking.drop_prefix_twins(pool.join(texts, "id"), order="rank").drop("content")
     if enumerate_subjects:
         pool = ranking.one_per_subject(pool.withColumn("subject", F.col("meta.subject"))).drop("subject")
-    return ranking.top_n(pool.drop("rank"), ["query_id"], [F.desc("score"), F.col("id")], most or k)
+    if rules is None:
+        return ranking.top_n(pool.drop("rank"), ["query_id"], [F.desc("score"), F.col("id")], most or k)
+    # of rows that are not one per subject each counts as a subject of its own
+    subject = F.when(F.col("per_subject"), F.col("meta.subject"))
+    pool = ranking.one_per_subject(pool.withColumn("subject", subject)).drop("subject")
+    return ranked_by_rule(pool.drop("rank")).where(F.col("rank") <= F.col("most"))
+
+
+def class_rules(annotated: DataFrame, k: int, enumerated: int = 30, dates: DataFrame | None = None) -> DataFrame:
+    """(query_id, oldest_first, most, per_subject, counting, date_from, date_to) of annotated questions.
+
+    Temporal questions read as a timeline; enumerations give one row per subject
+    and are longer. `dates(query_id, date_from, date_to)` are bounds in seconds.
+    """
+    kind = F.col("complexity")
+    rules = annotated.select("query_id", (kind == "temporal").alias("oldest_first"), F.when(kind == "aggregation", enumerated).otherwise(k).alias("most"),
+                             (kind == "aggregation").alias("per_subject"), "counting")
+    if dates is None:
+        return rules.withColumns({c: F.lit(None).cast("long") for c in ("date_from", "date_to")})
+    return rules.join(dates, "query_id", "left")
+
+
+def ranked_by_rule(pool: DataFrame) -> DataFrame:
+    """By score, or oldest first where the question's rule says so."""
+    first = F.when(F.col("oldest_first"), F.col("timestamp"))
+    return pool.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(first, F.desc("score"), F.col("id"))))
 
 
 def lexical_only(queries: DataFrame, chunks: DataFrame, now: int, k: int = 10, index: TermIndex | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import cut_lineage
 from .schemas import EVENT_DDL
 
 
@@ -86,15 +87,26 @@ def verify_chain(rows: DataFrame) -> DataFrame:
     when it has none although an earlier row had one. Rows without a hash before
     the first chained one are the legacy prefix.
     """
-    w = Window.partitionBy("target").orderBy("ts", "seq")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    idx = F.row_number().over(w) - 1
-    entered = F.coalesce(F.max(F.when(F.col("prev_hash").isNotNull() & (F.col("idx") > 0), 1)).over(before), F.lit(0))
-    r = rows.withColumn("idx", idx).withColumn("want", F.sha2(F.lag("blob").over(w), 256))
-    r = r.withColumn("entered", entered)
+    slim = rows.select("target", "ts", "seq", "prev_hash", F.sha2("blob", 256).alias("own"))
+    # segments by place, so a target of very many rows is many tasks; only each segment's last hash and counts meet
+    cut = cut_lineage(slim.repartitionByRange("target", "ts", "seq").withColumn("segment", F.spark_partition_id()))
+    place = F.struct("ts", "seq")
+    heads = cut.groupBy("target", "segment").agg(F.count("*").alias("n"), F.max_by("own", place).alias("last"), F.count("prev_hash").alias("hashed"),
+                                                 F.min_by(F.col("prev_hash").isNotNull(), place).alias("starts"))
+    over = Window.partitionBy("target").orderBy("segment")
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.first("starts").over(over).cast("long")  # the target's first row is of no chain
+    heads = heads.select("target", "segment", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"), F.lag("last").over(over).alias("last_before"),
+                         (F.coalesce(F.sum("hashed").over(earlier), first) - first).alias("chained_before"), first.alias("skipped"))
+    w = Window.partitionBy("target", "segment").orderBy("ts", "seq")
+    r = cut.join(heads, ["target", "segment"]).withColumn("idx", F.row_number().over(w) - 1 + F.col("rows_before"))
+    r = r.withColumn("want", F.coalesce(F.lag("own").over(w), "last_before"))
+    inside = F.count("prev_hash").over(w.rowsBetween(Window.unboundedPreceding, -1)) - F.when((F.col("rows_before") == 0) & (F.col("idx") > 0), F.col("skipped")).otherwise(0)
+    entered = F.col("chained_before") + inside > 0
     broken = (F.col("idx") > 0) & (
         (F.col("prev_hash").isNotNull() & (F.col("prev_hash") != F.col("want")))
-        | (F.col("prev_hash").isNull() & (F.col("entered") == 1)))
+        | (F.col("prev_hash").isNull() & F.col("entered")))
+    r = r.withColumn("entered", entered)
     return r.groupBy("target").agg(
         F.min(F.when(broken, F.col("idx"))).alias("first_break"),
         F.count(F.when((F.col("idx") > 0) & F.col("prev_hash").isNotNull(), 1)).alias("chained"),
