@@ -4,6 +4,9 @@ Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and without
 overlap per kind; a match that fails its check is dropped and not tried again.
 Further kinds need a checksum or a context word: bank accounts (IBAN, mod 97;
 they end at a word's end, as long as their country has them), cards of 13 to 15 digits (Luhn), local phone numbers and national numbers.
+Secrets are kinds, too: private-key blocks, keys of a known prefix and length,
+tokens that carry a checksum (CRC-32 in base 62) or are signed (two JSON parts),
+and values after a word such as `token` or `password`, if they look random.
 
 Scores: a kind's own value, plus CONTEXT_GAIN if one of its words stands within
 CONTEXT characters before or after, minus CONTEXT_LOSS if a word of NEGATIVE
@@ -17,8 +20,13 @@ not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -42,6 +50,21 @@ IBAN_LENGTH = {c: int(n) for n, codes in (part.split(":") for part in (
 LOCAL_PHONE = re.compile(r"(?<![0-9+.A-Za-z-])(?:\(0?[0-9]{2,4}\) ?|0?[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}(?![0-9A-Za-z-])")
 NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 
+PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY((?: BLOCK)?)-----[A-Za-z0-9+/=\s:,.()-]{1,16384}?-----END \1PRIVATE KEY\2-----")
+#: Public prefixes of keys, with what follows them.
+API_KEY = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|xox[abprs]-[0-9A-Za-z-]{10,72}|[sr]k_(?:live|test)_[0-9A-Za-z]{24,99}|"
+                     r"sk-(?:[a-z]{1,8}-)?[0-9A-Za-z_-]{32,180}|SG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}|npm_[0-9A-Za-z]{36}|hf_[0-9A-Za-z]{34})(?![0-9A-Za-z])")
+CHECKED_TOKEN = re.compile(r"(?<![A-Za-z0-9])gh[opsur]_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
+SIGNED_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,4000})\.(eyJ[A-Za-z0-9_-]{8,8000})\.[A-Za-z0-9_-]{16,2000}(?![A-Za-z0-9_-])")
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Names before a secret, without which its pattern is not tried.
+SECRET_NAMES = ("token", "secret", "api_key", "api-key", "apikey", "api key", "access_key", "access-key", "access key", "auth_key", "private_key", "credential", "bearer")
+PASSWORD_NAMES = ("password", "passwd", "pwd", "passphrase", "passwort", "kennwort", "contraseña", "mot de passe")
+SECRET = re.compile(rf"(?<![a-z])(?:{'|'.join(SECRET_NAMES)})s?[\"'`]?\s{{0,3}}(?:=>|[:=])?\s{{0,3}}[\"'`]?([A-Za-z0-9+/_.=-]{{16,512}})(?![A-Za-z0-9+/_.=-])", re.I)
+PASSWORD = re.compile(rf"(?<![a-z])(?:{'|'.join(PASSWORD_NAMES)})[\"'`]?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"'`]?([^\s\"'`<>]{{6,128}})", re.I)
+#: Bits a character of a random value at least, and classes of characters of a password.
+RANDOM_BITS, CLASSES = 3.0, 2
+
 CONTEXT, CONTEXT_GAIN, CONTEXT_LOSS, MIN_SCORE = 40, 0.35, 0.4, 0.6
 #: Words that speak for a kind, and words that speak against all.
 WORDS = {
@@ -53,12 +76,20 @@ WORDS = {
     "short_card": ("card", "amex", "diners", "credit", "karte", "carte", "tarjeta"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
     "national_id": ("ssn", "social security"),
+    "private_key": ("key", "pem", "ssh"),
+    "api_key": ("key", "token", "secret"),
+    "checked_token": ("token", "auth"),
+    "signed_token": ("token", "jwt", "bearer", "authorization"),
+    "secret": SECRET_NAMES,
+    "password": PASSWORD_NAMES,
 }
 NEGATIVE = ("version", "isbn", "order number", "build", "example")
 BASE = ("email", "ip", "card", "phone")
 #: What a confirmed match is worth without context.
-WORTH = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "account": 0.9, "short_card": 0.3, "local_phone": 0.3, "national_id": 0.4}
+WORTH = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "account": 0.9, "short_card": 0.3, "local_phone": 0.3, "national_id": 0.4,
+         "private_key": 1.0, "api_key": 1.0, "checked_token": 1.0, "signed_token": 1.0, "secret": 0.65, "password": 0.65}
 KINDS = tuple(WORTH)
+SECRETS = ("private_key", "api_key", "checked_token", "signed_token", "secret", "password")
 
 
 def luhn(digits: str) -> bool:
@@ -91,6 +122,53 @@ def _accounts(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def random_bits(value: str) -> float:
+    """Bits per character."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def checksum62(body: str) -> str:
+    """CRC-32 of `body` as six digits of base 62."""
+    crc, out = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        crc, d = divmod(crc, 62)
+        out = BASE62[d] + out
+    return out
+
+
+def _json(part: str) -> bool:
+    try:
+        return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
+    except ValueError:
+        return False
+
+
+def secrets(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of keys, tokens and passwords; of a named value the value."""
+    if "PRIVATE KEY" in text:
+        for m in PRIVATE_KEY.finditer(text):
+            yield "private_key", *m.span()
+    for m in API_KEY.finditer(text):
+        yield "api_key", *m.span()
+    if "gh" in text:
+        for m in CHECKED_TOKEN.finditer(text):
+            if checksum62(m[1]) == m[2]:
+                yield "checked_token", *m.span()
+    if "eyJ" in text:
+        for m in SIGNED_TOKEN.finditer(text):
+            if _json(m[1]) and _json(m[2]):
+                yield "signed_token", *m.span()
+    low = text.lower()
+    if any(n in low for n in SECRET_NAMES):
+        for m in SECRET.finditer(text):
+            if random_bits(m[1]) >= RANDOM_BITS and re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
+                yield "secret", *m.span(1)
+    if any(n in low for n in PASSWORD_NAMES):
+        for m in PASSWORD.finditer(text):
+            if sum(bool(re.search(c, m[1])) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9.,;:)]")) >= CLASSES:
+                yield "password", *m.span(1)
+
+
 def _digits(m: re.Match) -> str:
     return re.sub("[^0-9]", "", m[0])
 
@@ -100,6 +178,7 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if "@" in text:
         for a, b in _emails(text):
             yield "email", a, b
+    yield from secrets(text)
     if not re.search("[0-9]", text):
         return
     for m in IP.finditer(text):
@@ -133,6 +212,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), by kind in the order of KINDS, then by start.
 
     A further span that overlaps a base one is left out: the base one covers it.
+    A secret stays, as a base span inside it does not hide the rest, but not a
+    `secret` or `password` inside a key or token.
     """
     text = text or ""
     spans = [(k, a, b, score(text, k, a, b)) for k, a, b in proposed(text)]
@@ -142,7 +223,9 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     for s in sorted((s for s in spans if s[0] not in BASE and s[3] >= MIN_SCORE), key=lambda s: s[1]):
         while at < len(base) and base[at][1] <= s[1]:
             at += 1
-        if at == len(base) or base[at][0] >= s[2]:
+        if s[0] in SECRETS and not (s[0] in SECRETS[-2:] and any(k in SECRETS[:-2] and a < s[2] and s[1] < b for k, a, b, _ in spans)):
+            kept.append(s)
+        elif s[0] not in SECRETS and (at == len(base) or base[at][0] >= s[2]):
             kept.append(s)
     return sorted(kept, key=lambda s: (KINDS.index(s[0]), s[1]))
 

@@ -5,23 +5,26 @@ from at most PER_LABEL different ones for each verdict, smallest by hash; the
 suffix statistics cover all URLs. Features: lengths, depth, digit ratios,
 character entropy, parameter counts, host shape, and for the suffix (the last
 two labels of the host) the number of its URLs, its mean depth and its mean
-digit ratio. No feature is a verdict, so nothing of a label leaks into it.
+digit ratio; also the share of `block` among the labelled URLs of the suffix, of
+the first part of the path, and of both together. A labelled URL's own fold (by
+hash, so with all its copies) is left out of its shares, so none says its own label.
 
 Defined results: a null URL, or one without `://`, has an empty host and path,
-fits no rule and is allowed; with URLs of one verdict only (or none) to learn
+fits no rule and is judged by the trees; with URLs of one verdict only (or none) to learn
 from, the rest get that verdict (or `allow`); repeated rows get equal results;
 an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import ascii_lower, smallest_by_hash
+from .common import ascii_lower, quoted, smallest_by_hash
 
 #: Fixed values: (verdict, host, path).
 RULES = (
@@ -31,9 +34,11 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-PER_LABEL, TREES, DEPTH, SEED = 5000, 10, 3, 7
+PER_LABEL, TREES, DEPTH, SEED = 5000, 20, 4, 7
 LEXICAL = ("length", "host_length", "path_length", "depth", "digit_ratio", "host_digit_ratio", "entropy", "n_params", "query_length", "n_labels", "n_hyphens")
 SUFFIX = ("suffix_count", "suffix_depth", "suffix_digits")
+#: Shares of `block` by suffix, by first part of the path, by both.
+RATES, FOLDS = ("suffix_rate", "first_rate", "pair_rate"), 5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -68,8 +73,27 @@ def entropy(text: Column) -> Column:
     return F.aggregate(F.array_sort(parts), F.lit(0.0), lambda a, v: a + v)
 
 
-def with_features(pages: DataFrame) -> DataFrame:
-    """`pages(id, url, host, path)` plus LEXICAL, `suffix` and SUFFIX."""
+def _fold(url: Column) -> Column:
+    """Copies of a URL are in one fold."""
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS))
+
+
+def _counts(block: Column, labelled: Column) -> list[Column]:
+    """`n` and `blocked` of the labelled rows, by fold."""
+    fold = _fold(F.col("url"))
+    return [F.array(*(F.count_if(labelled & c & (fold == k)) for k in range(FOLDS))).alias(name) for name, c in (("n", F.lit(True)), ("blocked", block))]
+
+
+def _rate(n: Column, blocked: Column, labelled: Column) -> Column:
+    """Share of `block` among the labelled rows of other folds, drawn to one half where they are few. A row without a label has none to leave out."""
+    def rest(counts: Column) -> Column:
+        own = F.when(labelled, F.element_at(counts, _fold(F.col("url")).cast("int") + 1)).otherwise(0)
+        return F.coalesce(F.aggregate(counts, F.lit(0).cast("long"), lambda a, v: a + v) - own, F.lit(0))
+    return (rest(blocked) + 1.0) / (rest(n) + 2.0)
+
+
+def with_features(pages: DataFrame, labelled: Column) -> DataFrame:
+    """`pages(url, host, path, by, ...)` plus LEXICAL, `suffix`, SUFFIX and RATES; labels are read where `labelled` says so."""
     url = F.coalesce("url", F.lit(""))
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     lexical = pages.select(
@@ -78,9 +102,44 @@ def with_features(pages: DataFrame) -> DataFrame:
         _ratio(_digits(F.col("host")), F.length("host")).alias("host_digit_ratio"), entropy(url).alias("entropy"),
         F.size(F.filter(F.split(query, "&"), lambda v: v != "")).alias("n_params"), F.length(query).alias("query_length"),
         F.size(F.split("host", r"\.")).alias("n_labels"), (F.length("host") - F.length(F.replace(F.col("host"), F.lit("-"), F.lit("")))).alias("n_hyphens"),
-        F.substring_index("host", ".", -2).alias("suffix"))
-    stats = lexical.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_count"), F.avg("depth").alias("suffix_depth"), F.avg("digit_ratio").alias("suffix_digits"))
-    return lexical.join(cut_lineage(stats), "suffix")
+        F.substring_index("host", ".", -2).alias("suffix"), F.substring_index(F.substring_index("path", "/", 2), "/", -1).alias("first"))
+    block = F.coalesce(F.col("by.verdict") == "block", F.lit(False))
+    # means are rounded: sums of doubles depend on their order, and trees cut at such values
+    stats = lexical.groupBy("suffix").agg(F.round(F.log1p(F.count("*")), 6).alias("suffix_count"), F.round(F.avg("depth"), 6).alias("suffix_depth"),
+                                          F.round(F.avg("digit_ratio"), 6).alias("suffix_digits"), *_counts(block, labelled))
+    parts = lexical.groupBy("first").agg(*_counts(block, labelled))
+    both = lexical.groupBy("suffix", "first").agg(*_counts(block, labelled))
+    out = lexical
+    for name, keys, table in (("suffix_rate", ["suffix"], stats), ("first_rate", ["first"], parts), ("pair_rate", ["suffix", "first"], both)):
+        out = out.join(cut_lineage(table), keys).withColumn(name, F.round(_rate(F.col("n"), F.col("blocked"), labelled), 6)).drop("n", "blocked")
+    return out
+
+
+def _judged(pages: DataFrame, url: str, rules, *more: Column) -> DataFrame:
+    """`more`, url, host, path and `by`, the rule that fits (null: none), of every row."""
+    own = pages.select(*more, F.col(quoted(url)).alias("url"))
+    host, path = split_url(F.col("url"))
+    return own.withColumn("host", host).withColumn("path", path).withColumn("by", rule_of(F.col("host"), F.col("path"), rules))
+
+
+def _learnt(described: DataFrame, labelled: Column, per_label: int) -> tuple[PipelineModel | None, set[float]]:
+    """The trees, null without two verdicts to learn from, and the labels seen (1: block)."""
+    inputs = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX, *RATES], outputCol="features")
+    rows = described.where(labelled).select(F.col("by.verdict").alias("verdict"), "url", *LEXICAL, *SUFFIX, *RATES)
+    few = smallest_by_hash(rows, "verdict", F.xxhash64("url"), per_label)
+    sample = cut_lineage(inputs.transform(few).select((F.col("verdict") == "block").cast("double").alias("label"), "features"))
+    seen = {r[0] for r in sample.select("label").distinct().collect()}  # two values at most
+    if len(seen) < 2:
+        return None, seen
+    return PipelineModel([inputs, GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(sample)]), seen
+
+
+def _scored(rows: DataFrame, model: PipelineModel | None, seen: set[float]) -> DataFrame:
+    """`rows` with `score`, the probability of `block`, and `said`, the verdict."""
+    if model is None:
+        return rows.withColumn("score", F.lit(None).cast("double")).withColumn("said", F.lit("block" if seen == {1.0} else "allow"))
+    out = model.transform(rows).withColumn("score", F.element_at(vector_to_array("probability"), 2))
+    return out.withColumn("said", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, per_label: int = PER_LABEL) -> DataFrame:
@@ -88,25 +147,23 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules=R
 
     The score is the trees' probability of `block`, null where they were not asked.
     """
-    own = pages.select(pages[key].alias("id"), pages[url].alias("url"))
-    host, path = split_url(F.col("url"))
-    ruled = own.withColumn("host", host).withColumn("path", path).withColumn("by", rule_of(F.col("host"), F.col("path"), rules))
+    ruled = _judged(pages, url, rules, F.col(quoted(key)).alias("id"))
     judged = ruled.select("id", "host", "path", F.col("by.rule").alias("rule"), F.col("by.verdict").alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    described = with_features(ruled)
-    inputs = VectorAssembler(inputCols=[*LEXICAL, *SUFFIX], outputCol="features")
-    labelled = described.where("by is not null").select(F.col("by.verdict").alias("verdict"), "url", *LEXICAL, *SUFFIX)
-    few = smallest_by_hash(labelled, "verdict", F.xxhash64("url"), per_label)
-    sample = cut_lineage(inputs.transform(few).select((F.col("verdict") == "block").cast("double").alias("label"), "features"))
-    seen = {r[0] for r in sample.select("label").distinct().collect()}  # two values at most
-    rest = described.where("by is null")
-    if len(seen) == 2:
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(sample)
-        scored = model.transform(inputs.transform(rest)).withColumn("score", F.element_at(vector_to_array("probability"), 2))
-        verdict = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    else:
-        scored = rest.withColumn("score", F.lit(None).cast("double"))
-        verdict = F.lit("block" if seen == {1.0} else "allow")
-    bare = (F.col("host") == "")
-    by_method = scored.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(bare, "allow").otherwise(verdict).alias("verdict"),
-                              F.when(~bare, F.col("score")).alias("block_score"))
+    labelled = F.col("by").isNotNull()
+    described = with_features(ruled, labelled)
+    model, seen = _learnt(described, labelled, per_label)
+    by_method = _scored(described.where(~labelled), model, seen).select(
+        "id", "host", "path", F.lit(None).cast("string").alias("rule"), F.col("said").alias("verdict"), F.col("score").alias("block_score"))
     return judged.where("verdict is not null").unionByName(by_method).withColumnRenamed("id", key)
+
+
+def held_out_accuracy(pages: DataFrame, url: str = "url", rules=RULES, per_label: int = PER_LABEL) -> tuple[int, float, float]:
+    """(rows, share right, share of the commoner verdict) of a fifth of the different ruled URLs, by trees that learnt from the others."""
+    ruled = _judged(pages, url, rules)
+    out, has = _fold(F.col("url")) == 0, F.col("by").isNotNull()
+    described = with_features(ruled, has & ~out)
+    model, seen = _learnt(described, has & ~out, per_label)
+    tested = _scored(described.where(has & out), model, seen).select("url", F.col("by.verdict").alias("verdict"), "said").distinct()
+    r = tested.agg(F.count("*").alias("n"), F.count_if(F.col("said") == F.col("verdict")).alias("right"), F.count_if(F.col("verdict") == "block").alias("block")).first()
+    n = max(r.n, 1)
+    return r.n, r.right / n, max(r.block, r.n - r.block) / n
