@@ -50,7 +50,7 @@ IBAN_LENGTH = {c: int(n) for n, codes in (part.split(":") for part in (
 LOCAL_PHONE = re.compile(r"(?<![0-9+.A-Za-z-])(?:\(0?[0-9]{2,4}\) ?|0?[0-9]{2,4}[ -])[0-9]{3,4}[ -][0-9]{3,4}(?![0-9A-Za-z-])")
 NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
 
-PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY((?: BLOCK)?)-----[A-Za-z0-9+/=\s:,.()-]{1,16384}?-----END \1PRIVATE KEY\2-----")
+PRIVATE_KEY = re.compile(r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY((?: BLOCK)?)-----(?:[A-Za-z0-9+/=\s:,.()]|-(?!-)){1,16384}+-----END \1PRIVATE KEY\2-----")
 #: Public prefixes of keys, with what follows them.
 API_KEY = re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20}|xox[abprs]-[0-9A-Za-z-]{10,72}|[sr]k_(?:live|test)_[0-9A-Za-z]{24,99}|"
                      r"sk-(?:[a-z]{1,8}-)?[0-9A-Za-z_-]{32,180}|SG\.[0-9A-Za-z_-]{22}\.[0-9A-Za-z_-]{43}|npm_[0-9A-Za-z]{36}|hf_[0-9A-Za-z]{34})(?![0-9A-Za-z])")
