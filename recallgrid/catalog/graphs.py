@@ -163,9 +163,28 @@ def discovered(t):
     return assoc.discover_latents(t.chunks, t.vectors, clusters(t), centroids(t), t.edges, graph.evidence_table(t.edge_evidence), min_score=0.02)
 
 
-@query("K11_latent_discovery")
+LATENT_SQL = f"""{CENT}, sym as (select node, other, 1e0 / greatest(1, min(evidence)) as weight from (select source as node, target as other, evidence from edges union all select target, source, evidence from edges) group by all),
+ec as (select source as entity_id, chunk_id from edge_evidence union select target, chunk_id from edge_evidence),
+ok as (select id, stream, label as cluster from chunks join vectors using (id) where is_latest and deleted_at is null and id in (select chunk_id from ec)),
+fi as (select * from (select *, row_number() over (partition by stream, cluster order by md5(id), id) as r from ok) where r = 1),
+se as (select * from (select *, row_number() over (partition by stream order by cluster) as s from fi) where s <= 10),
+st as (select id, entity_id from (select se.id, entity_id, row_number() over (partition by se.id order by entity_id) as k from se join ec on chunk_id = se.id) where k <= 3),
+w0 as (select id || '|' || entity_id as query_id, entity_id as seed, walk, entity_id as cur, [entity_id] as path, 0 as done from st, (values (0), (1)) v(walk)),
+{walk_round(1)}, {walk_round(2)}, {walk_round(3)},
+hi as (select distinct split_part(query_id, '|', 1) as source, chunk_id as target from w3 join ec on cur = entity_id),
+tg as (select c.id as target, stream, coalesce(label, 0) as cluster from chunks c left join vectors using (id)
+  where is_latest and deleted_at is null and coalesce(agent, '') <> 'raw-transcript' and strlen(content) >= 10),
+la as (select se.stream, source, hi.target, greatest(0, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)) as r,
+    coalesce(least(1, greatest(0, 1 - round(list_cosine_similarity(x.centroid, y.centroid), 6))), 0.5) as distance
+  from hi join se on se.id = source join tg on tg.target = hi.target and tg.stream = se.stream join vectors a on a.id = source join vectors b on b.id = hi.target
+  left join cn x on x.cluster = tg.cluster left join cn y on y.cluster = se.cluster where source <> hi.target and tg.cluster <> se.cluster),
+lt as (select stream, source, target, score from (select *, row_number() over (partition by stream, target order by score desc, source) as k
+  from (select stream, source, target, round(r * (1 - r) * distance, 6) as score from la) where score >= 0.02) where k = 1)"""
+
+
+@query("K11_latent_discovery", "chunks vectors edge_evidence edges", f"with {LATENT_SQL} select * from lt")
 def k11(t):
-    """Walks from seed rows; checked against brute force on a small graph."""
+    """Walks from seed rows to rows of other clusters."""
     return discovered(t)
 
 

@@ -16,6 +16,7 @@ from ..sources import chunk_store
 from ..sources.chunk_store import live
 from ..sources.views import T0, Tables
 from ..streaming import jobs
+from .aggregates import BUCKETS
 from .base import query
 from .texts import FIRST_SQL, TRIM, any_sql, clean_sql
 from .lifecycle import redact_sql
@@ -49,6 +50,23 @@ def m1(t):
     return ran(t, jobs.hourly_metrics(streamed(t).events), "metrics")
 
 
+CLOSED = "(select epoch(max(ts)) - 3600 from event_log where type in ('search', 'store', 'consolidation'))"
+
+
+@query("M1_all_metrics_stream", "event_log", f"with {BUCKETS} select stream, metric, hour, value from m where hour * 3600 + 3600 <= {CLOSED}")
+def m1a(t):
+    """All metrics of the batch report, rates and costs included, for the hours the watermark has closed."""
+    return ran(t, jobs.all_hourly_metrics(streamed(t).events), "all-metrics")
+
+
+@query("M1_daily_from_hourly_stream", "event_log", f"""
+with {BUCKETS} select cast(hour // 24 * 86400 as bigint) as start_sec, stream, count(*) as hours, sum(search_count) as searches, sum(store_count) as stores,
+  max(hit_rate) as best_hit_rate, round(sum(consolidation_cost_usd), 6) as usd from b group by 1, 2 having cast(hour // 24 * 86400 as bigint) + 86400 <= {CLOSED}""")
+def m1d(t):
+    """Days the watermark has closed, from the stream of closed hours."""
+    return ran(t, jobs.daily_from_hourly(streamed(t).events), "daily-metrics")
+
+
 TRIGGER = """st as (select stream, sec, event_id, chunk_count as n, row_number() over (partition by stream order by sec, event_id) as i from event_log where type = 'store'),
 w as (select stream, i, sec, event_id, case when n >= 12 then 0 else n end as pending, case when n >= 12 then sec end as last, n >= 12 as fired from st where i = 1
   union all select st.stream, st.i, st.sec, st.event_id, case when x.f then 0 else w.pending + st.n end, case when x.f then st.sec else w.last end, x.f
@@ -64,9 +82,9 @@ def m2(t):
 @query("M3_micro_batches", "chunks", """
 select count(*) as items, cast(sum(strlen(content) // 4 + 1) as bigint) as tokens, 0 as over_cap from chunks""")
 def m3(t):
-    """Every row passes through exactly one flush of at most 50 rows."""
+    """Every row is in exactly one group of at most 50 rows."""
     folder = scratch_path(t.spark, "flush")
-    s = streamed(t).chunks.select(tx.byte_tokens(F.col("content")).alias("tokens"))
+    s = streamed(t).chunks.select("id", tx.byte_tokens(F.col("content")).alias("tokens"))
     jobs.run_flushes(s, f"{folder}/out", f"{folder}/state", 50, 20000)
     return t.spark.read.parquet(f"{folder}/out").agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.count_if(F.col("items") > 50).cast("int").alias("over_cap"))
 

@@ -70,16 +70,16 @@ def activity(events: DataFrame, now: int) -> DataFrame:
     return e.where("type in ('store', 'search')").groupBy("stream").agg(*cols)
 
 
-def hourly_buckets(events: DataFrame) -> DataFrame:
-    """One wide row per (stream, hour). Consolidations count under `_global`."""
+def hourly_buckets(events: DataFrame, hour: Column | None = None) -> DataFrame:
+    """One wide row per (stream, hour). Consolidations count under `_global`. `hour`, a window of event time, stands for the hour's number."""
     e = events.where("type in ('search', 'store', 'consolidation')").withColumn(
         "stream", F.when(F.col("type") == "consolidation", "_global").otherwise(F.col("stream"))).withColumn(
-        "hour", F.expr("sec div 3600"))
+        "hour", F.expr("sec div 3600") if hour is None else F.col("ts"))
     s = "type = 'search'"
     n = F.count_if(F.expr(s))
     rate = lambda c: F.round(F.coalesce(F.count_if(F.expr(c)) / F.nullif(n, F.lit(0)), F.lit(0.0)), 6)
     top = f"{s} and top1"
-    return e.groupBy("stream", "hour").agg(
+    return e.groupBy("stream", F.col("hour") if hour is None else hour.alias("hour")).agg(
         n.cast("double").alias("search_count"),
         F.count_if(F.expr("type = 'store'")).cast("double").alias("store_count"),
         F.round(F.coalesce(F.avg(F.expr(f"case when {s} then top1 end")), F.lit(0.0)), 6).alias("mean_top1_score"),

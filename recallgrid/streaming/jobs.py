@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import stats
+from ..operators.ranking import spread_sums
 from ..operators.stats import budget_tier
 from ..plans.lifecycle import check_sizes, prepare
 
@@ -23,6 +25,30 @@ def hourly_metrics(events: DataFrame, late: str = "1 hour") -> DataFrame:
         F.unix_seconds("window.start").alias("start_sec"), "stream", "search_count", "store_count", "zero_results", "hits", "mean_top1_score")
 
 
+def hourly_rows(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The wide hourly rows of the batch report, rates and `_global` costs among them, as windows close; `hour` is a window."""
+    return stats.hourly_buckets(events.withWatermark("ts", late), hour=F.window("ts", "1 hour"))
+
+
+def all_hourly_metrics(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(stream, metric, hour, value) of every closed hour."""
+    rows = hourly_rows(events, late).withColumn("hour", F.unix_seconds("hour.start").cast("long"))
+    return stats.hourly_metrics(rows.withColumn("hour", F.floor(F.col("hour") / 3600)))
+
+
+def daily_from_hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Windows over windows: each closed day of a stream from its closed hours, in one stateful plan.
+
+    Hours with data, searches, stores, the best hourly hit rate and the cost.
+    """
+    hours = hourly_rows(events, late)
+    day = F.window(F.window_time("hour"), "1 day").alias("day")
+    return hours.groupBy("stream", day).agg(
+        F.count("*").alias("hours"), F.sum("search_count").alias("searches"), F.sum("store_count").alias("stores"),
+        F.max("hit_rate").alias("best_hit_rate"), F.round(F.sum("consolidation_cost_usd"), 6).alias("usd")).select(
+        F.unix_seconds("day.start").alias("start_sec"), "stream", "hours", "searches", "stores", "best_hit_rate", "usd")
+
+
 def sliding_failures(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
     """Failures by kind over the last hour, every five minutes."""
     f = events.withWatermark("ts", late).where("type = 'llm_failure'")
@@ -79,22 +105,13 @@ def daily_budget(events: DataFrame, cap: float, late: str = "1 hour") -> DataFra
 
 
 def flush_groups(rows: DataFrame, max_items: int, max_tokens: int) -> DataFrame:
-    """(items, tokens) of every flush: a task's queue empties at `max_items` rows
-    or `max_tokens` tokens. `rows` has `tokens`."""
+    """(items, tokens) of groups of `rows(id, tokens)` in id order: `max_items` rows at most, cut where the running sum passes a multiple of `max_tokens`.
 
-    def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, tokens, out = 0, 0, []
-        for pdf in batches:
-            for t in pdf["tokens"]:
-                items, tokens = items + 1, tokens + int(t)
-                if items >= max_items or tokens >= max_tokens:
-                    out.append((items, tokens))
-                    items, tokens = 0, 0
-        if items:
-            out.append((items, tokens))
-        yield pd.DataFrame(out, columns=["items", "tokens"])
-
-    return rows.select("tokens").mapInPandas(flush, "items long, tokens long")
+    Running sums over ranges, so a batch of any size is grouped without a queue.
+    """
+    placed = spread_sums(rows.select("id", "tokens", F.lit(0).alias("all")), "all", [F.col("id")], {"upto": F.col("tokens")})
+    return placed.groupBy(F.floor((F.col("pos") - 1) / max_items).alias("a"), F.floor((F.col("upto") - F.col("tokens")) / max_tokens).alias("b")).agg(
+        F.count("*").alias("items"), F.sum("tokens").alias("tokens")).select("items", "tokens")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -110,7 +127,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 
 
 def run_flushes(stream: DataFrame, path: str, checkpoint: str, max_items: int, max_tokens: int) -> None:
-    """Micro-batches emptied through the queue rule."""
+    """Micro-batches cut into groups."""
     q = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
         lambda df, n: flush_groups(df, max_items, max_tokens).withColumn("batch", F.lit(n)).write.mode("append").parquet(path)).start()
     q.awaitTermination()
