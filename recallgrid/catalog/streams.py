@@ -79,6 +79,28 @@ def m2(t):
     return ran(t, jobs.threshold_trigger(s, 12, 43200), "trigger")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def on_rocks(spark, run):
+    """`run()` with the state store that timers and keyed state need."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, ROCKS)
+    try:
+        return run()
+    finally:
+        spark.conf.set(conf, before)
+
+
+@query("M2_ordered_trigger", "event_log", f"""
+with recursive {TRIGGER} select stream, sec, event_id from w where fired and (sec // 3600 + 1) * 3600 <= (select epoch(max(ts)) - 3600 from event_log where type = 'store')""")
+def m2o(t):
+    """Fires in event time: the same for any cut of the input into batches."""
+    s = streamed(t).events.where("type = 'store'").select("stream", "ts", "sec", "event_id", F.col("chunk_count").alias("n"))
+    return on_rocks(t.spark, lambda: ran(t, jobs.ordered_trigger(s, 12, 43200), "ordered-trigger"))
+
+
 @query("M3_micro_batches", "chunks", """
 select count(*) as items, cast(sum(strlen(content) // 4 + 1) as bigint) as tokens, 0 as over_cap from chunks""")
 def m3(t):

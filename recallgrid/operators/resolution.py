@@ -39,10 +39,11 @@ def entity_table(resolved: DataFrame) -> DataFrame:
 def upsert_edges(known: DataFrame, found: DataFrame) -> DataFrame:
     """(stream, source, target, relation, chunk_id): evidence rows of every edge,
     old and new, the relation canonical, nothing twice. One row per piece of
-    evidence keeps a hub edge from becoming one huge list."""
+    evidence keeps a hub edge from becoming one huge list. `known` rows are
+    different already, so only the new ones are compared."""
     new = found.withColumn("relation", relation_label(F.col("relation")))
     cols = ["stream", "source", "target", "relation", "chunk_id"]
-    return known.select(*cols).unionByName(new.select(*cols)).distinct()
+    return known.select(*cols).unionByName(new.select(*cols).distinct().join(known, cols, "left_anti"))
 
 
 def edge_table(evidence: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import stats
@@ -90,6 +92,63 @@ def threshold_trigger(stores: DataFrame, threshold: int, cooldown: int) -> DataF
         fold, "stream string, sec long, event_id long", "pending long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _fires(rows: list[tuple]) -> pd.DataFrame:
+    stream, sec, event_id = zip(*rows) if rows else ((), (), ())
+    return pd.DataFrame({"stream": pd.Series(stream, dtype=object), "sec": pd.Series(sec, dtype="int64"), "event_id": pd.Series(event_id, dtype="int64")})
+
+
+class OrderedTrigger(StatefulProcessor):
+    """The threshold rule over rows in time order, whichever batch brought them.
+
+    Rows wait, packed by hour, until the watermark passes their hour; its timer
+    folds that hour's rows in order. A task holds one hour of one stream.
+    """
+
+    def __init__(self, threshold: int, cooldown: int):
+        self.threshold, self.cooldown = threshold, cooldown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "hour long", "rows binary")
+        self.so_far = handle.getValueState("so_far", "pending long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for hour, part in pdf.groupby(pdf["sec"] // 3600):
+                at = (int(hour),)
+                before = bytes(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else b""
+                self.waiting.updateValue(at, (before + part[["sec", "event_id", "n"]].to_numpy(np.int64).tobytes(),))
+                self.handle.registerTimer((int(hour) + 1) * 3_600_000)
+        yield _fires([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        closed = expiredTimerInfo.getExpiryTimeInMs() // 3_600_000
+        pending, last = self.so_far.get() if self.so_far.exists() else (0, -1)
+        fired = []
+        for hour in sorted(k[0] for k in self.waiting.keys() if k[0] < closed):
+            rows = np.frombuffer(bytes(self.waiting.getValue((hour,))[0]), np.int64).reshape(-1, 3)
+            for sec, event_id, n in rows[np.lexsort((rows[:, 1], rows[:, 0]))].tolist():
+                pending += n
+                if pending >= self.threshold and (last < 0 or sec - last >= self.cooldown):
+                    fired.append((key[0], sec, event_id))
+                    pending, last = 0, sec
+            self.waiting.removeKey((hour,))
+        self.so_far.update((pending, last))
+        yield _fires(fired)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_trigger(stores: DataFrame, threshold: int, cooldown: int, late: str = "1 hour") -> DataFrame:
+    """As `threshold_trigger`, in event time: fires of the hours that the watermark has closed. `stores(stream, ts, sec, event_id, n)`.
+
+    Needs the RocksDB state store.
+    """
+    return stores.withWatermark("ts", late).groupBy("stream").transformWithStateInPandas(
+        statefulProcessor=OrderedTrigger(threshold, cooldown), outputStructType="stream string, sec long, event_id long", outputMode="Append", timeMode="EventTime")
+
+
 def ingest_stream(incoming: DataFrame, now: int, late: str = "1 day", max_content: int = 102400) -> DataFrame:
     """Arriving rows cleaned, redacted and labelled; repeats of an id dropped.
     `incoming` has the ingest columns and `ts`."""
