@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring
 from ..operators import annotate, filters, merging, textjobs
-from ..operators.ranking import top_n
+from ..operators.ranking import spread_rank, top_n
 from ..operators.similarity import nearest
 from ..session import cut_lineage
 from ..sources.chunk_store import consolidation_eligible, in_batches, live
@@ -132,7 +132,8 @@ def consolidate(chunks: DataFrame, vectors: DataFrame, now: int, *, min_rows: in
     `compressor` turns a text column into its summary; by default the first
     three sentences and the last.
     """
-    groups = cut_lineage(topic_groups(in_batches(consolidation_eligible(chunks, now), batch), vectors, threshold))
+    slim = chunks.select("id", "stream", "timestamp", "level", "consolidated", "in_progress", "dormant", "deleted_at")  # texts join after the grouping
+    groups = cut_lineage(topic_groups(in_batches(consolidation_eligible(slim, now), batch), vectors, threshold))
     sized = groups.withColumn("n", F.count("*").over(Window.partitionBy("stream", "batch", "grp")))
     used = sized.where(F.col("n") >= min_rows)
     text = used.join(chunks.select("id", "timestamp", "content"), "id")
@@ -167,8 +168,10 @@ def subject_groups(chunks: DataFrame, at_least: int = 2) -> DataFrame:
     c = live(chunks).where("is_latest and meta.subject is not null").select(
         "stream", F.lower("meta.subject").alias("subject"), "id", "timestamp", "meta.event_date", "content")
     n = c.groupBy("stream", "subject").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
-    w = Window.partitionBy("stream", "subject").orderBy("timestamp", "id")
-    g = c.join(n, ["stream", "subject"]).withColumn("pos", F.row_number().over(w))
+    g = c.join(n, ["stream", "subject"])
+    # a subject with very many rows is numbered in ranges, without its texts
+    pos = spread_rank(g.select("id", "timestamp", F.struct("stream", "subject").alias("of")), "of", [F.col("timestamp"), F.col("id")])
+    g = g.join(pos.select("id", "pos"), "id")
     return g.withColumn("line", F.format_string("%d. [%s] [id:%s] %s", "pos", F.coalesce("event_date", F.lit("unknown date")), "id", "content"))
 
 
