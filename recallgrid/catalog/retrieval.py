@@ -510,6 +510,15 @@ def j9s(t):
     return packs.context_pack(t.queries, t.chunks, profile_lines(t), index=t.index)[1]
 
 
+@query("J10_manual_boost", "chunks ratings", """
+select id, case when r.chunk_id is not null then 1.5e0 else importance end as importance, case when r.chunk_id is not null then 1e0 else score end as score
+from chunks left join (select distinct chunk_id from ratings where usefulness > 0) r on r.chunk_id = id""")
+def j10m(t):
+    """Rows that somebody found useful are boosted by hand."""
+    chosen = t.ratings.where("usefulness > 0").select(F.col("chunk_id").alias("id"))
+    return packs.boost_importance(t.chunks, chosen).select("id", "importance", "score")
+
+
 @query("J10_search_effects", "lex_top chunks", f"""
 with recursive h as (select query_id, id, rank, {T0} - query_id * 30000 as ts from lex_top), n as (select id, count(*) as seen from h group by id),
 hd as (select id, ts, row_number() over (partition by id order by ts) as k from (select distinct id, ts from h where rank <= 3)),

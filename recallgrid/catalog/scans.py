@@ -112,6 +112,23 @@ def a9(t):
     return dictionary.first_alias_wins(a).select("alias", "name", "entity_type")
 
 
+@query("A9_dictionary_file", "", """
+with e as (select s_suppkey as k, s_name as name, 'acct ' || s_nationkey as nick, 'tier ' || (s_suppkey % 3) as role from supplier),
+a as (select lower(name) as alias, name, 2 * k as seq from e union all select lower(nick), name, 2 * k + 1 from e),
+f as (select alias, name from (select *, row_number() over (partition by alias order by seq, name) as n from a) where n = 1)
+select 'alias' as kind, alias as a, name as b from f union all select 'role', name, role from e
+union all select 'expansion', name, w from e, (values ('vendor'), ('contract')) v(w) where k % 2 = 0""")
+def a9f(t):
+    """Account names written as a dictionary file, and read again with roles and expansions."""
+    folder = scratch_path(t.spark, "dictionary")
+    block = """concat_ws('\\n', '[[entity]]', concat('canonical = "', s_name, '"'), 'type = "Organization"', concat('aliases = ["acct ', s_nationkey, '"]'),
+      concat('role = "tier ', s_suppkey % 3, '"'), case when s_suppkey % 2 = 0 then 'expand_with = ["vendor", "contract"]' end)"""
+    t.raw("supplier").orderBy("s_suppkey").selectExpr(f"{block} as value").coalesce(1).write.text(folder)
+    d = dictionary.read_dictionary(t.spark, folder)
+    out = d["alias"].selectExpr("'alias' as kind", "alias as a", "name as b")
+    return out.unionByName(d["role"].selectExpr("'role' as kind", "name as a", "role as b")).unionByName(d["expansion"].selectExpr("'expansion' as kind", "name as a", "term as b"))
+
+
 @query("A11_access_log", "event_log", """
 select stream, actor, ts, rn, not_shown from (
   select stream, user_id as actor, sec as ts,

@@ -289,8 +289,8 @@ al as (select stream, 'repeated_query' as advisory_type, leader as about, n, 2 a
 cb as (select *, row_number() over (partition by stream order by priority desc, advisory_type, n desc, about) as rank from al)"""
 
 
-def combined(t, most):
-    return adv.combined(t.chunks, t.events, rare_feedback(t), links.gap_filled(t.events), T0, repeat_at_least=25, stale_days=20, most=most).withColumn(
+def combined(t, most, rules=None):
+    return adv.combined(t.chunks, t.events, rare_feedback(t), links.gap_filled(t.events), T0, repeat_at_least=25, stale_days=20, most=most, rules=rules).withColumn(
         "rank", F.col("rank").cast("long"))
 
 
@@ -299,6 +299,14 @@ def n8(t):
     return combined(t, 10)
 
 
+@query("N8_advisories_switched", "event_log chunks", f"""
+with recursive {COMBINED}, w as (select * exclude (rank), row_number() over (partition by stream order by rank) as rank from cb where advisory_type in ('stale_fact', 'gap_filled', 'contradiction'))
+select * from w where rank <= 5""")
+def n8s(t):
+    """Two rules switched off, five advisories a stream."""
+    return combined(t, 5, ("stale_fact", "gap_filled", "contradiction"))
+
+
 @query("E18_advisory_list", "event_log chunks", f"with recursive {COMBINED} select stream, rank, advisory_type, priority from cb where rank <= 3")
 def e18(t):
     """Advisories kept from an earlier run, listed by priority."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
@@ -112,8 +115,8 @@ def weight_suggestions(effectiveness: DataFrame) -> DataFrame:
 
 
 def combined(chunks: DataFrame, events: DataFrame, feedback: DataFrame, gaps: DataFrame, now: int, *, repeat_at_least: int = 3,
-             stale_days: int = 30, most: int = 10) -> DataFrame:
-    """All rules of a stream as rows, high priority first, `most` per stream."""
+             stale_days: int = 30, most: int = 10, rules: Collection[str] | None = None) -> DataFrame:
+    """All rules of a stream as rows, high priority first, `most` per stream; with `rules`, only those named."""
     cols = ["stream", "advisory_type", "about", "n", "priority"]
     row = lambda df, kind, about, n, prio: df.select("stream", F.lit(kind).alias("advisory_type"), about.alias("about"), n.cast("long").alias("n"), F.lit(prio).alias("priority"))
     searches = events.where("type = 'search'").select("stream", "query", F.struct("sec", "event_id").alias("order"))
@@ -122,7 +125,8 @@ def combined(chunks: DataFrame, events: DataFrame, feedback: DataFrame, gaps: Da
     gap = row(gaps.groupBy("stream").agg(F.count("*").alias("n")), "gap_filled", F.lit(""), F.col("n"), LOW)
     stale = row(stale_facts(chunks, now, stale_days).groupBy("stream").agg(F.count("*").alias("n")), "stale_fact", F.lit(""), F.col("n"), MEDIUM)
     heads = row(several_heads(chunks), "contradiction", F.col("subject"), F.col("heads"), HIGH)
-    out = rep.unionByName(ign).unionByName(gap).unionByName(stale).unionByName(heads).select(*cols)
+    found = {"repeated_query": rep, "search_ignored": ign, "gap_filled": gap, "stale_fact": stale, "contradiction": heads}
+    out = reduce(DataFrame.unionByName, (df.select(*cols) for name, df in found.items() if rules is None or name in rules))
     return top_n(out, ["stream"], [F.desc("priority"), F.col("advisory_type"), F.desc("n"), F.col("about")], most)
 
 
