@@ -284,6 +284,12 @@ def j1(t):
     return long_rank(hybrid.lexical_search(t.queries, t.chunks, 5, index=t.index))
 
 
+@query("J1_bounded_search", "lex", f"with {top_cte('o', 'lex', 5)} select * from o")
+def j1b(t):
+    """The same hits by the way that bounds scores first."""
+    return long_rank(hybrid.lexical_search(t.queries, t.chunks, 5, index=t.index, bounded=True))
+
+
 @query("J1_date_range_search", "lex chunks", f"""
 with f as (select lex.* from lex join chunks c using (id) where coalesce(cast(epoch(cast(event_date as date)) as bigint) + 43200, timestamp) between {B7_RANGE[0]} and {B7_RANGE[1]}),
 {top_cte('o', 'f', 10)} select * from o""")

@@ -15,11 +15,13 @@ from ..sources.chunk_store import live
 
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int, *, by_stream: bool = False,
                    where: Column | None = None, agent: str | None = None,
-                   exclude_agents: Sequence[str] = (), dates: tuple[int, int] | None = None, index: TermIndex | None = None) -> DataFrame:
+                   exclude_agents: Sequence[str] = (), dates: tuple[int, int] | None = None, index: TermIndex | None = None,
+                   bounded: bool = False) -> DataFrame:
     """Top `k` by BM25. Filters act before ranking; statistics stay global.
 
     With `index`, the stored index of the live chunks, no text is read, and
-    `dates`, bounds of the event date, are looked up there.
+    `dates`, bounds of the event date, are looked up there. `bounded` takes the
+    way that bounds scores first: more jobs, fewer postings, for large indexes.
     """
     base = live(chunks)
     keys = ("query_id", "stream") if by_stream else ("query_id",)
@@ -29,7 +31,7 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, k: int, *, by_stream:
     docs = filters.by_agent(docs, agent, exclude_agents)
     narrowed = where is not None or agent is not None or bool(exclude_agents)
     if index is not None:
-        if not narrowed and not by_stream and dates is None:
+        if bounded and not narrowed and not by_stream and dates is None:
             return index.top(terms, k)
         hits = index.search(terms, by_stream)
         if dates is not None:
@@ -242,6 +244,6 @@ def rare_term_lane(queries: DataFrame, chunks: DataFrame, cap: int = 10, index:
     """Best `cap` rows per query by its rare words alone."""
     rare = rare_terms(queries, chunks, index=index).select("query_id", "token").withColumn("qtf", F.lit(1))
     if index is not None:
-        return index.top(rare, cap)
+        return ranking.top_n(index.search(rare), ["query_id"], [F.desc("score"), F.col("id")], cap)
     hits = lexical.bm25(rare, live(chunks))
     return ranking.top_n(hits, ["query_id"], [F.desc("score"), F.col("id")], cap)
