@@ -78,12 +78,6 @@ def _fold(url: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS))
 
 
-def _counts(block: Column, labelled: Column) -> list[Column]:
-    """`n` and `blocked` of the labelled rows, by fold."""
-    fold = _fold(F.col("url"))
-    return [F.array(*(F.count_if(labelled & c & (fold == k)) for k in range(FOLDS))).alias(name) for name, c in (("n", F.lit(True)), ("blocked", block))]
-
-
 def _rate(n: Column, blocked: Column, labelled: Column) -> Column:
     """Share of `block` among the labelled rows of other folds, drawn to one half where they are few. A row without a label has none to leave out."""
     def rest(counts: Column) -> Column:
@@ -104,15 +98,24 @@ def with_features(pages: DataFrame, labelled: Column) -> DataFrame:
         F.size(F.split("host", r"\.")).alias("n_labels"), (F.length("host") - F.length(F.replace(F.col("host"), F.lit("-"), F.lit("")))).alias("n_hyphens"),
         F.substring_index("host", ".", -2).alias("suffix"), F.substring_index(F.substring_index("path", "/", 2), "/", -1).alias("first"))
     block = F.coalesce(F.col("by.verdict") == "block", F.lit(False))
-    # means are rounded: sums of doubles depend on their order, and trees cut at such values
-    stats = lexical.groupBy("suffix").agg(F.round(F.log1p(F.count("*")), 6).alias("suffix_count"), F.round(F.avg("depth"), 6).alias("suffix_depth"),
-                                          F.round(F.avg("digit_ratio"), 6).alias("suffix_digits"), *_counts(block, labelled))
-    parts = lexical.groupBy("first").agg(*_counts(block, labelled))
-    both = lexical.groupBy("suffix", "first").agg(*_counts(block, labelled))
-    out = lexical
-    for name, keys, table in (("suffix_rate", ["suffix"], stats), ("first_rate", ["first"], parts), ("pair_rate", ["suffix", "first"], both)):
-        out = out.join(cut_lineage(table), keys).withColumn(name, F.round(_rate(F.col("n"), F.col("blocked"), labelled), 6)).drop("n", "blocked")
-    return out
+    names = [f"{c}{k}" for c in ("n", "b") for k in range(FOLDS)]
+    fold = [labelled & (_fold(F.col("url")) == k) for k in range(FOLDS)]
+    counts = [F.count_if(f).alias(f"n{k}") for k, f in enumerate(fold)] + [F.count_if(f & block).alias(f"b{k}") for k, f in enumerate(fold)]
+    # all statistics come from the table of pairs, so the rows themselves move once
+    both = cut_lineage(lexical.groupBy("suffix", "first").agg(F.count("*").alias("rows"), F.sum("depth").alias("depths"), F.sum("digit_ratio").alias("digits"), *counts))
+
+    def arrays(prefix: str, value) -> list[Column]:
+        return [F.array(*(value(f"{c}{k}") for k in range(FOLDS))).alias(f"{prefix}_{c}") for c in ("n", "b")]
+
+    suffixes = both.groupBy("suffix").agg(F.sum("rows").alias("all"), F.sum("depths").alias("depths"), F.sum("digits").alias("digits"), *(F.sum(c).alias(c) for c in names)).select(
+        # means are rounded: sums of doubles depend on their order, and trees cut at such values
+        "suffix", F.round(F.log1p("all"), 6).alias("suffix_count"), F.round(F.col("depths") / F.col("all"), 6).alias("suffix_depth"),
+        F.round(F.col("digits") / F.col("all"), 6).alias("suffix_digits"), *arrays("suffix", F.col))
+    firsts = both.groupBy("first").agg(*(F.sum(c).alias(c) for c in names)).select("first", *arrays("first", F.col))
+    table = cut_lineage(both.select("suffix", "first", *arrays("pair", F.col)).join(suffixes, "suffix").join(firsts, "first"))
+    rates = [F.round(_rate(F.col(f"{p}_n"), F.col(f"{p}_b"), labelled), 6).alias(f"{p}_rate") for p in ("suffix", "first", "pair")]
+    out = lexical.join(table, ["suffix", "first"])
+    return out.select(*lexical.columns, "suffix_count", "suffix_depth", "suffix_digits", *rates)
 
 
 def _judged(pages: DataFrame, url: str, rules, *more: Column) -> DataFrame:
