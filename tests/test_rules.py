@@ -241,3 +241,27 @@ def test_operator_characters_never_fail_a_search(spark, tables):
     clean = q.withColumn("text", tx.without_operators(F.col("text")))
     a = hybrid.lexical_search(q, tables.chunks, 5).collect()
     assert a == hybrid.lexical_search(clean, tables.chunks, 5).collect()
+
+
+def test_dictionary_file_with_roles_and_expansions(spark, tmp_path):
+    text = """technology = ["Spark"]
+relations = ["Ada|likes|Spark", "broken"]
+groups = [["meal", "Dinner"]]
+[[entity]]
+canonical = "Ada Lovelace"
+type = "Person"
+aliases = ["ada", "spark"]
+role = "founder"
+expand_with = ["engine", "notes"]
+[[entity]]
+canonical = "Bob"
+"""
+    (tmp_path / "d.toml").write_text(text)
+    d = dictionary.read_dictionary(spark, str(tmp_path / "d.toml"))
+    assert {(r.alias, r.name) for r in d["alias"].collect()} == {("spark", "Spark"), ("ada lovelace", "Ada Lovelace"), ("ada", "Ada Lovelace"), ("bob", "Bob")}
+    assert [tuple(r) for r in d["role"].collect()] == [("Ada Lovelace", "founder")]
+    assert sorted(r.term for r in d["expansion"].collect()) == ["engine", "notes"]
+    found = spark.createDataFrame([(1, "Ada Lovelace"), (2, "Bob")], "query_id long, name string")
+    asked = spark.createDataFrame([(1, "who is ada"), (2, "bob"), (3, "none")], "query_id long, text string")
+    out = {r.query_id: r.text for r in dictionary.expanded_queries(found, asked, d["expansion"]).collect()}
+    assert out == {1: "who is ada engine notes", 2: "bob", 3: "none"}
