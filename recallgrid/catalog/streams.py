@@ -27,7 +27,8 @@ class StreamTables(Tables):
 
     def raw(self, name: str):
         schema = self.spark.read.parquet(f"{self.path}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.path)
+        # a pattern, which matches a file as well as a folder of files: a plain path of a stream must be a folder
+        return self.spark.readStream.schema(schema).parquet(f"{self.path}/{name}.parque[t]")
 
 
 def streamed(t) -> StreamTables:
@@ -129,11 +130,11 @@ def m5(t):
 @query("M6_ingest_stream", "chunks", f"""
 select id, stream, md5({redact_sql(clean_sql('content'))}) as content_md5, case agent when 'mcp' then 'a2' when 'external_web' then 'b' when 'raw-transcript' then 'b' else 'a1' end as trust_level from chunks""")
 def m6(t):
-    """Every row arrives twice and is kept once."""
+    """Every row arrives twice and is kept once, long ones too."""
     s = streamed(t)
     rows = lambda c: c.select("id", "content", F.lit("{}").alias("metadata"), "stream", F.col("source.agent").alias("agent"), F.timestamp_seconds("timestamp").alias("ts"))
     both = rows(s.chunks).union(rows(streamed(t).chunks))
-    return ran(t, jobs.ingest_stream(both, T0, late="60 days"), "ingest").select("id", "stream", F.md5("content").alias("content_md5"), "trust_level")
+    return ran(t, jobs.ingest_stream(both, T0, late="60 days", max_content=2**31 - 1), "ingest").select("id", "stream", F.md5("content").alias("content_md5"), "trust_level")
 
 
 @query("M7_budget_gate", "event_log", """
