@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.operators import lexical, ranking, term_index
 from recallgrid.operators.term_index import TermIndex
+from recallgrid.plans import hybrid
 from recallgrid.session import scratch_path
 
 FIELDS = {"content": "content", "entities": "names"}
@@ -88,3 +90,37 @@ def test_scan_skips_other_words(spark):
     held = index.postings.count()
     plan = index._asked(index.postings, ["w77", "w78"])
     assert 0 < scanned(plan) < held / 10 and plan.count() == index.postings.where("token in ('w77', 'w78')").count()
+
+
+@pytest.mark.parametrize("rows, questions, at_once", [(64, 3, 2), (4096, 16384, 1024)])
+def test_best_in_cells_equals_the_full_search(spark, monkeypatch, rows, questions, at_once):
+    """Cells of any size give the same rows, with ties, streams, fields and a narrower set of rows."""
+    monkeypatch.setattr(term_index, "CELL_ROWS", rows)
+    monkeypatch.setattr(term_index, "CELL_QUERIES", questions)
+    monkeypatch.setattr(term_index, "AT_ONCE", at_once)
+    rng = random.Random(8)
+    made = {f"d{i}": (words(rng, rng.randrange(0, 30)), words(rng, 3)) for i in range(150)}
+    made |= {f"d{1000 + i}": ("w1 w2 w3", "") for i in range(9)}  # equal scores
+    index = TermIndex.create(docs_of(spark, made), scratch_path(spark, "t"), FIELDS)
+    asked = [(q, words(rng, 4), f"s{q % 3}") for q in range(7)] + [(7, "w1 w2", "s1"), (8, "nowhere", "s1")]
+    queries = spark.createDataFrame(asked, "query_id long, text string, stream string")
+    some = index.docs.where("id like '%1%'").select("id")
+    for by_stream, weights, among in [(False, {"content": 1.0}, None), (True, {"content": 1.0}, None), (False, {"content": 1.0, "entities": 0.5}, None), (False, {"content": 1.0}, some)]:
+        terms = lexical.query_terms(queries, keys=("query_id", "stream") if by_stream else ("query_id",))
+        hits = index.search(terms, by_stream, weights)
+        hits = hits if among is None else hits.join(among, "id", "left_semi")
+        full = ranking.top_n(hits, ["query_id"], [F.desc("score"), F.col("id")], 5)
+        found = index.best(terms, 5, by_stream, weights, among)
+        assert found.select("query_id", "id", "score", "rank").orderBy("query_id", "rank").collect() == full.select("query_id", "id", "score", "rank").orderBy("query_id", "rank").collect()
+
+
+def test_scores_round_as_in_spark(spark):
+    halves = [i / 1e6 + j / 1e6 * 0.5 for i in range(4139370, 4139380) for j in range(2078740, 2078760)]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in halves], "v double").select(F.round("v", 6)).collect()]
+    assert term_index._rounded(np.array(halves)).tolist() == want
+
+
+def test_pairs_of_row_and_question_stay_in_their_task(tables):
+    """A search shuffles postings and the best of each cell, never a row for each pair."""
+    found = hybrid.lexical_search(tables.queries, tables.chunks, 2, index=tables.index)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
