@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.operators import lexical, ranking, term_index
-from recallgrid.operators.term_index import TermIndex
+from recallgrid.operators.term_index import AskedWords, TermIndex
 from recallgrid.plans import hybrid
 from recallgrid.session import scratch_path
 
@@ -124,3 +124,25 @@ def test_pairs_of_row_and_question_stay_in_their_task(tables):
     """A search shuffles postings and the best of each cell, never a row for each pair."""
     found = hybrid.lexical_search(tables.queries, tables.chunks, 2, index=tables.index)
     assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_asked_words_equal_the_stored_index(spark):
+    """Only the words asked for are kept, later ones are added, and statistics stay those of all rows and words."""
+    rng = random.Random(5)
+    docs = docs_of(spark, {f"d{i}": (words(rng, rng.randrange(0, 30)), rng.choice(["", None, "ada lovelace w1"])) for i in range(120)})
+    stored, asked = TermIndex.create(docs, scratch_path(spark, "t"), FIELDS), AskedWords(docs, scratch_path(spark, "t"), FIELDS)
+    weights = {"content": 1.0, "entities": 0.5}
+    for texts in (["w1 common", "rare1 w2 w2"], ["w1 ada", "nowhere", "often rare2"]):
+        terms = lexical.query_terms(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string"))
+        found, want = (index.best(terms, 7, weights=weights).collect() for index in (asked, stored))
+        assert sorted(map(str, found)) == sorted(map(str, want))
+    assert sorted(map(str, asked.totals.collect())) == sorted(map(str, stored.totals.collect()))
+    assert {r[0] for r in asked.postings.select("token").distinct().collect()} <= {"w1", "common", "rare1", "w2", "ada", "nowhere", "often", "rare2"}
+
+
+def test_a_search_of_tables_sorts_no_index(tables):
+    """Searches count the asked words only; before, each first wrote and sorted all postings."""
+    assert isinstance(tables.index, AskedWords) and isinstance(tables.fielded_index, AskedWords)
+    hybrid.lexical_search(tables.queries, tables.chunks, 2, index=tables.index).collect()
+    asked = lexical.query_terms(tables.queries).select("token").distinct().count()
+    assert tables.index.postings.select("token").distinct().count() <= asked < tables.stored_index.term_df.count()
