@@ -257,6 +257,18 @@ def _across(left: DataFrame, share: tuple[int, int]) -> DataFrame:
     return _linked(sides[0].unionByName(sides[1]), ["family", "x", "y"], share)
 
 
+def _contracted(stars: DataFrame) -> DataFrame:
+    """(a, b): pairs that connect what `stars(a, b)`, each node with the smallest of each of its buckets, do.
+
+    A member of a large family has a smallest node in each bucket, many of them
+    different. Linked with the least of these, as they are themselves, it needs
+    one pair, and the pairs among the few smallest nodes are the same for many.
+    """
+    held = stars.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("lows"))  # a bucket each, so never many
+    own = held.select("a", F.col("least").alias("b"))
+    return cut_lineage(own.union(held.select(F.explode("lows").alias("a"), F.col("least").alias("b")).where("a <> b")).distinct())
+
+
 def members_of(docs: DataFrame, key: str, text: str, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(rows, members): `described` rows, and (digest, least, root) of every different set; `least` is its smallest key."""
     rows = cut_lineage(described(docs, key, text, k))
@@ -266,7 +278,7 @@ def members_of(docs: DataFrame, key: str, text: str, k: int, share: tuple[int, i
     node = F.xxhash64("digest")
     entries = sets.select(node.alias("node"), F.explode_outer(bucket_keys(F.col("sig"))).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket", "low")
-    stars = cut_lineage(entries.join(shared, "bucket").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+    stars = _contracted(entries.join(shared, "bucket").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
     family = components(stars, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     listed = sets.select("digest", "at.th", "at.id", node.alias("node"), (F.floor(F.col("n") / ITEMS) + 1).cast("int").alias("weight")).join(
         family.withColumnRenamed("root", "family"), "node").drop("node")

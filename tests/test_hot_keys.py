@@ -99,3 +99,15 @@ def test_trigger_fires_alike_however_rows_arrive(spark, tmp_path):
         out = str(tmp_path / f"out{parts}")
         on_rocks(spark, lambda: jobs.run_to_table(jobs.ordered_trigger(s, 12, 3600), f"{out}/rows", f"{out}/state"))
         assert sorted(map(tuple, spark.read.parquet(f"{out}/rows").collect())) == sorted(want)
+
+
+def test_many_stars_of_one_family_are_few_pairs(spark):
+    """A family's members have many smallest nodes, one a bucket: each member is linked once, not once a bucket."""
+    from recallgrid.llm.hamming_join import _contracted
+    from recallgrid.operators.components import components
+
+    stars = [(100 + i, low) for i in range(40) for low in range(10)] + [(500, 400), (501, 500), (501, 400)]
+    pairs = _contracted(spark.createDataFrame(stars, "a long, b long"))
+    got = {r.node: r.root for r in components(pairs, pairs.selectExpr("explode(array(a, b)) as node").distinct()).collect()}
+    assert got == {**{n: 0 for n in [*range(10), *range(100, 140)]}, **{n: 400 for n in (400, 500, 501)}}
+    assert pairs.count() == 40 + 9 + 2 < len(stars)
