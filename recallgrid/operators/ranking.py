@@ -101,6 +101,7 @@ def drop_prefix_twins(pool: DataFrame, key: str = "query_id", order: str = "rank
     Order-dependent, so it runs as grouped map over one query's candidate pool,
     whose size the caller has already cut (three times the result length).
     """
+    pool = cut_lineage(pool)  # read twice: what made it would run twice
     prints = F.lower(F.substring("content", 1, 150))
     slim = pool.select(key, "id", order, prints.alias("print"))
     schema = slim.select(key, "id").schema
