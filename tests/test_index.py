@@ -146,3 +146,22 @@ def test_a_search_of_tables_sorts_no_index(tables):
     hybrid.lexical_search(tables.queries, tables.chunks, 2, index=tables.index).collect()
     asked = lexical.query_terms(tables.queries).select("token").distinct().count()
     assert tables.index.postings.select("token").distinct().count() <= asked < tables.stored_index.term_df.count()
+
+
+@pytest.mark.parametrize("sent", [term_index.SENT, 1])
+def test_a_text_stays_one_row_and_is_counted_once(spark, monkeypatch, sent):
+    """Words of several batches are counted in one pass; before, each batch was a pass of its own and every (text, word) a shuffled row."""
+    monkeypatch.setattr(term_index, "SENT", sent)
+    docs = docs_of(spark, {"d0": ("w1 w2 w1", "ada"), "d1": ("w9", ""), "d2": ("", None), "d3": ("W2 w3", "w1")})
+    asked = AskedWords(docs, scratch_path(spark, "t"), FIELDS)
+    one, two = (spark.createDataFrame([(1, text)], "query_id long, text string") for text in ("w1 ada", "w2 w8"))
+    hybrid.ask_for(asked, one, None, two)
+    rows = {r.id: (r.lengths, len(r.word)) for r in asked._read("texts").collect()}
+    assert rows == {"d0": ([3, 1], 3), "d1": ([1, 0], 0), "d2": ([0, 0], 0), "d3": ([2, 1], 2)}
+    stored = TermIndex.create(docs, scratch_path(spark, "t"), FIELDS)
+    for queries in (one, two):
+        found, want = (i.best(lexical.query_terms(queries), 3, weights={"entities": 0.5, "content": 1.0}).collect() for i in (asked, stored))
+        assert found and sorted(map(str, found)) == sorted(map(str, want))
+    assert len(asked.counts) == 1
+    plan = asked.best(lexical.query_terms(one), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lengths" in plan and "token" not in plan
