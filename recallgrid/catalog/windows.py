@@ -100,7 +100,7 @@ w as (select query_id, id, rank, pr, [pr] as kept, true as ok from p where rank
     len(list_filter(range(1, 151), lambda i: i <= len(k) and i <= len(p.pr) and left(k, i) = left(p.pr, i))) * 1e0 / least(strlen(k), strlen(p.pr)) > 0.8)) > 0 as twin) x)
 select query_id, id from w where ok""")
 def e7(t):
-    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).join(t.chunks.select("id", "content"), "id")
+    hits = hybrid.lexical_search(t.queries, t.chunks, 20, index=t.index).join(t.chunks.select("id", ranking.twin_head()), "id")
     return ranking.drop_prefix_twins(hits).select("query_id", "id")
 
 

@@ -94,6 +94,11 @@ def within_budget(ranked: DataFrame, cost: Column, budget: int, key: str = "quer
     return ranked.withColumn("spent", F.sum(cost).over(w)).where((F.col("spent") <= budget) | (F.col("rank") == 1))
 
 
+def twin_head(text: str = "content") -> Column:
+    """The part of a text that `drop_prefix_twins` compares: where texts are joined to hits, no more of them need move."""
+    return F.substring(text, 1, 150).alias(text)
+
+
 def drop_prefix_twins(pool: DataFrame, key: str = "query_id", order: str = "rank") -> DataFrame:
     """Drops a row whose lower-cased first 150 characters share more than 80 % of
     the shorter text with a row kept above it. Texts under 30 bytes never match.
@@ -102,8 +107,7 @@ def drop_prefix_twins(pool: DataFrame, key: str = "query_id", order: str = "rank
     whose size the caller has already cut (three times the result length).
     """
     pool = cut_lineage(pool)  # read twice: what made it would run twice
-    prints = F.lower(F.substring("content", 1, 150))
-    slim = pool.select(key, "id", order, prints.alias("print"))
+    slim = pool.select(key, "id", order, F.lower(twin_head()).alias("print"))
     schema = slim.select(key, "id").schema
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -196,7 +196,7 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
         pool = pool.where(filters.fact_filter(fact_type, subject, min_confidence))
     pool = ranked(pool) if rules is None else ranked_by_rule(pool)
     if prefix_dedup:
-        texts = live(chunks).select("id", "content")
+        texts = live(chunks).select("id", ranking.twin_head())
         pool = ranking.drop_prefix_twins(pool.join(texts, "id"), order="rank").drop("content")
     if enumerate_subjects:
         pool = ranking.one_per_subject(pool.withColumn("subject", F.col("meta.subject"))).drop("subject")

@@ -165,3 +165,10 @@ def test_a_text_stays_one_row_and_is_counted_once(spark, monkeypatch, sent):
     assert len(asked.counts) == 1
     plan = asked.best(lexical.query_terms(one), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "lengths" in plan and "token" not in plan
+
+
+def test_prefix_twins_move_heads_of_texts(tables):
+    """Of a text joined to hits only the compared head is shuffled; before, the whole text was."""
+    long = "x" * 1000
+    head = tables.spark.createDataFrame([(1, long)], "id long, content string").select(ranking.twin_head()).first()
+    assert head.content == long[:150]
