@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid import session
-from recallgrid.operators import links
+from recallgrid.operators import graph, links
 from recallgrid.operators.components import components
 from recallgrid.operators.similarity import nearest
 from recallgrid.plans import hybrid, lifecycle as lc
@@ -89,3 +89,16 @@ def test_no_local_folder_on_a_cluster():
     assert session.shared_folder(fake("local[4]", None)).startswith("/tmp/spark-")
 
 
+
+
+def test_related_rows_need_no_distinct_evidence(spark, monkeypatch):
+    """One hop from the questions' entities reads the evidence as it is; before, the whole graph was made distinct first."""
+    rows = [("S1", "P1", "d1"), ("S1", "P1", "d1"), ("S2", "P1", "d2"), ("S3", "P2", "d3"), ("S1", "P3", "d4"), ("S3", "P2", "d3")]
+    raw = spark.createDataFrame(rows, "source string, target string, chunk_id string").selectExpr("*", "'uses' as relation", "1L as evidence")
+    starts = spark.createDataFrame([(1, "S1"), (2, "P2")], "query_id long, entity_id string")
+    want = {(1, "d1", 1.0), (1, "d4", 1.0), (1, "d2", 0.5), (2, "d3", 1.0)}
+    for sent in (graph.SENT, 0):
+        monkeypatch.setattr(graph, "SENT", sent)
+        found = graph.related_chunks(starts, raw, graph.evidence_rows(raw), hops=1)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert sorted(map(tuple, graph.related_chunks(starts, raw.distinct(), graph.evidence_table(raw), hops=1).collect())) == sorted(want)
