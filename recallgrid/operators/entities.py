@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import tokens
 
+#: Rows of a dictionary up to which it is sent to every task; texts meet a larger one by a shuffle of their words.
+SENT = 100_000
+
+
+def _sent(dictionary: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(dictionary) if rows <= SENT else dictionary
+
 
 def entity_matches(docs: DataFrame, aliases: DataFrame, text: str = "content", key: str = "id") -> DataFrame:
     """(key, pos, len, alias, name, entity_type): whole-word alias matches in a
@@ -16,13 +23,17 @@ def entity_matches(docs: DataFrame, aliases: DataFrame, text: str = "content", k
     """
     dic = aliases.select("alias", "name", "entity_type", tokens(F.col("alias")).alias("words")).where(F.size("words") > 0)
     dic = dic.withColumn("first", F.col("words")[0])
-    longest = dic.agg(F.max(F.size("words"))).head()[0] or 1
+    size = dic.agg(F.max(F.size("words")).alias("longest"), F.count("*").alias("n")).head()
+    longest = size.longest or 1
     toks = docs.select(key, tokens(F.col(text)).alias("toks"))
-    # each position carries its word and the few that follow, never the whole text
-    starts = toks.select(key, F.posexplode(F.expr(
-        f"transform(toks, (w, i) -> struct(w as first, slice(toks, i + 1, {longest}) as ahead))")).alias("pos", "at"))
-    starts = starts.select(key, "pos", "at.first", "at.ahead").join(dic, "first")
-    whole = starts.where(F.expr("slice(ahead, 1, size(words)) = words")).select(
+    if longest == 1:
+        whole = toks.select(key, F.posexplode("toks").alias("pos", "first")).join(_sent(dic, size.n), "first")
+    else:  # each position carries its word and the few that follow, never the whole text
+        starts = toks.select(key, F.posexplode(F.expr(
+            f"transform(toks, (w, i) -> struct(w as first, slice(toks, i + 1, {longest}) as ahead))")).alias("pos", "at"))
+        starts = starts.select(key, "pos", "at.first", "at.ahead").join(_sent(dic, size.n), "first")
+        whole = starts.where(F.expr("slice(ahead, 1, size(words)) = words"))
+    whole = whole.select(
         key, F.struct("pos", (-F.size("words")).alias("neg_len"), "alias", "name", "entity_type").alias("m"))
     kept = whole.groupBy(key).agg(F.sort_array(F.collect_list("m")).alias("ms")).select(
         key, F.expr("""aggregate(ms, struct(0 as upto, slice(ms, 1, 0) as kept),
@@ -46,9 +57,11 @@ def dictionary_relations(found: DataFrame, relations: DataFrame, key: str = "id"
     return s.select(*cols).union(o.select(*cols)).distinct()
 
 
-def with_names(docs: DataFrame, found: DataFrame, relations: DataFrame) -> DataFrame:
-    """`docs` with `entity_names` and `relation_triples`: the different names `found(id, name)` in a row and the triples at them, as text; empty without any."""
-    names = found.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("entity_names"))
+def names_of(found: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, entity_names, relation_triples) of the rows in which a name was found: the different names `found(id, name)` and the triples at them, as text."""
     triple = F.concat_ws(" ", "subject", "relation", "object")
-    triples = dictionary_relations(found, relations).groupBy("id").agg(F.array_join(F.sort_array(F.collect_set(triple)), " ").alias("relation_triples"))
-    return docs.join(names, "id", "left").join(triples, "id", "left").fillna("", ["entity_names", "relation_triples"])
+    at_name = relations.select(F.explode(F.array("subject", "object")).alias("name"), triple.alias("triple")).groupBy("name").agg(F.collect_set("triple").alias("triples"))
+    rows = found.select("id", "name").join(_sent(at_name, relations.limit(SENT + 1).count()), "name", "left")
+    triples = F.array_distinct(F.flatten(F.collect_list("triples")))
+    return rows.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("entity_names"),
+                                  F.array_join(F.sort_array(triples), " ").alias("relation_triples"))

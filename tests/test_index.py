@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import lexical, ranking, term_index
+from recallgrid.operators import entities, lexical, ranking, term_index
 from recallgrid.operators.term_index import AskedWords, TermIndex
 from recallgrid.plans import hybrid
 from recallgrid.session import scratch_path
@@ -172,3 +172,41 @@ def test_prefix_twins_move_heads_of_texts(tables):
     long = "x" * 1000
     head = tables.spark.createDataFrame([(1, long)], "id long, content string").select(ranking.twin_head()).first()
     assert head.content == long[:150]
+
+
+@pytest.mark.parametrize("sent", [term_index.SENT, 1])
+def test_fields_of_another_table_meet_as_counts(spark, monkeypatch, sent):
+    """Fields beside the texts give the counts and hits of a table joined before."""
+    monkeypatch.setattr(term_index, "SENT", sent)
+    docs = docs_of(spark, {"d0": ("w1 w2 w1", "ada w1"), "d1": ("w9", None), "d2": ("", None), "d3": ("W2 w3", "w1"), "d4": ("w1", "")})
+    beside = docs.where("names is not null").select("id", "names")
+    apart = AskedWords(docs.drop("names"), scratch_path(spark, "t"), {"entities": "names", "content": "content"}, beside)
+    whole = AskedWords(docs, scratch_path(spark, "t"), FIELDS)
+    terms = lexical.query_terms(spark.createDataFrame([(1, "w1 ada w2"), (2, "w9")], "query_id long, text string"))
+    found, want = (sorted(map(str, i.best(terms, 4, weights={"content": 1.0, "entities": 0.5}).collect())) for i in (apart, whole))
+    assert found == want
+    for table in ("texts", "term_df", "totals"):
+        got, should = (sorted(map(str, i._read(table).collect())) for i in (apart, whole))
+        assert got == should or (sent == 1 and table != "totals")  # numbers of words are dealt anew there
+
+
+def test_names_in_texts_shuffle_neither_texts_nor_their_words(tables):
+    """The dictionary goes to the texts; before, every word of every text went to it, and whole texts to their names."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    spark = tables.spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = entities.entity_matches(tables.chunks, spark.createDataFrame([("ada l", "Ada", "Person")], "alias string, name string, entity_type string"))
+        assert plan(found).count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "entity_names" not in tables.fielded_index.rows.columns and "Join" not in plan(tables.fielded_index.rows)
+
+
+def test_names_and_triples_as_text(spark):
+    found = spark.createDataFrame([("d1", "b"), ("d1", "a"), ("d1", "a"), ("d2", "c"), ("d3", "x")], "id string, name string")
+    relations = spark.createDataFrame([("a", "uses", "b"), ("c", "uses", "a"), ("a", "uses", "a"), (None, "uses", "c")], "subject string, relation string, object string")
+    got = {r.id: (r.entity_names, r.relation_triples) for r in entities.names_of(found, relations).collect()}
+    assert got == {"d1": ("a b", "a uses a a uses b c uses a"), "d2": ("c", "c uses a uses c"), "d3": ("x", "")}
