@@ -145,8 +145,8 @@ def edge_stream_repair(edges: DataFrame, repaired: DataFrame) -> DataFrame:
 
 
 def index_parity(index_ids: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Counts on both sides and what each lacks, as (metric, value) rows."""
-    i, c = index_ids.select("id").distinct(), chunks.select("id")
+    """Counts of rows on both sides and of those whose id the other side lacks, as (metric, value) rows."""
+    i, c = index_ids.select("id"), chunks.select("id")
     parts = [i.agg(F.count("*").alias("value")).select(F.lit("index_count").alias("metric"), "value"),
              c.agg(F.count("*").alias("value")).select(F.lit("table_count").alias("metric"), "value"),
              i.join(c, "id", "left_anti").agg(F.count("*").alias("value")).select(F.lit("only_in_index").alias("metric"), "value"),

@@ -60,3 +60,17 @@ def test_every_query_without_sql_is_known():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "id", "score", "rank"] and df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["C20_index_parity"])
+def test_parity_counts_rows_without_words(spark, tmp_path, name):
+    """Texts that hold no word, or are missing, are rows of the index too, and an id that comes twice is two rows; before, neither was."""
+    texts = ["", "...", None, "some words"]
+    rows = [(i, texts[i % 4]) for i in range(200)] + [(23, "again"), (62, "again"), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    res = con.execute(entry.oracle_sql()[name])
+    names = sorted(d[0] for d in res.description)
+    want = sorted(tuple(norm(r[n]) for n in names) for r in res.fetch_df().astype(object).to_dict("records"))
+    assert sorted(tuple(norm(r[n]) for n in names) for r in entry.queries()[name](spark, str(tmp_path)).collect()) == want
