@@ -158,11 +158,13 @@ def index_parity(index_ids: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def parity_report(index_ids: DataFrame, chunks: DataFrame, sample: int = 10) -> DataFrame:
-    """One row: ids on either side only, the drift in per cent of the table, whether both agree, and the first orphan ids as a sample."""
-    i, c = index_ids.select("id", F.lit(True).alias("i")).distinct(), chunks.select("id", F.lit(True).alias("c"))
-    both = cut_lineage(i.join(c, "id", "full_outer"))
-    counts = both.agg(F.count_if(F.col("c").isNull()).alias("orphans"), F.count_if(F.col("i").isNull()).alias("missing"), F.count("c").alias("table_count"))
-    first = both.where("c is null").select("id").orderBy("id").limit(sample).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("orphan_sample"))
+    """One row: rows with ids on either side only, the drift in per cent of the table, whether both agree, and the first orphan ids as a sample."""
+    sides = index_ids.select("id", F.lit(1).alias("i"), F.lit(0).alias("c")).union(chunks.select("id", F.lit(0), F.lit(1)))
+    both = cut_lineage(sides.groupBy("id").agg(F.sum("i").alias("i"), F.sum("c").alias("c")))  # an id that comes twice counts twice
+    none = lambda own, other: F.coalesce(F.sum(F.when(F.col(other) == 0, F.col(own))), F.lit(0))
+    counts = both.agg(none("i", "c").alias("orphans"), none("c", "i").alias("missing"), F.coalesce(F.sum("c"), F.lit(0)).alias("table_count"))
+    first = both.where("c = 0").select("id", "i").orderBy("id").limit(sample).agg(F.flatten(F.collect_list(F.expr("array_repeat(id, cast(i as int))"))).alias("ids"))
+    first = first.select(F.array_join(F.slice(F.array_sort("ids"), 1, sample), ",").alias("orphan_sample"))
     drift = F.round(100.0 * (F.col("orphans") + F.col("missing")) / F.greatest("table_count", F.lit(1)), 6)
     return counts.crossJoin(first).select("orphans", "missing", drift.alias("drift_pct"), (F.col("orphans") + F.col("missing") == 0).alias("in_sync"), "orphan_sample")
 

@@ -62,7 +62,7 @@ def test_entry(spark):
     assert df.columns == ["query_id", "id", "score", "rank"] and df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["C20_index_parity"])
+@pytest.mark.parametrize("name", ["C20_index_parity", "C20_parity_report"])
 def test_parity_counts_rows_without_words(spark, tmp_path, name):
     """Texts that hold no word, or are missing, are rows of the index too, and an id that comes twice is two rows; before, neither was."""
     texts = ["", "...", None, "some words"]
