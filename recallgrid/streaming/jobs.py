@@ -59,12 +59,19 @@ def sliding_failures(events: DataFrame, late: str = "10 minutes", width: str = "
 
 
 def gap_filled(searches: DataFrame, stores: DataFrame, seconds: int = 120, late: str = "10 minutes") -> DataFrame:
-    """Zero-result searches joined to the stores that follow within `seconds`."""
+    """Zero-result searches joined to the stores that follow within `seconds`.
+
+    A time bucket is part of the key, as in the batch form: a row meets those of
+    two buckets in the state, not all that its stream has there.
+    """
+    bucket = lambda ts: F.floor(F.unix_seconds(ts) / max(1, seconds))
     a = searches.where("type = 'search' and result_count = 0").select(F.col("ts").alias("search_ts"), "stream", "event_id").withWatermark("search_ts", late)
+    a = a.withColumn("bucket", F.explode(F.array(bucket("search_ts"), bucket("search_ts") + 1)))
     b = stores.where("type = 'store'").select(F.col("ts").alias("store_ts"), F.col("stream").alias("store_stream")).withWatermark("store_ts", late)
+    b = b.withColumn("store_bucket", bucket("store_ts"))
     # whole seconds, as in the log
     lo, hi = F.date_trunc("second", "search_ts"), F.date_trunc("second", "store_ts")
-    on = (F.col("stream") == F.col("store_stream")) & (F.col("store_ts") >= F.col("search_ts")) & (
+    on = (F.col("stream") == F.col("store_stream")) & (F.col("bucket") == F.col("store_bucket")) & (F.col("store_ts") >= F.col("search_ts")) & (
         F.col("store_ts") <= F.col("search_ts") + F.expr(f"interval {seconds + 1} seconds"))
     return a.join(b, on).where((hi > lo) & (F.unix_seconds(hi) - F.unix_seconds(lo) <= seconds)).select("event_id", "stream", "search_ts", "store_ts")
 

@@ -11,6 +11,7 @@ from recallgrid.operators.components import components
 from recallgrid.operators.similarity import nearest
 from recallgrid.plans import hybrid, lifecycle as lc
 from recallgrid.sources import chunk_store
+from recallgrid.streaming import jobs
 
 
 NOW = 1706659200
@@ -126,3 +127,17 @@ def test_two_hops_by_bits_need_no_distinct_evidence(spark, monkeypatch):
         monkeypatch.setattr(graph, "SENT", sent)
         got = graph.related_chunks(asked, raw, graph.evidence_rows(raw)).collect()
         assert {(r.query_id, r.id): r.graph for r in got} == want and len(got) == len(want)
+
+
+def test_gaps_meet_by_time_not_by_stream_alone(spark):
+    """A stream's searches meet the stores of two time buckets; before, all of the stream's. Edges of buckets, whole seconds and times before 1970 among them."""
+    secs = [-250.5, -130.2, -120.0, -10.9, 0.0, 0.4, 0.9, 1.0, 119.9, 120.0, 120.5, 121.0, 240.99, 241.0, 359.0, 360.0]
+    rows = [(i, s, f"s{i % 2}", kind, 0) for i, (s, kind) in enumerate((s, kind) for s in secs for kind in ("search", "store", "search", "store", "store"))]
+    events = spark.createDataFrame(rows, "event_id long, at double, stream string, type string, result_count int").withColumn("ts", F.timestamp_micros((F.col("at") * 1000000).cast("long")))
+    found = jobs.gap_filled(events, events)
+    whole = lambda s: int(s // 1)
+    want = sorted((i, s, t) for i, s, st, k, _ in rows if k == "search" for _, t, st2, k2, _ in rows if k2 == "store" and st == st2 and 0 < whole(t) - whole(s) <= 120)
+    got = found.select("event_id", F.unix_micros("search_ts") / 1e6, F.unix_micros("store_ts") / 1e6).collect()
+    assert sorted((a, round(b, 3), round(c, 3)) for a, b, c in got) == want and want
+    join = next(line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line)
+    assert "store_bucket" in join.split("Inner")[0]
