@@ -141,3 +141,25 @@ def test_gaps_meet_by_time_not_by_stream_alone(spark):
     assert sorted((a, round(b, 3), round(c, 3)) for a, b, c in got) == want and want
     join = next(line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line)
     assert "store_bucket" in join.split("Inner")[0]
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_vectors_without_clusters_meet_in_coarse_blocks(spark, monkeypatch, n):
+    """Where no pair of blocks can be left out, a row is sent to a few large blocks; before, to every small one. Ties by id, no row twice."""
+    import numpy as np
+    from recallgrid.operators import similarity
+
+    rng = np.random.default_rng(4)
+    vecs = np.round(rng.normal(size=(240, 24)), 2)
+    vecs[200:] = vecs[:40]  # ties
+    rows = [(f"d{i}", [float(x) for x in v]) for i, v in enumerate(vecs)]
+    v = spark.createDataFrame(rows, "id string, embedding array<double>")
+    calls = []
+    every = similarity._every_pair
+    monkeypatch.setattr(similarity, "_every_pair", lambda *a: calls.append(a[4]) or every(*a))
+    got = nearest(v, v, n, left_key="id", exclude_self=True, block_rows=8).collect()
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    want = {(f"d{i}", f"d{j}") for i in range(240) for j in sorted((j for j in range(240) if j != i), key=lambda j: (-sims[i, j], f"d{j}"))[:n]}
+    assert calls and calls[0] > 8
+    assert {(r.id, r.other_id) for r in got} == want and len(got) == 240 * n
