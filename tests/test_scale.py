@@ -9,7 +9,7 @@ from recallgrid import session
 from recallgrid.operators import graph, links
 from recallgrid.operators.components import components
 from recallgrid.operators.similarity import nearest
-from recallgrid.plans import hybrid, lifecycle as lc
+from recallgrid.plans import hybrid, lifecycle as lc, packs
 from recallgrid.sources import chunk_store
 from recallgrid.streaming import jobs
 
@@ -163,3 +163,21 @@ def test_vectors_without_clusters_meet_in_coarse_blocks(spark, monkeypatch, n):
     want = {(f"d{i}", f"d{j}") for i in range(240) for j in sorted((j for j in range(240) if j != i), key=lambda j: (-sims[i, j], f"d{j}"))[:n]}
     assert calls and calls[0] > 8
     assert {(r.id, r.other_id) for r in got} == want and len(got) == 240 * n
+
+
+def test_whole_texts_are_not_shuffled_for_snippets(spark, tables):
+    """A text is cut to its snippet before it meets its hits; before, all texts were shuffled whole, twice."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = packs.ambient(packs.last_user_turns(tables.turns), tables.chunks, NOW, index=tables.index)
+        nodes = [got._jdf.queryExecution().executedPlan()]
+        for node in nodes:
+            nodes.extend(node.children().apply(i) for i in range(node.children().size()))
+        dealt = [{n.output().apply(i).name() for i in range(n.output().size())} for n in nodes if n.nodeName() == "Exchange"]
+        assert any("snippet" in names for names in dealt) and not any("content" in names for names in dealt)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
